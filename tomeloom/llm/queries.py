@@ -1,10 +1,12 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import decontamination, fingerprints, mixing
+from . import decontamination, fingerprints, mixing, substrings, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_decontaminate": decontamination.op3_decontaminate,
     "op5_mix": mixing.op5_mix,
+    "op8_remove_repeats": substrings.op8_remove_repeats,
     "op9_fingerprint": fingerprints.op9_fingerprint,
 }
-SQL = {"op3_decontaminate": decontamination.SQL, "op5_mix": mixing.SQL}
+SQL = {"op3_decontaminate": decontamination.SQL, "op5_mix": mixing.SQL, "op8_remove_repeats": substrings.SQL}
