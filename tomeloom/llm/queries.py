@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import decontamination, fingerprints, mixing, substrings, toxicity
+from . import decontamination, fingerprints, mixing, similarity, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -8,5 +8,6 @@ QUERIES = {
     "op5_mix": mixing.op5_mix,
     "op8_remove_repeats": substrings.op8_remove_repeats,
     "op9_fingerprint": fingerprints.op9_fingerprint,
+    "op10_similar": similarity.op10_similar,
 }
-SQL = {"op3_decontaminate": decontamination.SQL, "op5_mix": mixing.SQL, "op8_remove_repeats": substrings.SQL}
+SQL = {"op3_decontaminate": decontamination.SQL, "op5_mix": mixing.SQL, "op8_remove_repeats": substrings.SQL, "op10_similar": similarity.SQL}
