@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import decontamination, fingerprints, mixing, similarity, substrings, toxicity
+from . import decontamination, fingerprints, html, mixing, similarity, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_main_text": html.op2_main_text,
     "op3_decontaminate": decontamination.op3_decontaminate,
     "op5_mix": mixing.op5_mix,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_remove_repeats": substrings.op8_remove_repeats,
     "op9_fingerprint": fingerprints.op9_fingerprint,
     "op10_similar": similarity.op10_similar,
