@@ -1,9 +1,72 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline over `documents`: five stages, each written as Parquet and read again by the next.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tomeloom.llm import decontamination, mixing, sharding, similarity, toxicity
+from tomeloom.llm.common import stored, table
+
+#: Texts of at least this score go.
+TOXIC = 0.5
+#: Share of a text's words that benchmark windows may cover. Any hit window contaminates a text.
+MAX_HITS = 0
+
+#: The stages hold models and hash draws that SQL can't express; tests/llm compares them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that operator 1 scores below TOXIC; it learns from labelled documents of its own input."""
+    detector = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, detector).filter(F.col("toxicity") < TOXIC).drop("toxicity")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that operator 10's links hold together: the one of the least id.
+
+    Of equal ids one row stays. Documents with a null id stay.
+    """
+    classes = similarity.similar(docs).filter(F.col("doc_id").isNotNull()).select(F.col("class_id").alias("_class"))
+    kept = classes.distinct()
+    first = docs.join(kept, F.col("doc_id") == F.col("_class"), "left_semi").dropDuplicates(["doc_id"])
+    return first.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents in which operator 3 finds no window of a benchmark item."""
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(F.col("n_hit") > MAX_HITS)
+    return docs.join(found.select(F.col("doc_id").alias("_hit")).distinct(), F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat each document as often as operator 5 takes it."""
+    repeats = stored(mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_repeats")))
+    taken = docs.join(repeats.filter("_repeats > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).drop("_id", "_repeats", "_turn")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Store the documents by operator 6: doc_id, shard and version of each stored row."""
+    store, rows = sharding.shard(docs)
+    return rows.select("doc_id", "source", F.col("_shard").alias("shard"), F.lit(store.version()).alias("version"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", one_of_each),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -46,6 +46,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def lowered(text: str) -> str:
+    """As ascii_lower() in a task: bytes lower-case A-Z only."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def letter_words(text: Column) -> Column:
     """Array of the lower-cased words of LETTER_WORD; null and empty texts have none."""
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_LETTERS), lambda w: w != "")

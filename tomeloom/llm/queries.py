@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import decontamination, fingerprints, html, mixing, sharding, similarity, substrings, token_counts, toxicity
+from . import decontamination, fingerprints, html, lm, mixing, sharding, similarity, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_main_text": html.op2_main_text,
     "op3_decontaminate": decontamination.op3_decontaminate,
+    "op4_lm_score": lm.op4_lm_score,
     "op5_mix": mixing.op5_mix,
     "op6_shard": sharding.op6_shard,
     "op7_token_counts": token_counts.op7_token_counts,
