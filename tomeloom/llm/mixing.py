@@ -62,20 +62,17 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     whole = F.floor(epochs)
     targets = targets.withColumn("_whole", whole).withColumn("_goal", F.col("target") - whole * F.col("source_size"))
     targets = targets.select(F.col("source").alias("_source"), "source_size", "weight", "target", "_whole", "_goal")
-    # the words that come before each slot in its source
+    # what each slot takes: all below the cut, none above it; rows meet their slot, never their whole source
     before = F.coalesce(F.sum("_slot_size").over(W.partitionBy("source").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    cuts = slots.withColumn("_before", before).join(targets, F.col("source").eqNullSafe(F.col("_source")))
-    cuts = cuts.filter((F.col("_before") <= F.col("_goal")) & (F.col("_before") + F.col("_slot_size") > F.col("_goal")))
-    cuts = cuts.select("_source", F.col("_slot").alias("_cut"), F.col("_before").alias("_cut_before"))
-    targets = targets.join(cuts.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+    slots = slots.withColumn("_before", before).join(targets, F.col("source").eqNullSafe(F.col("_source")))
+    slots = slots.withColumn("_side", F.when(F.col("_before") + F.col("_slot_size") <= F.col("_goal"), 1).when(F.col("_before") > F.col("_goal"), -1).otherwise(0))
+    slots = slots.select("_source", F.col("_slot").alias("_s"), "source_size", "target", "_whole", "_goal", "_before", "_side")
+    rows = rows.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (slot == F.col("_s")))
     # only rows of the slot that holds the cut need an order
-    at_cut = rows.filter(slot == F.col("_cut"))
-    run = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at_cut = at_cut.withColumn("_extra", ((F.col("_goal") > 0) & (F.col("_cut_before") + run + F.col("size") / 2 <= F.col("_goal"))).cast("long"))
-    others = rows.filter(~F.coalesce(slot == F.col("_cut"), F.lit(False)))
-    # with no cut the goal is the whole source or nothing
-    others = others.withColumn("_extra", F.when(F.col("_cut").isNull(), F.col("_goal") > 0).otherwise(slot < F.col("_cut")).cast("long"))
+    at_cut = rows.filter("_side = 0")
+    run = F.coalesce(F.sum("size").over(W.partitionBy("source", "_s").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at_cut = at_cut.withColumn("_extra", ((F.col("_goal") > 0) & (F.col("_before") + run + F.col("size") / 2 <= F.col("_goal"))).cast("long"))
+    others = rows.filter("_side <> 0").withColumn("_extra", ((F.col("_goal") > 0) & (F.col("_side") > 0)).cast("long"))
     out = at_cut.unionByName(others).withColumn("repeats", (F.col("_whole") + F.col("_extra")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
