@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER_WORD, LOWER, UPPER, stored, table
+from .common import LETTER_WORD, LOWER, UPPER, lowered, stored, table
 from .hashing import BASE, HASHER, mixed, signed
 
 SHINGLE = 5
@@ -45,12 +45,11 @@ _MULTIPLIERS = _rng.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
 _SHIFTS = _rng.integers(0, 1 << 64, HASHES, np.uint64)
 
 _find = re.compile(LETTER_WORD).findall
-_LOWERED = str.maketrans(UPPER, LOWER)
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of runs of `size` words; fewer words, but not none, are one shingle."""
-    codes = HASHER.codes(_find(text.translate(_LOWERED))) if text else np.zeros(0, np.uint64)
+    codes = HASHER.codes(_find(lowered(text))) if text else np.zeros(0, np.uint64)
     if not len(codes):
         return codes
     size = min(size, len(codes))
@@ -306,9 +305,9 @@ def op10_similar(spark, sf_dir):
     return similar(table(spark, sf_dir, "documents"))
 
 
-_SQL_LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_SQL_LOWERED}, '{LETTER_WORD}') AS ws FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{LETTER_WORD}') AS ws FROM documents WHERE doc_id IS NOT NULL),
 s AS (
   SELECT DISTINCT doc_id, list_slice(ws, i, i + {SHINGLE - 1}) AS g
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
