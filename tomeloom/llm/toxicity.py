@@ -26,7 +26,7 @@ ORDER = 6
 #: Characters of the longest n-gram whose counts both classes share.
 SHARED = 1
 #: Labelled rows of each class that models are fitted on at most: the bound of the sample.
-MAX_ROWS = 4000
+MAX_ROWS = 1500
 #: Words whose scores a Python worker remembers.
 MEMORY = 400_000
 
