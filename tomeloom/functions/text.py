@@ -99,11 +99,16 @@ def chunking_strategy(path: Column, domain: Column | None = None) -> Column:
 def highlighted(text: Column, terms: Column, fragments: int = 3, around: int = 8) -> Column:
     """Up to `fragments` windows of words around matches of the lower-cased terms, matches marked; the whole
     text where nothing matches."""
-    words = F.split(text, r"\s+")
     bare = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", "")
-    hits = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(terms, bare(F.element_at(words, i))))
-    # a match that falls into the window of an earlier one is shown there
-    starts = F.aggregate(hits, F.array().cast("array<int>"), lambda a, i: F.when((F.size(a) < fragments) & ((F.size(a) == 0) | (i > F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-99)) + around)), F.concat(a, F.array(i))).otherwise(a))
-    mark = lambda w: F.when(F.array_contains(terms, bare(w)), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)
-    window = lambda i: F.array_join(F.transform(F.slice(words, i, around + 1), mark), " ")
-    return F.when(F.size(hits) == 0, text).otherwise(F.array_join(F.transform(starts, window), " ... "))
+
+    def shown(words: Column) -> Column:
+        # words is bound once: a lambda's variable is not made anew for each word
+        hits = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(terms, bare(F.element_at(words, i))))
+        # a match that falls into the window of an earlier one is shown there
+        none = F.array().cast("array<int>")
+        starts = F.aggregate(hits, none, lambda a, i: F.when((F.size(a) < fragments) & (F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-around)) + around < i), F.concat(a, F.array(i))).otherwise(a))
+        mark = lambda w: F.when(F.array_contains(terms, bare(w)), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)
+        return F.array_join(F.transform(starts, lambda i: F.array_join(F.transform(F.slice(words, i, around + 1), mark), " ")), " ... ")
+
+    found = F.element_at(F.transform(F.array(F.split(text, r"\s+")), shown), 1)
+    return F.coalesce(F.nullif(found, F.lit("")), text)

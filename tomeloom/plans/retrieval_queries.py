@@ -65,7 +65,7 @@ def delete_vectors(t):
 def _text_queries(t):
     """Of each benchmark item: its third word, or its first and second as a phrase."""
     w = fulltext.words(F.col("text"))
-    return t.benchmark.filter(F.size(w) >= 3).select(F.col("item_id").alias("query_id"), F.concat(w[2], F.lit(' OR "'), w[0], F.lit(" "), w[1], F.lit('"')).alias("query"))
+    return t.benchmark.filter((F.size(w) >= 3) & ~w[2].isin("and", "or")).select(F.col("item_id").alias("query_id"), F.concat(w[2], F.lit(' OR "'), w[0], F.lit(" "), w[1], F.lit('"')).alias("query"))
 
 
 def _docs(t):
@@ -73,7 +73,7 @@ def _docs(t):
 
 
 _TEXT_HITS = f"""
-b AS (SELECT item_id AS query_id, ws[1] AS a, ws[2] AS b, ws[3] AS c FROM (SELECT item_id, {WORDS} AS ws FROM benchmark) WHERE len(ws) >= 3),
+b AS (SELECT item_id AS query_id, ws[1] AS a, ws[2] AS b, ws[3] AS c FROM (SELECT item_id, {WORDS} AS ws FROM benchmark) WHERE len(ws) >= 3 AND ws[3] NOT IN ('and', 'or')),
 d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
 one AS (SELECT query_id, doc_id, 0.4 * ln(1 + count(*)) AS r FROM b JOIN p ON p.w = b.c GROUP BY ALL),
@@ -91,7 +91,7 @@ def full_text(t):
 def _hybrid(t, k=10):
     """Vectors as documents of the same id; a question is a vector and the second word of its document's text."""
     w = fulltext.words(F.col("text"))
-    asked = t.documents.join(_vector_queries(t).select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").filter(F.size(w) >= 2)
+    asked = t.documents.join(_vector_queries(t).select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi").filter((F.size(w) >= 2) & ~w[1].isin("and", "or"))
     texts = asked.select(F.col("doc_id").alias("query_id"), w[1].alias("query"))
     near = vectors.top_k(_vector_queries(t), _vectors(t), retrieval.VECTOR_POOL).withColumnRenamed("id", "chunk_id")
     found = fulltext.search(texts, _docs(t), retrieval.TEXT_POOL)
@@ -101,7 +101,7 @@ def _hybrid(t, k=10):
 _HYBRID = f"""
 WITH {_top('cosine', 50)},
 d AS (SELECT doc_id, {WORDS} AS ws FROM documents),
-q AS (SELECT doc_id AS query_id, ws[2] AS term FROM d WHERE len(ws) >= 2 AND doc_id IN (SELECT query_id FROM top)),
+q AS (SELECT doc_id AS query_id, ws[2] AS term FROM d WHERE len(ws) >= 2 AND ws[2] NOT IN ('and', 'or') AND doc_id IN (SELECT query_id FROM top)),
 p AS (SELECT doc_id, unnest(ws) AS w FROM d),
 f AS (SELECT query_id, doc_id, round(r / (r + 1), 12) AS s FROM (SELECT query_id, doc_id, 0.4 * ln(1 + count(*)) AS r FROM q JOIN p ON w = term GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(r / (r + 1), 12) DESC, doc_id) <= 20),
 m AS (SELECT query_id, id AS chunk_id, greatest(0, 1 - round(distance, 12)) * 0.7 AS vector_score, 0.0 AS fts_score FROM top
