@@ -81,7 +81,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine"
     out = None
     for block in range(blocks):
         part = tagged.filter(F.col("_block") == block).toPandas() if count else pd.DataFrame({"query_id": [], "embedding": []})
-        shared = queries.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(np.int64), np.array(part["embedding"].tolist(), float).reshape(len(part), -1)))
+        shared = queries.sparkSession.sparkContext.broadcast((part["query_id"].to_numpy(np.int64), np.array(part["embedding"].tolist(), float).reshape(len(part), -1 if len(part) else 0)))
         found = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(_best(shared, k, metric), "query_id long, id long, distance double")
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))

@@ -119,7 +119,7 @@ _SEVERITY = ["critical", "high", "medium", "low", "info", "unknown"]
 
 
 @query("j7_security_rerank", f"""{_HYBRID},
-pool AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 15),
+pool AS (SELECT s.* FROM s JOIN documents ON doc_id = chunk_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 15),
 w AS (SELECT pool.query_id, chunk_id, round(score * [3.0, 2.0, 1.0, 0.5, 0.2, 0.0][n_chars % 6 + 1] * power(0.5, doc_id % 100 / 365.0::DOUBLE), 12) AS score FROM pool JOIN documents ON doc_id = chunk_id)
 SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM w QUALIFY rank <= 5""")
 def security_rerank(t):
