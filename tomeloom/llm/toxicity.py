@@ -27,6 +27,8 @@ ORDER = 6
 SHARED = 1
 #: Labelled rows of each class that models are fitted on at most: the bound of the sample.
 MAX_ROWS = 1500
+#: Parts of the sample: the rows of each are scored by a model of the others, and the scale is fitted on those scores.
+FOLDS = 5
 #: Words whose scores a Python worker remembers.
 MEMORY = 400_000
 
@@ -37,22 +39,19 @@ def words_of(text: str | None) -> list[str]:
     return find_words(text.lower()) if text else []
 
 
-def _grams(words: list[str]):
-    """For all characters of all words, with a start and an end mark: hashes of the n-grams that end there.
-
-    Returns (hashes by order, offset in the word, number of the word).
-    """
-    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    first = np.flatnonzero(codes == 2)
+def _characters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all characters of all words, with a start and an end mark: hash, place in the word, number of the word."""
+    codes = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), np.uint32)
+    first = np.flatnonzero(codes == 2).astype(np.int32)
     lengths = np.diff(np.append(first, len(codes)))
-    offset = np.arange(len(codes)) - np.repeat(first, lengths)
-    values = mixed(codes + np.uint64(1))
-    hashes = [np.zeros(len(codes), np.uint64), values]
-    for _ in range(2, ORDER + 1):
-        before = np.concatenate([np.zeros(1, np.uint64), hashes[-1][:-1]])
-        hashes.append(mixed(before * np.uint64(BASE) + values))
-    # an n-gram's hash is built from its first n - 1 characters' hash and its last character
-    return hashes, offset, np.repeat(np.arange(len(words)), lengths)
+    offset = np.arange(len(codes), dtype=np.int32) - np.repeat(first, lengths)
+    return mixed(codes.astype(np.uint64) + np.uint64(1)), offset, np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+
+
+def _longer(hashes: np.ndarray | None, values: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams that end at each character from those one shorter: an n-gram's hash is built from its
+    first n - 1 characters' and its last character."""
+    return values if hashes is None else mixed(_previous(hashes) * np.uint64(BASE) + values)
 
 
 def _previous(x: np.ndarray) -> np.ndarray:
@@ -72,15 +71,18 @@ class KneserNey:
         self.backoffs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if not words:
             return
-        hashes, offset, word = _grams(words)
+        values, offset, word = _characters(words)
         weights = (np.asarray(toxic, float), np.asarray(ordinary, float))
-        levels = []
+        levels, hashes = [], None
         for n in range(1, ORDER + 1):
+            shorter, hashes = hashes, _longer(hashes, values)
             at = np.flatnonzero((offset >= n - 1) & (offset >= 1))
-            keys, first, inverse = np.unique(hashes[n][at], return_index=True, return_inverse=True)
+            keys, first, inverse = np.unique(hashes[at], return_index=True, return_inverse=True)
             raw = [np.bincount(inverse, w[word[at]], len(keys)) for w in weights]
             where = at[first]
-            levels.append({"keys": keys, "raw": raw, "context": _previous(hashes[n - 1])[where], "suffix": hashes[n - 1][where], "anchored": offset[where] == n - 1})
+            shorter = np.zeros(len(values), np.uint64) if shorter is None else shorter
+            levels.append({"keys": keys, "raw": raw, "context": shorter[where - 1] if n > 1 else shorter[where], "suffix": shorter[where], "anchored": offset[where] == n - 1})
+            del at, first, inverse
         for n, level in enumerate(levels, 1):
             counts = level["raw"]
             if n < ORDER:
@@ -113,7 +115,10 @@ class KneserNey:
         """Toxic minus ordinary log-likelihood of each word."""
         if not words or not self.ratios:
             return np.zeros(len(words))
-        hashes, offset, word = _grams(words)
+        values, offset, word = _characters(words)
+        hashes = [np.zeros(len(values), np.uint64), values]
+        for _ in range(2, ORDER + 1):
+            hashes.append(_longer(hashes[-1], values))
         total = np.zeros(len(offset))
         left = np.flatnonzero(offset >= 1)
         for n in range(ORDER, SHARED, -1):
@@ -159,7 +164,7 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> tu
     rows = rows.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic")).withColumn("h", F.xxhash64("_id", F.lit("fit")))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     picked = [rows.filter(F.col("toxic") == c).orderBy("h", "_id").limit(max_rows) for c in (1, 0)]
-    return picked[0].union(picked[1]).select("_id", "toxic", F.pmod("h", F.lit(2)).alias("fold")), [sizes.get(1, 0), sizes.get(0, 0)]
+    return picked[0].union(picked[1]).select("_id", "toxic", F.pmod("h", F.lit(FOLDS)).alias("fold")), [sizes.get(1, 0), sizes.get(0, 0)]
 
 
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,28 +214,32 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return Detector(KneserNey([], np.zeros(0), np.zeros(0)), 10.0 if sizes[0] else -50.0, 0.0, "constant")
     rows = documents.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("text", "toxic", "fold")
-    counts = texts.mapInPandas(_word_counts, "w string, toxic int, fold long, n long").groupBy("w").agg(*[F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}{f}") for c in (1, 0) for f in (0, 1)])
+    counts = texts.mapInPandas(_word_counts, "w string, toxic int, fold long, n long").groupBy("w").agg(*[F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}{f}") for c in (1, 0) for f in range(FOLDS)])
     table_ = counts.orderBy("w").toPandas()
     words = table_["w"].tolist()
-    toxic, ordinary = ([table_[f"n{c}{f}"].to_numpy() for f in (0, 1)] for c in (1, 0))
-    halves = []
-    for f in (0, 1):
-        used = np.flatnonzero(toxic[f] + ordinary[f])
-        halves.append(KneserNey([words[i] for i in used], toxic[f][used], ordinary[f][used]))
-    shared = spark.sparkContext.broadcast(halves)
+    toxic, ordinary = (table_[[f"n{c}{f}" for f in range(FOLDS)]].to_numpy() for c in (1, 0))
+    del table_
+    others = []
+    for f in range(FOLDS):
+        t, o = toxic.sum(1) - toxic[:, f], ordinary.sum(1) - ordinary[:, f]
+        used = np.flatnonzero(t + o)
+        others.append(KneserNey([words[i] for i in used], t[used], o[used]))
+    shared = spark.sparkContext.broadcast(others)
+    del others
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memories = [Remembered(m) for m in shared.value]
         for batch in batches:
-            values = [memories[1 - f].of_texts([words_of(t)])[0] for t, f in zip(batch["text"], batch["fold"], strict=True)]
+            values = [memories[f].of_texts([words_of(t)])[0] for t, f in zip(batch["text"], batch["fold"], strict=True)]
             yield pd.DataFrame({"toxic": batch["toxic"], "value": values})
 
     seen = texts.mapInPandas(held, "toxic int, value double").toPandas()
+    shared.destroy()
     y, x = seen["toxic"].to_numpy(float), seen["value"].to_numpy(float)
     kept = [max(1, (y == c).sum()) for c in (1, 0)]
     weight = np.where(y == 1, sizes[0] / kept[0], sizes[1] / kept[1])
     intercept, slope = _logistic(x, y, weight / weight.mean())
-    return Detector(KneserNey(words, sum(toxic), sum(ordinary)), intercept, slope, f"{hash((intercept, slope, len(words)))}")
+    return Detector(KneserNey(words, toxic.sum(1), ordinary.sum(1)), intercept, slope, f"{hash((intercept, slope, len(words)))}")
 
 
 def score(documents: DataFrame, detector: Detector, text_col: str = "text") -> DataFrame:
