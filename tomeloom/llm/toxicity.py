@@ -9,6 +9,7 @@ put on a scale from 0 to 1 by a logistic fit on rows that the models had not see
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -176,6 +177,20 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["w", "toxic", "fold", "n"])
 
 
+def _models(counted):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, toxic, ordinary = counted.value
+        for batch in batches:
+            for left_out in batch["id"].tolist():
+                rest = [f for f in range(FOLDS) if f != left_out]
+                t, o = toxic[:, rest].sum(1), ordinary[:, rest].sum(1)
+                used = np.flatnonzero(t + o)
+                model = KneserNey([words[i] for i in used], t[used], o[used])
+                yield pd.DataFrame({"id": [left_out], "model": [pickle.dumps(model)]})
+
+    return run
+
+
 class Detector:
     """Models and logistic scale; holds no more than the sample's n-grams."""
 
@@ -219,16 +234,18 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     words = table_["w"].tolist()
     toxic, ordinary = (table_[[f"n{c}{f}" for f in range(FOLDS)]].to_numpy() for c in (1, 0))
     del table_
-    others = []
-    for f in range(FOLDS):
-        t, o = toxic.sum(1) - toxic[:, f], ordinary.sum(1) - ordinary[:, f]
-        used = np.flatnonzero(t + o)
-        others.append(KneserNey([words[i] for i in used], t[used], o[used]))
-    shared = spark.sparkContext.broadcast(others)
-    del others
+    # the models are made in tasks, one for each part left out and one of all rows
+    counted = spark.sparkContext.broadcast((words, toxic, ordinary))
+    del words, toxic, ordinary
+    made = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInPandas(_models(counted), "id long, model binary").toPandas()
+    models = dict(zip(made["id"], made["model"], strict=True))
+    counted.destroy()
+    model = pickle.loads(models[FOLDS])
+    shared = spark.sparkContext.broadcast([models[f] for f in range(FOLDS)])
+    del made, models
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memories = [Remembered(m) for m in shared.value]
+        memories = [Remembered(pickle.loads(m)) for m in shared.value]
         for batch in batches:
             values = [memories[f].of_texts([words_of(t)])[0] for t, f in zip(batch["text"], batch["fold"], strict=True)]
             yield pd.DataFrame({"toxic": batch["toxic"], "value": values})
@@ -239,7 +256,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     kept = [max(1, (y == c).sum()) for c in (1, 0)]
     weight = np.where(y == 1, sizes[0] / kept[0], sizes[1] / kept[1])
     intercept, slope = _logistic(x, y, weight / weight.mean())
-    return Detector(KneserNey(words, toxic.sum(1), ordinary.sum(1)), intercept, slope, f"{hash((intercept, slope, len(words)))}")
+    return Detector(model, intercept, slope, repr((intercept, slope)))
 
 
 def score(documents: DataFrame, detector: Detector, text_col: str = "text") -> DataFrame:
