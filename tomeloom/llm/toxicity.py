@@ -177,18 +177,10 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["w", "toxic", "fold", "n"])
 
 
-def _models(counted):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, toxic, ordinary = counted.value
-        for batch in batches:
-            for left_out in batch["id"].tolist():
-                rest = [f for f in range(FOLDS) if f != left_out]
-                t, o = toxic[:, rest].sum(1), ordinary[:, rest].sum(1)
-                used = np.flatnonzero(t + o)
-                model = KneserNey([words[i] for i in used], t[used], o[used])
-                yield pd.DataFrame({"id": [left_out], "model": [pickle.dumps(model)]})
-
-    return run
+def _model(counts: pd.DataFrame) -> pd.DataFrame:
+    counts = counts.sort_values("w", ignore_index=True)
+    model = KneserNey(counts["w"].tolist(), counts["toxic"].to_numpy(), counts["ordinary"].to_numpy())
+    return pd.DataFrame({"id": counts["id"].iloc[:1], "model": [pickle.dumps(model)]})
 
 
 class Detector:
@@ -230,18 +222,14 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = documents.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("text", "toxic", "fold")
     counts = texts.mapInPandas(_word_counts, "w string, toxic int, fold long, n long").groupBy("w").agg(*[F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}{f}") for c in (1, 0) for f in range(FOLDS)])
-    table_ = counts.orderBy("w").toPandas()
-    words = table_["w"].tolist()
-    toxic, ordinary = (table_[[f"n{c}{f}" for f in range(FOLDS)]].to_numpy() for c in (1, 0))
-    del table_
-    # the models are made in tasks, one for each part left out and one of all rows
-    counted = spark.sparkContext.broadcast((words, toxic, ordinary))
-    del words, toxic, ordinary
-    made = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInPandas(_models(counted), "id long, model binary").toPandas()
+    # the models are made in tasks, one without each part and one of all; only they reach the driver
+    without = lambda c, left_out: sum(F.col(f"n{c}{f}") for f in range(FOLDS) if f != left_out)
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("id"), without(1, i).alias("toxic"), without(0, i).alias("ordinary")) for i in range(FOLDS + 1)]))
+    rows = counts.select("w", each.alias("x")).select("w", "x.*").filter("toxic + ordinary > 0")
+    made = rows.groupBy("id").applyInPandas(_model, "id long, model binary").toPandas()
     models = dict(zip(made["id"], made["model"], strict=True))
-    counted.destroy()
     model = pickle.loads(models[FOLDS])
-    shared = spark.sparkContext.broadcast([models[f] for f in range(FOLDS)])
+    shared = spark.sparkContext.broadcast([models.get(f) or models[FOLDS] for f in range(FOLDS)])
     del made, models
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
