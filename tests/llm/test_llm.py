@@ -279,6 +279,33 @@ def test_lm_training_helps():
     assert lm.log_chances(p, tree, texts).mean() > before + 0.3
 
 
+def test_lm_trains_on_every_text(spark):
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + j)}{i}" for j in range(1 + i % 40)) for i in range(120)]
+    model, _ = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
+    pieces = lm.Pieces(model.proto)
+    for ids in lm._sequences(pieces, [lm.words_of(t) for t in texts])[0]:
+        nodes = model.tree.nodes[model.tree.paths(ids[1:])[0]]
+        assert (model.parameters["u"][nodes] != 0).any(1).all()
+
+
+def test_lm_steps_take_every_target_once():
+    import pandas as pd
+    import sentencepiece
+
+    pieces = lm.Pieces(sentencepiece.SentencePieceProcessor(model_file=lm.default_path()).serialized_model_proto())
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["some", "words", "of", "a", "tale", "é"], k=k)) for k in (0, 3, 9000, 15, 16, 700)]
+    expected = [x for ids in lm._sequences(pieces, [lm.words_of(t) for t in texts])[0] for x in zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True)]
+    got, parted = [], 0
+    for at, inputs, targets, first in lm._training_blocks(pieces, iter([pd.DataFrame({"text": texts})])):
+        assert len(at) <= lm.TRAIN_BLOCKS + 1
+        keys = lm._keys(inputs, first, at)
+        assert ((keys[1:, : lm.BLOCK] == inputs[at[:-1]]) | (keys[1:, : lm.BLOCK] == -1)).all()
+        parted += (targets[0] < 0).all()
+        got += zip(inputs[at][targets >= 0].tolist(), targets[targets >= 0].tolist(), strict=True)
+    assert got == expected and parted
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     no_items = spark.createDataFrame([], "item_id long, text string")
