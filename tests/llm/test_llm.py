@@ -218,6 +218,14 @@ def test_html_main_text(spark):
     assert (by[20], by[21], by[22]) == ("", "", "a\nb <c> d")
 
 
+def test_html_tree_decides_inside_articles(spark):
+    page = "<body><footer>about {n}</footer><article><h1>Same title</h1><p>Text {n}</p><ul><li>Read our rules</li></ul></article><div class=x>Buy now</div></body>"
+    pages = [(i, f"https://many.example/{i}", page.format(n=i)) for i in range(10)] + [(20 + i, f"https://few.example/{i}", page.format(n=i)) for i in range(3)]
+    by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(by[i] == f"Same title\nText {i}" for i in range(10))
+    assert all(by[20 + i] == f"Same title\nText {i}\nRead our rules\nBuy now" for i in range(3))
+
+
 def test_kneser_ney_prefers_toxic_words(spark):
     rng = random.Random(5)
     ordinary = ["".join(rng.choices(["an", "the", "or", "in", "re"], k=rng.randint(1, 4))) for _ in range(300)]

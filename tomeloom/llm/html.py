@@ -1,13 +1,13 @@
 """Main text of web pages by site style trees (operator 2).
 
-The pages of a host are merged into one tree: an element node is the path of tags and classes that leads
-to it, a style node one of the child sequences seen there. A node's presentation importance is the
-entropy of its styles over the pages, a leaf's content importance one less the mean entropy of its texts
-over the pages that have it, and branches take a weighted mean of theirs. Branches of low importance are
-removed from each page of the host. What HTML itself names as no content (scripts, menus, footers,
-adverts, forms and so on) goes in any case: such branches are often worded anew on every page, where
-entropy alone would keep them; and the article and its plain text blocks stay in any case: sentences that
-many pages share are still content.
+The pages of a host are merged into one tree: an element node is the path of tags and classes
+that leads to it, a style node one of the child sequences seen there. A node's presentation importance is
+the entropy of its styles over the pages, a leaf's content importance one less the mean entropy of its
+texts over the pages that have it, and branches take a weighted mean of theirs. A block goes if its node
+and all below it are of low importance. HTML's own names are a prior on that: what they mark as no content
+(scripts, menus, footers, adverts, forms and so on) is often worded anew on every page, where entropy alone
+would keep it, so the name's weight suffices at any entropy; plain text blocks of an article go only if
+almost all pages agree on them, and its headings stay. Hosts of few pages have the names alone.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ MIN_PAGES = 8
 THRESHOLD = 0.25
 #: Weight of what lies below a node against its own styles, to the power of their number.
 DECAY = 0.9
+#: Kinds of a block by its names, and the weight and importance of each as a prior.
+NAMED, OTHER, PLAIN, HEADING = range(4)
+PRIORS = {NAMED: (0.8, 0.0), OTHER: (0.0, 0.0), PLAIN: (0.3, 0.75), HEADING: (0.3, 1.0)}
 #: Removed paths of all hosts that are broadcast at most; beyond it the join shuffles.
 BROADCAST_PATHS = 100_000
 
@@ -140,40 +143,50 @@ def blocks(html: str) -> Iterator[tuple[str, bool, bool, str]]:
         yield found
 
 
+def _kind(path: str, noise: bool, plain: bool) -> int:
+    if noise or not plain:
+        return NAMED if noise else OTHER
+    return HEADING if re.fullmatch("h[1-6]", path.rpartition("/")[2]) else PLAIN
+
+
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks of each page. The tree needs no more than a hash of named blocks, which never stay."""
     for batch in batches:
         rows = []
         for html in batch["html"]:
-            found = [(path, plain, text) for path, noise, plain, text in blocks(html) if not noise]
+            found = [(path, _kind(path, noise, plain), f"{xxhash.xxh64_intdigest(text):x}" if noise else text) for path, noise, plain, text in blocks(html)]
             rows.append([list(x) for x in zip(*found, strict=True)] if found else [[], [], []])
         out = batch[["page_id", "url", "host"]].copy()
-        for i, name in enumerate(("paths", "plains", "texts")):
+        for i, name in enumerate(("paths", "kinds", "texts")):
             out[name] = [r[i] for r in rows]
         yield out
 
 
 def _branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, path, style, leaf) of the branches of each page that entropy is to judge: style is the hash of the sequence
-    of child branches, leaf the hash of the texts right below."""
+    """(host, path, page, kind, style, leaf) of the branches of each page: page is the hash of all its blocks, style the hash
+    of the sequence of child branches, leaf the hash of the texts right below."""
     for batch in batches:
         out = []
-        for host, found in zip(batch["host"], batch["found"], strict=True):
+        for host, paths, kinds, texts in zip(batch["host"], batch["paths"], batch["kinds"], batch["texts"], strict=True):
+            page = xxhash.xxh64_intdigest("\0".join([*paths, "", *texts])) >> 1
             own: dict[str, list[str]] = {}
             children: dict[str, list[str]] = {}
-            for x in found:
-                path = x["path"]
-                own.setdefault(path, []).append(x["text"])
+            kind: dict[str, int] = {}
+            for path, k, text in zip(paths, kinds, texts, strict=True):
+                own.setdefault(path, []).append(text)
+                kind[path] = max(kind.get(path, NAMED), k)
                 while path:
                     up = path.rpartition("/")[0]
                     below = children.setdefault(up, [])
                     if not below or below[-1] != path:
                         below.append(path)
                     path = up
+                    kind[path] = max(kind.get(path, NAMED), min(k, OTHER))
             for path in own.keys() | children.keys():
                 style = xxhash.xxh64_intdigest("\0".join(children.get(path, ()))) >> 1
                 leaf = xxhash.xxh64_intdigest("\0".join(own[path])) >> 1 if path in own else None
-                out.append((host, path, style, leaf))
-        yield pd.DataFrame(out, columns=["host", "path", "style", "leaf"]).astype({"leaf": "Int64"})
+                out.append((host, path, page, kind[path], style, leaf))
+        yield pd.DataFrame(out, columns=["host", "path", "page", "kind", "style", "leaf"]).astype({"leaf": "Int64"})
 
 
 def _entropies(rows: DataFrame, what: str) -> DataFrame:
@@ -184,21 +197,37 @@ def _entropies(rows: DataFrame, what: str) -> DataFrame:
     return sums.select("host", "path", "pages", "kinds", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(F.lit(1.0)).alias("entropy"))
 
 
+def _ups(path: str) -> F.Column:
+    """A path and all above it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+
+
 def importance(branches: DataFrame) -> DataFrame:
-    """branches(host, path, style, leaf) -> (host, path, pages, importance) in each host's style tree.
+    """branches(host, path, kind, style, leaf) -> (host, path, pages, importance) in each host's style tree.
 
     A leaf's importance is the spread of its texts: 1 if every page words it anew, 0 if all agree. A
     branch's is (1 - g^l) of its styles' entropy and g^l of the mean of the leaves at and below it, g
-    being DECAY and l its number of styles.
+    being DECAY and l its number of styles. The names' PRIORS are mixed in.
     """
     styles = _entropies(branches, "style")
     leaves = _entropies(branches.filter("leaf is not null"), "leaf").select("host", F.col("path").alias("leaf_path"), F.col("entropy").alias("leaf"), F.col("pages").alias("weight"))
     # every leaf counts for all branches above it
-    ups = F.transform(F.sequence(F.lit(1), F.size(F.split("leaf_path", "/"))), lambda i: F.array_join(F.slice(F.split("leaf_path", "/"), 1, i), "/"))
-    below = leaves.select("host", F.explode(ups).alias("path"), "leaf", "weight").groupBy("host", "path").agg((F.sum(F.col("leaf") * F.col("weight")) / F.sum("weight")).alias("below"))
+    below = leaves.select("host", F.explode(_ups("leaf_path")).alias("path"), "leaf", "weight").groupBy("host", "path").agg((F.sum(F.col("leaf") * F.col("weight")) / F.sum("weight")).alias("below"))
     keep = F.pow(F.lit(DECAY), F.col("kinds"))
-    joined = styles.join(below, ["host", "path"], "left")
-    return joined.select("host", "path", "pages", ((1 - keep) * F.col("entropy") + keep * F.coalesce("below", F.lit(1.0))).alias("importance"))
+    kinds = branches.groupBy("host", "path").agg(F.max("kind").alias("kind"))
+    joined = styles.join(below, ["host", "path"], "left").join(kinds, ["host", "path"])
+    tree = (1 - keep) * F.col("entropy") + keep * F.coalesce("below", F.lit(1.0))
+    mixed = F.lit(None)
+    for kind, (weight, prior) in PRIORS.items():
+        mixed = F.when(F.col("kind") == kind, (1 - weight) * tree + weight * prior).otherwise(mixed)
+    return joined.select("host", "path", "pages", mixed.alias("importance"))
+
+
+def low_paths(branches: DataFrame, min_pages: int, threshold: float) -> DataFrame:
+    """(host, path) of the nodes that many pages have and that are, with all below them, of low importance."""
+    rated = importance(branches).select("host", F.col("path").alias("own"), ((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).alias("low"))
+    return rated.select("host", F.explode(_ups("own")).alias("path"), "low").groupBy("host", "path").agg(F.every("low").alias("low")).filter("low").drop("low")
 
 
 def host_of(url) -> F.Column:
@@ -214,18 +243,19 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = T
     is read as far as it goes. Repeated rows give repeated rows. An empty table gives an empty result.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    parsed = stored(rows.mapInPandas(_parsed, "page_id long, url string, host string, paths array<string>, plains array<boolean>, texts array<string>"))
-    found = F.arrays_zip(F.col("paths").alias("path"), F.col("plains").alias("plain"), F.col("texts").alias("text"))
-    judged = parsed.select("host", F.filter(found, lambda x: ~x["plain"]).alias("found")).filter(F.size("found") > 0)
-    branches = stored(judged.mapInPandas(_branches, "host string, path string, style long, leaf long"))
-    low = importance(branches).filter((F.col("pages") >= min_pages) & (F.col("importance") < threshold) & (F.col("path") != ""))
+    parsed = stored(rows.mapInPandas(_parsed, "page_id long, url string, host string, paths array<string>, kinds array<int>, texts array<string>"))
+    judged = parsed.filter(F.size("paths") > 0).select("host", "paths", "kinds", "texts")
+    branches = judged.mapInPandas(_branches, "host string, path string, page long, kind int, style long, leaf long")
+    branches = stored(branches.drop("page"))
+    low = low_paths(branches, min_pages, threshold)
     gone = stored(low.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("path")).alias("gone")))
     # templates are few: their paths are broadcast if a count says so
     if gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_PATHS:
         gone = F.broadcast(gone)
+    found = F.arrays_zip(F.col("paths").alias("path"), F.col("kinds").alias("kind"), F.col("texts").alias("text"))
     kept = parsed.join(gone, F.col("host") == F.col("_host"), "left").withColumn("found", found)
-    is_gone = lambda x: F.exists(F.coalesce("gone", F.array().cast("array<string>")), lambda g: (x["path"] == g) | F.startswith(x["path"], F.concat(g, F.lit("/"))))
-    text = F.array_join(F.transform(F.filter("found", lambda x: x["plain"] | ~is_gone(x)), lambda x: x["text"]), "\n")
+    stays = lambda x: (x["kind"] != NAMED) & ~F.coalesce(F.array_contains("gone", x["path"]), F.lit(False))
+    text = F.array_join(F.transform(F.filter("found", stays), lambda x: x["text"]), "\n")
     return kept.select("page_id", "url", text.alias("text"))
 
 
