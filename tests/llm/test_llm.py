@@ -226,6 +226,13 @@ def test_html_tree_decides_inside_articles(spark):
     assert all(by[20 + i] == f"Same title\nText {i}\nRead our rules\nBuy now" for i in range(3))
 
 
+def test_html_copies_count_once(spark):
+    page = "<body><div class=menu2>Always</div><div class=text>Story {n}</div></body>"
+    pages = [(i, f"https://h.example/{i}", page.format(n=max(0, i - 180))) for i in range(200)]
+    by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert by == {i: f"Story {max(0, i - 180)}" for i in range(200)}
+
+
 def test_kneser_ney_prefers_toxic_words(spark):
     rng = random.Random(5)
     ordinary = ["".join(rng.choices(["an", "the", "or", "in", "re"], k=rng.randint(1, 4))) for _ in range(300)]

@@ -1,6 +1,6 @@
 """Main text of web pages by site style trees (operator 2).
 
-The pages of a host are merged into one tree: an element node is the path of tags and classes
+The different pages of a host are merged into one tree: an element node is the path of tags and classes
 that leads to it, a style node one of the child sequences seen there. A node's presentation importance is
 the entropy of its styles over the pages, a leaf's content importance one less the mean entropy of its
 texts over the pages that have it, and branches take a weighted mean of theirs. A block goes if its node
@@ -246,7 +246,8 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = T
     parsed = stored(rows.mapInPandas(_parsed, "page_id long, url string, host string, paths array<string>, kinds array<int>, texts array<string>"))
     judged = parsed.filter(F.size("paths") > 0).select("host", "paths", "kinds", "texts")
     branches = judged.mapInPandas(_branches, "host string, path string, page long, kind int, style long, leaf long")
-    branches = stored(branches.drop("page"))
+    # copies of a page count once
+    branches = stored(branches.groupBy("host", "path", "page").agg(*[F.max(x).alias(x) for x in ("kind", "style", "leaf")]).drop("page"))
     low = low_paths(branches, min_pages, threshold)
     gone = stored(low.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("path")).alias("gone")))
     # templates are few: their paths are broadcast if a count says so
