@@ -216,3 +216,22 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_parsed_queries_hold_quotes_and_alternatives(spark, tmp_path):
+    from tomeloom import plans
+
+    said = [(1, 0, "user", 'red "Big Fox" OR blue'), (1, 1, "assistant", "no"), (1, 2, "user", "cat and dog"), (7, 0, "user", 'or "" AND x "one'), (9, 0, "user", None)]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    clauses = {(1, 0): [{("red",), ("big", "fox")}, {("blue",)}], (1, 2): [{("cat",), ("dog",)}], (7, 0): [{("x",), ("one",)}]}
+    expected = sorted((*key, c, len(phrases), p, len(phrase), i, w) for key, found in clauses.items() for c, phrases in enumerate(found) for p, phrase in enumerate(sorted(phrases)) for i, w in enumerate(phrase))
+    assert sorted(map(tuple, plans.QUERIES["h4_parsed_queries"](spark, str(tmp_path)).collect())) == expected
+
+
+def test_parsed_queries_cover_all_user_turns(spark, sf):
+    from tomeloom import plans
+
+    turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf}/conversations.parquet").filter("role = 'user'").collect()}
+    got = {(r.conv_id, r.turn) for r in plans.QUERIES["h4_parsed_queries"](spark, sf).collect()}
+    # a turn has terms unless nothing but its operators are words
+    assert got == {k for k, t in turns.items() if any(w.upper() not in ("OR", "AND") for w in (t or "").split() if any(c.isalnum() for c in w))}

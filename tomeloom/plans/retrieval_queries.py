@@ -296,6 +296,15 @@ def query_terms(t):
     return plain.select("conv_id", "turn", F.size(fulltext.words(F.col("text"))).cast("long").alias("n_terms"))
 
 
+@query("h4_parsed_queries")
+def parsed_queries(t):
+    """All user turns through the parser: the words of each phrase of each alternative. SQL can't say its quotes and ORs."""
+    asked = t.conversations.filter("role = 'user'").select((F.shiftleft(F.col("conv_id").cast("long"), 32) + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+    terms = fulltext.query_terms(asked)
+    conv_id, turn = F.shiftright("query_id", 32).alias("conv_id"), F.col("query_id").bitwiseAND(F.lit((1 << 32) - 1)).alias("turn")
+    return terms.select(conv_id, turn, "clause", "n_phrases", "phrase", "n_words", "at", "term")
+
+
 @query("h7_highlights")
 def highlights(t):
     from ..functions.text import highlighted
