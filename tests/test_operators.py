@@ -235,3 +235,12 @@ def test_parsed_queries_cover_all_user_turns(spark, sf):
     got = {(r.conv_id, r.turn) for r in plans.QUERIES["h4_parsed_queries"](spark, sf).collect()}
     # a turn has terms unless nothing but its operators are words
     assert got == {k for k, t in turns.items() if any(w.upper() not in ("OR", "AND") for w in (t or "").split() if any(c.isalnum() for c in w))}
+
+
+def test_semantic_chunks_query_keeps_all_turns(spark, tmp_path):
+    from tomeloom import plans
+
+    spark.createDataFrame([(c, t, "user", f"turn {c} {t}") for c in range(4) for t in range(3)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(i, [1.0, 0.0], 0) for i in range(0, 9, 2)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.document_id: r.content for r in plans.QUERIES["i5_semantic_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {c: " ".join(f"turn {c} {t}" for t in range(3)) for c in range(4)}

@@ -194,9 +194,10 @@ def length_chunks(t):
 
 @query("i5_semantic_chunks")
 def semantic_chunks(t):
-    """Turns as sentences, with the vector whose id is their number in the table's order of conversations and turns."""
-    rows = t.conversations.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("position"), F.col("text").alias("sentence"), F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(500)).alias("vec_id"))
-    return chunking.semantic_chunks(rows.join(t.embeddings.select("vec_id", "embedding"), "vec_id"), 0.2, 100)
+    """Turns as sentences, with the vector whose id is 7 * conv_id + turn modulo the number of vectors; a turn without one stays with the turn before."""
+    size = F.lit(max(1, t.embeddings.count()))
+    rows = t.conversations.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("position"), F.col("text").alias("sentence"), F.pmod(F.col("conv_id") * 7 + F.col("turn"), size).alias("vec_id"))
+    return chunking.semantic_chunks(rows.join(t.embeddings.select("vec_id", "embedding"), "vec_id", "left"), 0.2, 100)
 
 
 @query("e10_source_numbers", "SELECT conv_id, turn, '[Source ' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) || ': ' || role || ']' AS source FROM conversations")
