@@ -257,7 +257,7 @@ def test_lm_counts_and_head_tail(spark, rows):
     docs = frame(spark, rows)
     out = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
     far = {r.doc_id: r for r in lm.lm_scores(docs, head_words=20).collect()}
-    words = {i: lm.words_of(t) for i, t, _ in rows}
+    words = {i: lm.words_of((t or "").encode()) for i, t, _ in rows}
     train = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
     counts = Counter(w for i in train for w in words[i])
     total, room = sum(counts.values()) + len(train), sum(counts.values()) + len(train) + len(counts) + 2
@@ -269,55 +269,112 @@ def test_lm_counts_and_head_tail(spark, rows):
         assert r.score < 0 and abs(far[i].base_score - r.base_score) < 1e-6 and abs(far[i].score - r.score) < 1e-3
 
 
-def test_lm_chances_sum_to_one():
+def lm_by_hand(model, text):
+    """Log10 chance of a text by plain loops over the model's numbers."""
+    encode = lm.Words(model.proto).model.encode
+    p, theta, words = model.parameters, model.expected / model.expected.sum(0), lm.words_of(text.encode())
+    tokens = [[lm.BEGIN], *[encode(w.decode()) for w in words], [lm.END]]
+    rows = [np.mean([p["e"][model.row_of[i]] for i in ids], 0) for ids in tokens]
+    total = 0.0
+    for t in range(len(tokens) - 1):
+        begin = max(0, (t // lm.BLOCK - 1) * lm.BLOCK)
+        weights = [math.exp(rows[t][lm.Q] @ rows[j][lm.K] + p["r"][t - j, 0]) for j in range(begin, t + 1)]
+        z = sum(w * rows[j][lm.V] for w, j in zip(weights, range(begin, t + 1), strict=True)) / sum(weights) + p["a"][:, 0]
+        pi = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        first = tokens[t + 1][0]
+        total += math.log10(float(pi @ theta[model.first_of[first]]))
+        if first == lm.END:
+            continue
+        spelled, ids = 1.0, tokens[t + 1]
+        for a, b in zip(ids, [*ids[1:], lm.END], strict=True):
+            spelled *= math.exp(model.spelling.of(np.array([a]), np.array([b]))[0])
+        n, count = model.begins[first], model.head.get(words[t], 0)
+        inner = max(count - model.discount, 0) / n + model.discount * model.kinds[first] / n * spelled if n else spelled / model.spelling.size
+        total += math.log10(inner)
+    return total
+
+
+def test_lm_score_equals_plain_loops(spark, rows):
+    docs = frame(spark, rows)
+    texts = docs.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 7) != 2").select(F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    model, tail = lm.fit(texts)
+    assert tail.count() == 0
+    wanted = [(i, False, t) for i, t, _ in rows if i % 4 == 0 and t] + [(900, True, "never seen Wörter w1"), (901, True, " ")]
+    got = lm.score(spark.createDataFrame(wanted, "doc_id long, held_out boolean, text string").withColumn("text", F.col("text").cast("binary")), model, tail).collect()
+    assert len(got) == len(wanted)
+    for r in got:
+        assert abs(r.score - lm_by_hand(model, dict((i, t) for i, _, t in wanted)[r.doc_id])) < 1e-2 + 1e-5 * abs(r.score)
+
+
+def test_lm_chances_sum_to_one(spark, rows):
+    model, _ = lm.fit(spark.createDataFrame([(t.encode(),) for _, t, _ in rows if t], "text binary"))
+    assert np.allclose(model.theta().sum(0), 1, atol=1e-4)
+    every = np.arange(model.spelling.size)
+    for a in np.flatnonzero(model.kinds)[:20]:
+        assert abs(np.exp(model.spelling.of(np.full(len(every), a), every)).sum() - 1) < 1e-6
+    words = lm.Words(model.proto)
+    at, known = words.of(list(model.head)), Counter()
+    for w, first in zip(model.head, words.ids[words.start[at]].tolist(), strict=True):
+        known[first] += max(model.head[w] - model.discount, 0)
+    for first, n in known.items():
+        assert abs((n + model.discount * model.kinds[first]) / model.begins[first] - 1) < 1e-9
+
+
+def test_lm_is_causal():
     rng = np.random.default_rng(0)
-    tree = lm.Tree(rng.integers(1, 100, 40).astype(float))
-    p = lm.first_parameters(tree)
-    p["u"] = rng.normal(0, 1, p["u"].shape).astype(np.float32)
-    lead = rng.integers(0, 40, 50)
-    every = lm.log_chances(p, tree, [np.append(lead, x).astype(np.int32) for x in range(40)]).reshape(40, -1)
-    assert abs(np.exp(every[:, -1]).sum() - 1) < 1e-4
-    # masked: what follows changes nothing before it
-    assert np.allclose(every[:, :-1], every[0, :-1], atol=1e-5)
-
-
-def test_lm_training_helps():
-    rng = np.random.default_rng(2)
-    texts = [np.tile(rng.permutation(8) + 3, 6).astype(np.int32) for _ in range(60)]
-    tree = lm.Tree(np.bincount(np.concatenate(texts), minlength=12) + 0.5)
-    p = lm.first_parameters(tree)
-    squares = {x: np.full(y.shape, 1e-2, np.float32) for x, y in p.items()}
-    before = lm.log_chances(p, tree, texts).mean()
-    for _ in range(40):
-        i, y, f = lm.laid_out(texts)
-        lm.train_step(p, squares, tree, i, y, lm._keys(i, f, np.arange(len(i))))
-    assert lm.log_chances(p, tree, texts).mean() > before + 0.3
-
-
-def test_lm_trains_on_every_text(spark):
-    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + j)}{i}" for j in range(1 + i % 40)) for i in range(120)]
-    model, _ = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
-    pieces = lm.Pieces(model.proto)
-    for ids in lm._sequences(pieces, [lm.words_of(t) for t in texts])[0]:
-        nodes = model.tree.nodes[model.tree.paths(ids[1:])[0]]
-        assert (model.parameters["u"][nodes] != 0).any(1).all()
+    p = {"e": rng.normal(0, 1, (50, 2 * lm.WIDTH + lm.COMPONENTS)).astype(np.float32), "r": rng.normal(0, 1, (2 * lm.BLOCK, 1)).astype(np.float32), "a": np.zeros((lm.COMPONENTS, 1), np.float32)}
+    x = p["e"][rng.integers(0, 50, (5, lm.BLOCK))]
+    first = np.array([True, False, False, True, False])
+    before = lm.attend(p, x, first)[0]
+    x[2, 7:] = 9.0
+    after = lm.attend(p, x, first)[0]
+    assert np.allclose(before[:2], after[:2]) and np.allclose(before[2, :7], after[2, :7]) and np.allclose(before[3:], after[3:]) and not np.allclose(before[2, 7:], after[2, 7:])
+
+
+def test_lm_gradient_is_right():
+    rng = np.random.default_rng(3)
+    n = 2 * lm.WIDTH + lm.COMPONENTS
+    start = {"e": rng.normal(0, 0.5, (12, n)), "r": rng.normal(0, 0.5, (2 * lm.BLOCK, 1)), "a": rng.normal(0, 0.5, (lm.COMPONENTS, 1))}
+    start = {x: y.astype(np.float32) for x, y in start.items()}
+    expected = rng.random((6, lm.COMPONENTS)).astype(np.float32)
+    entries = [rng.integers(2, 10, 40).astype(np.int32), rng.integers(2, 10, 5).astype(np.int32)]
+    rows, begin, length, firsts = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]), np.arange(10), np.array([1, 1, 2, 1, 3, 1, 1, 2, 1, 3]), rng.integers(0, 6, 10)
+    inputs, targets, first = lm.laid_out(entries)
+
+    def value(p):
+        x = lm.word_rows(p["e"], rows, begin[inputs.ravel()], length[inputs.ravel()]).reshape(*inputs.shape, -1)
+        return lm.first_chances(p, expected / expected.sum(0), x, targets, first, firsts).sum()
+
+    p, squares = {x: y.copy() for x, y in start.items()}, {x: np.zeros(y.shape) for x, y in start.items()}
+    lm.train_step(p, squares, expected.copy(), rows, begin, length, firsts, inputs, targets, first)
+    for name, at in (("e", (3, 1)), ("e", (4, lm.WIDTH + 2)), ("e", (5, 2 * lm.WIDTH + 1)), ("r", (3, 0)), ("a", (2, 0))):
+        gaps = []
+        for step in (1e-2, -1e-2):
+            moved = {x: y.copy() for x, y in start.items()}
+            moved[name][at] += step
+            gaps.append(value(moved))
+        slope = (gaps[0] - gaps[1]) / 2e-2
+        assert abs(np.sqrt(squares[name][at]) - abs(slope)) < 2e-2 * max(1, abs(slope)) and (p[name][at] > start[name][at]) == (slope > 0)
+
+
+def test_lm_learns_what_goes_together(spark):
+    rng = random.Random(6)
+    kinds = [["the house and garden are green today", "with many small birds there"], ["der Garten ist heute sehr schön", "und viele kleine Vögel dort"]]
+    texts = [" ".join(rng.choices(" ".join(kinds[i % 2]).split(), k=60)) for i in range(2000)]
+    out = lm.lm_scores(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]).coalesce(2)).collect()
+    held = [r for r in out if r.held_out]
+    assert len(held) > 20 and sum(r.score > r.base_score for r in held) > 0.9 * len(held)
 
 
 def test_lm_steps_take_every_target_once():
-    import pandas as pd
-    import sentencepiece
-
-    pieces = lm.Pieces(sentencepiece.SentencePieceProcessor(model_file=lm.default_path()).serialized_model_proto())
     rng = random.Random(4)
-    texts = [" ".join(rng.choices(["some", "words", "of", "a", "tale", "é"], k=k)) for k in (0, 3, 9000, 15, 16, 700)]
-    expected = [x for ids in lm._sequences(pieces, [lm.words_of(t) for t in texts])[0] for x in zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True)]
+    texts = [np.array([rng.randint(2, 9) for _ in range(k)], np.int32) for k in (0, 3, 9000, 15, 16, 700)]
+    expected = [x for t in texts for x in zip([0, *t.tolist()], [*t.tolist(), 1], strict=True)]
     got, parted = [], 0
-    for at, inputs, targets, first in lm._training_blocks(pieces, iter([pd.DataFrame({"text": texts})])):
-        assert len(at) <= lm.TRAIN_BLOCKS + 1
-        keys = lm._keys(inputs, first, at)
-        assert ((keys[1:, : lm.BLOCK] == inputs[at[:-1]]) | (keys[1:, : lm.BLOCK] == -1)).all()
+    for inputs, targets, first in lm.steps_of(*lm.laid_out(texts)):
+        assert len(inputs) <= lm.STEP + 1 and first[0]
         parted += (targets[0] < 0).all()
-        got += zip(inputs[at][targets >= 0].tolist(), targets[targets >= 0].tolist(), strict=True)
+        got += zip(inputs[targets >= 0].tolist(), targets[targets >= 0].tolist(), strict=True)
     assert got == expected and parted
 
 
