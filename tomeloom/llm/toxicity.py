@@ -3,12 +3,15 @@
 Two models of the characters of words, one of toxic and one of ordinary texts, are fitted on a bounded
 sample of labelled rows. Contexts are counted for each class, discounted, and interpolated with shorter
 ones; the last, without a context, is shared by both classes, so that expressions rare in both weigh
-about alike. The score of a text is the difference of its two log-likelihoods over its number of words,
-put on a scale from 0 to 1 by a logistic fit on rows that the models had not seen.
+about alike. A text's two log-likelihoods are compared by their difference over its number of words: over
+all its words, and over the shares PEAKS of them that speak most for the toxic model, since a few words in a
+long text make it toxic. These are put on a scale from 0 to 1 by a logistic fit on rows that the models had
+not seen.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 from collections import Counter
@@ -26,6 +29,8 @@ from .hashing import BASE, mixed
 ORDER = 6
 #: Characters of the longest n-gram whose counts both classes share.
 SHARED = 1
+#: Shares of a text's words, those of the highest log-ratio, whose mean is a feature beside that of all words.
+PEAKS = (0.02, 0.1)
 #: Labelled rows of each class that models are fitted on at most: the bound of the sample.
 MAX_ROWS = 1500
 #: Parts of the sample: the rows of each are scored by a model of the others, and the scale is fitted on those scores.
@@ -141,13 +146,18 @@ class Remembered(dict):
         self.model = model
 
     def of_texts(self, texts: list[list[str]]) -> np.ndarray:
-        """Mean over the words of each text; 0 for a text without words."""
+        """For each text the mean over its words, and over each share of PEAKS, one word at least; 0 for a text without words."""
         new = list({w for words in texts for w in words if w not in self})
         if len(self) + len(new) > MEMORY:
             self.clear()
             new = list({w for words in texts for w in words})
         self.update(zip(new, self.model.of_words(new).tolist(), strict=True))
-        return np.array([sum(map(self.__getitem__, words)) / len(words) if words else 0.0 for words in texts])
+        out = np.zeros((len(texts), 1 + len(PEAKS)))
+        for i, words in enumerate(texts):
+            if words:
+                values = -np.sort(-np.fromiter(map(self.__getitem__, words), float, len(words)))
+                out[i] = [values.mean(), *(values[: max(1, math.ceil(len(words) * share))].mean() for share in PEAKS)]
+        return out
 
 
 _remembered: dict[str, Remembered] = {}
@@ -186,39 +196,41 @@ def _model(counts: pd.DataFrame) -> pd.DataFrame:
 class Detector:
     """Models and logistic scale; holds no more than the sample's n-grams."""
 
-    def __init__(self, model: KneserNey, intercept: float, slope: float, name: str):
-        self.model, self.intercept, self.slope, self.name = model, intercept, slope, name
+    def __init__(self, model: KneserNey, intercept: float, slopes: np.ndarray):
+        self.model, self.intercept, self.slopes = model, intercept, slopes
+        self.name = repr((intercept, list(slopes)))
 
     def score(self, values: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * values, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.intercept + values @ self.slopes, -50, 50)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic fit of y on x by Newton steps, with a little weight against steep slopes."""
-    scale = x.std() or 1.0
-    z = np.stack([np.ones(len(x)), x / scale], 1)
-    b = np.zeros(2)
-    for _ in range(50):
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted logistic fit of y on the columns of x by Newton steps, with a little weight against steep slopes."""
+    centre, scale = x.mean(0), x.std(0) + 1e-9
+    z = np.concatenate([np.ones((len(x), 1)), (x - centre) / scale], 1)
+    b = np.zeros(z.shape[1])
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
         slope = z.T @ (weight * (y - p)) - 1e-2 * b
-        curve = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2)
+        curve = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(b))
         step = np.linalg.solve(curve, slope)
         b += step
         if np.abs(step).max() < 1e-8:
             break
-    return b[0], b[1] / scale
+    return float(b[0] - (b[1:] * centre / scale).sum()), b[1:] / scale
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Detector:
     """Fit on labelled rows whose crc32(doc_id as text) mod 5 is not 0, max_rows of each class at most.
 
-    Null labels are left out; a document labelled twice is toxic if either label says so. With one class
-    missing every text scores that of the known class; with no labels at all, 0.
+    Null labels and null ids are left out; a document labelled twice is toxic if either label says so. Each of
+    several rows of one id is learned from. Rows of the least hash are taken, of equal hashes the least ids. With
+    one class missing every text scores that of the known class; with no labels at all, or none of a document, 0.
     """
     spark = documents.sparkSession
     picked, sizes = _sample(labels, id_col, label_col, max_rows)
     if not all(sizes):
-        return Detector(KneserNey([], np.zeros(0), np.zeros(0)), 10.0 if sizes[0] else -50.0, 0.0, "constant")
+        return Detector(KneserNey([], np.zeros(0), np.zeros(0)), 10.0 if sizes[0] else -50.0, np.zeros(1 + len(PEAKS)))
     rows = documents.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("text", "toxic", "fold")
     counts = texts.mapInPandas(_word_counts, "w string, toxic int, fold long, n long").groupBy("w").agg(*[F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}{f}") for c in (1, 0) for f in range(FOLDS)])
@@ -228,6 +240,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = counts.select("w", each.alias("x")).select("w", "x.*").filter("toxic + ordinary > 0")
     made = rows.groupBy("id").applyInPandas(_model, "id long, model binary").toPandas()
     models = dict(zip(made["id"], made["model"], strict=True))
+    if FOLDS not in models:
+        return Detector(KneserNey([], np.zeros(0), np.zeros(0)), -50.0, np.zeros(1 + len(PEAKS)))
     model = pickle.loads(models[FOLDS])
     shared = spark.sparkContext.broadcast([models.get(f) or models[FOLDS] for f in range(FOLDS)])
     del made, models
@@ -236,21 +250,21 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         memories = [Remembered(pickle.loads(m)) for m in shared.value]
         for batch in batches:
             values = [memories[f].of_texts([words_of(t)])[0] for t, f in zip(batch["text"], batch["fold"], strict=True)]
-            yield pd.DataFrame({"toxic": batch["toxic"], "value": values})
+            yield pd.DataFrame({"toxic": batch["toxic"], "values": [v.tolist() for v in values]})
 
-    seen = texts.mapInPandas(held, "toxic int, value double").toPandas()
+    seen = texts.mapInPandas(held, "toxic int, values array<double>").toPandas()
     shared.destroy()
-    y, x = seen["toxic"].to_numpy(float), seen["value"].to_numpy(float)
+    y, x = seen["toxic"].to_numpy(float), np.array(seen["values"].tolist(), float).reshape(len(seen), -1)
     kept = [max(1, (y == c).sum()) for c in (1, 0)]
     weight = np.where(y == 1, sizes[0] / kept[0], sizes[1] / kept[1])
-    intercept, slope = _logistic(x, y, weight / weight.mean())
-    return Detector(model, intercept, slope, repr((intercept, slope)))
+    return Detector(model, *_logistic(x, y, weight / weight.mean()))
 
 
-def score(documents: DataFrame, detector: Detector, text_col: str = "text") -> DataFrame:
-    """All columns of documents with `toxicity` (0 to 1) added, or replaced if there.
+def score(documents: DataFrame, detector: Detector, text_col: str = "text", column: str = "toxicity") -> DataFrame:
+    """All columns of documents with `column` (0 to 1) added, or replaced if there.
 
-    Null, empty and wordless texts get the score of a mean log-ratio of 0. Every text is read whole.
+    Null, empty and wordless texts get the score of log-ratios of 0. Every text is read whole. Equal texts score
+    alike, repeated rows stay repeated, and an empty table gives an empty result.
     """
     shared = documents.sparkSession.sparkContext.broadcast(detector)
 
@@ -265,7 +279,7 @@ def score(documents: DataFrame, detector: Detector, text_col: str = "text") -> D
             values = [memory.of_texts([words_of(t) for t in part]) for part in _slices(batch.tolist())]
             yield pd.Series(found.score(np.concatenate(values)) if values else [], dtype="float64")
 
-    return documents.withColumn("toxicity", toxicity(F.coalesce(F.col(text_col), F.lit(""))))
+    return documents.withColumn(column, toxicity(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def op1_toxicity(spark, sf_dir):
