@@ -1,13 +1,16 @@
 """Main text of web pages by site style trees (operator 2).
 
-The different pages of a host are merged into one tree: an element node is the path of tags and classes
-that leads to it, a style node one of the child sequences seen there. A node's presentation importance is
-the entropy of its styles over the pages, a leaf's content importance one less the mean entropy of its
-texts over the pages that have it, and branches take a weighted mean of theirs. A block goes if its node
-and all below it are of low importance. HTML's own names are a prior on that: what they mark as no content
-(scripts, menus, footers, adverts, forms and so on) is often worded anew on every page, where entropy alone
-would keep it, so the name's weight suffices at any entropy; plain text blocks of an article go only if
-almost all pages agree on them, and its headings stay. Hosts of few pages have the names alone.
+The different pages of a host are merged into one tree: an element node is the path of tags and classes that
+leads to it, a style node one of the child sequences seen there. A node's content importance is one less the
+mean entropy of its texts over the pages, so 1 if every page words it anew and 0 if all agree; where a node has
+children too, the entropy of its styles is mixed in. A text that many of the pages share counts by its own entropy,
+and so does its spread over the pages of all hosts outside articles, which speaks for hosts of few pages. What is of
+low importance goes.
+
+HTML's own names are a prior with the weight of PRIORS pages: against no evidence they decide alone. What
+they mark as no content (menus, footers, forms and so on) may be worded anew on every page, where entropy
+would keep it, so that prior outweighs any entropy; so does that of an article's headings, which many pages may
+share. Other text of an article starts as important.
 """
 
 from __future__ import annotations
@@ -23,32 +26,33 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-#: Pages that must have a branch before its entropy tells anything.
-MIN_PAGES = 8
-THRESHOLD = 0.25
-#: Weight of what lies below a node against its own styles, to the power of their number.
+THRESHOLD = 0.7
+#: Weight of what a node's texts say against its own styles, to the power of their number less one.
 DECAY = 0.9
-#: Kinds of a block by its names, and the weight and importance of each as a prior.
+#: Pages that a host's tree, and those of all hosts, count for at most.
+MOST_PAGES = 64
+#: Kinds of a block by its names, and the importance and weight, in pages, of each as a prior.
 NAMED, OTHER, PLAIN, HEADING = range(4)
-PRIORS = {NAMED: (0.8, 0.0), OTHER: (0.0, 0.0), PLAIN: (0.3, 0.75), HEADING: (0.3, 1.0)}
-#: Removed paths of all hosts that are broadcast at most; beyond it the join shuffles.
+PRIORS = {NAMED: (0.0, 64), OTHER: (1.0, 1e-3), PLAIN: (1.0, 32), HEADING: (1.0, 400)}
+#: Removed nodes and texts of all hosts that are broadcast at most; beyond it the join shuffles.
 BROADCAST_PATHS = 100_000
 
 # HTML's own names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template", "svg", "math")
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+FOREIGN = frozenset(["svg", "math"])
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table thead tbody tfoot tr td th figure figcaption b i em strong a span br code sub sup small u q cite".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NO_CONTENT = frozenset("head nav header footer aside form menu dialog script style noscript template iframe object embed svg math canvas audio video button select option textarea input label title".split())
-#: Words in a class, id or role that name what is no content.
-NO_CONTENT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer\w*|header|masthead|cookie\w*|consent|notice\w*|alert\w*|popup\w*|modal\w*|"
-    r"comments?|comment-?list|replies|reply|respond|disqus\w*|share\w*|social\w*|related\w*|recommend\w*|newsletter\w*|subscri\w*|login|signup|search\w*|pagination|pager|toolbar|widget\w*|"
-    r"navigation|complementary|contentinfo|search|dialog)(?:$|[\s_-])",
-    re.I,
+#: Words that as a class, id or role name what is no content, and words that may stand beside them.
+NO_CONTENT_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead cookie cookies consent notice alert popup modal "
+    "comment comments replies reply respond disqus share sharing social related recommended recommendations newsletter subscribe subscription login signup search pagination pager toolbar widget widgets complementary contentinfo dialog".split()
 )
+NAME_PARTS = frozenset("a b c box block bar bars list lists item items slot section area unit container wrapper wrap inner outer content main site page top bottom left right center link links button buttons form posts panel group row col primary secondary global local fixed sticky new thread js".split())
 #: Start tags that end an open element of these kinds.
 CLOSES = {
     **dict.fromkeys("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split(), frozenset(["p"])),
@@ -57,177 +61,256 @@ CLOSES = {
 #: Elements beyond which an end tag or CLOSES does not reach.
 SCOPES = frozenset("html body article section main div table ul ol dl td th blockquote nav aside header footer form".split())
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_open = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_mark = re.compile("[\"'>]")
 _attribute = re.compile(r"([^\s=\"'>/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=\"'>/]+)")
 _spaces = re.compile(r"\s+")
 _digits = re.compile(r"\d+")
+_parts = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
+
+
+_ends = {name: re.compile(f"</{name}[^>]*>?", re.I | re.A) for name in RAW}
+
+
+class _Finder:
+    """Where marks stand next; what is not there any more is looked for once, so that a page is read in one pass."""
+
+    def __init__(self, text: str):
+        self.text, self.missing, self.next = text, set(), {}
+
+    def find(self, what: str, at: int) -> int:
+        """Place of a mark at or after `at`, which never goes back for the same mark; -1 if there is none."""
+        found = self.next.get(what, -2)
+        if found == -1 or found >= at:
+            return found
+        found = self.next[what] = self.text.find(what, at)
+        return found
+
+    def end_of(self, name: str, at: int) -> int:
+        """Where the raw element's end tag ends; -1 if there is none."""
+        if name in self.missing:
+            return -1
+        m = _ends[name].search(self.text, at)
+        if not m:
+            self.missing.add(name)
+        return m.end() if m else -1
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name or text, attributes) of a page; kind is text, open or close. Raw text elements vanish whole."""
-    at, end = 0, len(html)
+    """(kind, name or text, attributes) of a page; kind is text, open or close. Raw text elements vanish whole.
+
+    An unended comment, script or style ends with the page, any other unended raw element at once. Once a tag's
+    quotes leave it without an end, quotes mean nothing any more.
+    """
+    source, at, end, quotes = _Finder(html), 0, len(html), True
     while at < end:
-        m = _token.match(html, at)
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            part = m.group()
-            if not part.startswith(("<!", "<?")):
-                yield "text", part, ""
+        start = source.find("<", at)
+        if start != at:
+            yield "text", html[at : start if start > 0 else end], ""
+            if start < 0:
+                return
+        at = start
+        if html.startswith("<!--", at):
+            stop = source.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else end
             continue
-        name = name.lower()
+        if html.startswith(("<!", "<?"), at):
+            stop = source.find(">", at)
+            at = stop + 1 if stop >= 0 else end
+            continue
+        m = _open.match(html, at)
+        if not m:
+            yield "text", "<", ""
+            at += 1
+            continue
+        name, stop = m.group(2).lower(), source.find(">", m.end())
+        if stop < 0:
+            yield "text", html[at:], ""
+            return
+        if quotes:
+            spot = m.end()
+            while (mark := _mark.search(html, spot)) and mark.group() != ">":
+                spot = html.find(mark.group(), mark.end()) + 1
+                if not spot:
+                    mark = None
+                    break
+            quotes = mark is not None
+            stop = mark.start() if quotes else stop
+        attributes = html[m.end() : stop]
+        at = stop + 1
         if m.group(1):
             yield "close", name, ""
             continue
         if name in RAW:
-            stop = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = stop.end() if stop else end
+            stop = source.end_of(name, at)
+            at = stop if stop >= 0 else end if name in ("script", "style") else at
             continue
-        yield "open", name, m.group(3)
+        yield "open", name, attributes
+        if attributes.endswith("/") and name in FOREIGN:
+            yield "close", name, ""
 
 
 def _names(attributes: str) -> tuple[str, bool]:
     """Class, id and role of a tag, and whether it is hidden."""
-    if not attributes:
+    if not attributes or attributes.isspace():
         return "", False
     found = {(m.group(1) or m.group(3)).lower(): (m.group(2) or "").strip("\"'") for m in _attribute.finditer(attributes)}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     return " ".join(found[k] for k in ("class", "id", "role") if found.get(k)), hidden
 
 
-def blocks(html: str) -> Iterator[tuple[str, bool, bool, str]]:
-    """(path, whether HTML names it no content, whether it is plain article text, text) of each block in page order."""
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
-    held: list[str] = []
-
-    def block():
-        text = _spaces.sub(" ", unescape("".join(held)).replace("\xa0", " ")).strip()
-        held.clear()
-        _, path, noise, article, plain = stack[-1]
-        return (path, noise, article and plain, text) if text else None
-
-    for kind, name, attributes in tokens(html):
-        if kind == "text":
-            held.append(name)
-            continue
-        if kind == "open" and name == "br":
-            held.append(" ")
-            continue
-        is_block = name in BLOCKS
-        if not is_block and name not in NO_CONTENT:
-            continue  # inline tags neither part texts nor make branches
-        if found := block():
-            yield found
-        if kind == "close":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES and name not in SCOPES:
-                    break
-            continue
-        closes = CLOSES.get(name, ())
-        while len(stack) > 1 and stack[-1][0] in closes:
-            stack.pop()
-        if name in VOID:
-            continue
-        label, hidden = _names(attributes)
-        _, path, noise, article, plain = stack[-1]
-        inside = name in ("article", "main")
-        noise = noise or hidden or name in NO_CONTENT or bool(label and not inside and NO_CONTENT_NAMES.search(label))
-        path = f"{path}/{name}" + (f".{_digits.sub('0', label)}" if label else "")
-        stack.append((name, path, noise, article or inside, inside or plain and name in TEXT_BLOCKS and not label))
-        if len(stack) > 400:  # deeper nesting adds nothing to the paths
-            del stack[200]
-    if found := block():
-        yield found
-
-
-def _kind(path: str, noise: bool, plain: bool) -> int:
-    if noise or not plain:
-        return NAMED if noise else OTHER
-    return HEADING if re.fullmatch("h[1-6]", path.rpartition("/")[2]) else PLAIN
-
-
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The blocks of each page. The tree needs no more than a hash of named blocks, which never stay."""
-    for batch in batches:
-        rows = []
-        for html in batch["html"]:
-            found = [(path, _kind(path, noise, plain), f"{xxhash.xxh64_intdigest(text):x}" if noise else text) for path, noise, plain, text in blocks(html)]
-            rows.append([list(x) for x in zip(*found, strict=True)] if found else [[], [], []])
-        out = batch[["page_id", "url", "host"]].copy()
-        for i, name in enumerate(("paths", "kinds", "texts")):
-            out[name] = [r[i] for r in rows]
-        yield out
-
-
-def _branches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(host, path, page, kind, style, leaf) of the branches of each page: page is the hash of all its blocks, style the hash
-    of the sequence of child branches, leaf the hash of the texts right below."""
-    for batch in batches:
-        out = []
-        for host, paths, kinds, texts in zip(batch["host"], batch["paths"], batch["kinds"], batch["texts"], strict=True):
-            page = xxhash.xxh64_intdigest("\0".join([*paths, "", *texts])) >> 1
-            own: dict[str, list[str]] = {}
-            children: dict[str, list[str]] = {}
-            kind: dict[str, int] = {}
-            for path, k, text in zip(paths, kinds, texts, strict=True):
-                own.setdefault(path, []).append(text)
-                kind[path] = max(kind.get(path, NAMED), k)
-                while path:
-                    up = path.rpartition("/")[0]
-                    below = children.setdefault(up, [])
-                    if not below or below[-1] != path:
-                        below.append(path)
-                    path = up
-                    kind[path] = max(kind.get(path, NAMED), min(k, OTHER))
-            for path in own.keys() | children.keys():
-                style = xxhash.xxh64_intdigest("\0".join(children.get(path, ()))) >> 1
-                leaf = xxhash.xxh64_intdigest("\0".join(own[path])) >> 1 if path in own else None
-                out.append((host, path, page, kind[path], style, leaf))
-        yield pd.DataFrame(out, columns=["host", "path", "page", "kind", "style", "leaf"]).astype({"leaf": "Int64"})
-
-
-def _entropies(rows: DataFrame, what: str) -> DataFrame:
-    """Entropy of the values of `what` over the pages of (host, path), on the scale of its number of pages."""
-    counts = rows.groupBy("host", "path", what).agg(F.count("*").alias("n"))
-    sums = counts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    entropy = F.log("pages") - F.col("s") / F.col("pages")
-    return sums.select("host", "path", "pages", "kinds", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(F.lit(1.0)).alias("entropy"))
-
-
-def _ups(path: str) -> F.Column:
-    """A path and all above it."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-
-
-def importance(branches: DataFrame) -> DataFrame:
-    """branches(host, path, kind, style, leaf) -> (host, path, pages, importance) in each host's style tree.
-
-    A leaf's importance is the spread of its texts: 1 if every page words it anew, 0 if all agree. A
-    branch's is (1 - g^l) of its styles' entropy and g^l of the mean of the leaves at and below it, g
-    being DECAY and l its number of styles. The names' PRIORS are mixed in.
-    """
-    styles = _entropies(branches, "style")
-    leaves = _entropies(branches.filter("leaf is not null"), "leaf").select("host", F.col("path").alias("leaf_path"), F.col("entropy").alias("leaf"), F.col("pages").alias("weight"))
-    # every leaf counts for all branches above it
-    below = leaves.select("host", F.explode(_ups("leaf_path")).alias("path"), "leaf", "weight").groupBy("host", "path").agg((F.sum(F.col("leaf") * F.col("weight")) / F.sum("weight")).alias("below"))
-    keep = F.pow(F.lit(DECAY), F.col("kinds"))
-    kinds = branches.groupBy("host", "path").agg(F.max("kind").alias("kind"))
-    joined = styles.join(below, ["host", "path"], "left").join(kinds, ["host", "path"])
-    tree = (1 - keep) * F.col("entropy") + keep * F.coalesce("below", F.lit(1.0))
-    mixed = F.lit(None)
-    for kind, (weight, prior) in PRIORS.items():
-        mixed = F.when(F.col("kind") == kind, (1 - weight) * tree + weight * prior).otherwise(mixed)
-    return joined.select("host", "path", "pages", mixed.alias("importance"))
-
-
-def low_paths(branches: DataFrame, min_pages: int, threshold: float) -> DataFrame:
-    """(host, path) of the nodes that many pages have and that are, with all below them, of low importance."""
-    rated = importance(branches).select("host", F.col("path").alias("own"), ((F.col("pages") >= min_pages) & (F.col("importance") < threshold)).alias("low"))
-    return rated.select("host", F.explode(_ups("own")).alias("path"), "low").groupBy("host", "path").agg(F.every("low").alias("low")).filter("low").drop("low")
+def names_no_content(label: str) -> bool:
+    """Whether a class, id or role says so: all its parts are known, and one of them names what is no content."""
+    for name in label.split():
+        parts = [p.lower() for p in _parts.findall(name)]
+        if any(p in NO_CONTENT_NAMES for p in parts) and all(p in NO_CONTENT_NAMES or p in NAME_PARTS or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _hash(*parts) -> int:
+    return xxhash.xxh64_intdigest("\0".join(map(str, parts))) - (1 << 63)
+
+
+class Page:
+    """Blocks (path, kind, text) of a page in page order, and the style of each node: the sequence of its children."""
+
+    def __init__(self, html: str, names: bool = True):
+        self.blocks: list[tuple[int, int, str]] = []
+        self.styles: dict[int, list[int]] = {}
+        # name, path, whether it is no content, whether in an article, whether plain text of one
+        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        # open elements by name: those that bound others, and the rest since the last bound
+        bounds, inner, held = {}, [{}], []
+
+        def block() -> None:
+            if held:
+                text = _spaces.sub(" ", unescape("".join(held)).replace("\xa0", " ")).strip()
+                held.clear()
+                if text:
+                    name, path, noise, article, plain = stack[-1]
+                    kind = NAMED if noise else OTHER if not (article and plain) else HEADING if name in HEADINGS else PLAIN
+                    self.blocks.append((path, kind if names else OTHER, text))
+
+        def pop() -> str:
+            name = stack.pop()[0]
+            if name in SCOPES:
+                bounds[name] -= 1
+                inner.pop()
+            else:
+                inner[-1][name] -= 1
+            return name
+
+        for kind, name, attributes in tokens(html):
+            if kind == "text":
+                held.append(name)
+                continue
+            if kind == "open" and name == "br":
+                held.append(" ")
+                continue
+            if name not in BLOCKS and name not in NO_CONTENT:
+                continue  # inline tags neither part texts nor make branches
+            block()
+            if kind == "close":
+                if (bounds if name in SCOPES else inner[-1]).get(name):
+                    while pop() != name:
+                        pass
+                continue
+            if name in BLOCKS:  # a block ends drawings and formulas
+                while stack[-1][0] in FOREIGN:
+                    pop()
+            closes = CLOSES.get(name, ())
+            while len(stack) > 1 and stack[-1][0] in closes:
+                pop()
+            if name in VOID:
+                continue
+            label, hidden = _names(attributes)
+            _, up, noise, article, plain = stack[-1]
+            inside = name in ("article", "main")
+            noise = noise or hidden or name in NO_CONTENT or bool(label and not inside and names_no_content(label))
+            path = _hash(up, name, _digits.sub("0", label))
+            below = self.styles.setdefault(up, [])
+            if not below or below[-1] != path:
+                below.append(path)
+            stack.append((name, path, noise, article or inside, inside or plain and name in TEXT_BLOCKS and not label))
+            if name in SCOPES:
+                bounds[name] = bounds.get(name, 0) + 1
+                inner.append({})
+            else:
+                inner[-1][name] = inner[-1].get(name, 0) + 1
+        block()
+
+
+def _parsed(names: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The blocks of each page, and its nodes' texts and styles as hashes. Named blocks keep no text: they never stay."""
+        for batch in batches:
+            rows = []
+            for html in batch["html"]:
+                page = Page(html, names)
+                leaves = [_hash(path, text) for path, _, text in page.blocks]
+                kinds: dict[int, int] = {}
+                for path, kind, _ in page.blocks:
+                    kinds[path] = max(kinds.get(path, NAMED), kind)
+                own, seen = [], set()
+                for (path, _, _), leaf in zip(page.blocks, leaves, strict=True):
+                    if leaf not in seen:
+                        own.append((path, leaf, False, path not in seen, kinds[path]))
+                        seen |= {leaf, path}
+                own += [(path, _hash(*page.styles[path]), True, False, kind) for path, kind in kinds.items() if path in page.styles]
+                rows.append((_hash(*leaves), [b[0] for b in page.blocks], [b[1] for b in page.blocks], leaves, ["" if b[1] == NAMED else b[2] for b in page.blocks], own))
+            out = batch[["page_id", "url", "host"]].copy()
+            for i, name in enumerate(("page", "paths", "kinds", "leaves", "texts")):
+                out[name] = [r[i] for r in rows]
+            out["nodes"] = [[dict(zip(("path", "value", "style", "first", "kind"), x, strict=True)) for x in r[5]] for r in rows]
+            yield out
+
+    return run
+
+
+PARSED = "page_id long, url string, host string, page long, paths array<long>, kinds array<int>, leaves array<long>, texts array<string>, nodes array<struct<path:long,value:long,style:boolean,first:boolean,kind:int>>"
+
+
+def _spread(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """counts(*keys, value, style, n, firsts, kind) -> (*keys, pages, kind, tree): what the tree says of each node."""
+    n, styles = F.col("n"), F.col("style")
+    sums = counts.groupBy(*keys).agg(
+        F.sum("firsts").alias("pages"), F.max("kind").alias("kind"), *[F.sum(F.when(styles == s, x)).alias(f"{name}{int(s)}") for s in (False, True) for name, x in (("n", n), ("log", n * F.log(n)))], F.count_if(styles).alias("styles")
+    )
+    # entropies of values over pages, on the scale of the number of pages
+    log = F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
+    leaf = F.least(F.lit(1.0), 1 - F.col("log0") / F.col("n0") / log)
+    style = F.least(F.lit(1.0), 1 - F.coalesce(F.col("log1") / F.col("n1"), F.lit(0.0)) / log)
+    keep = F.pow(F.lit(DECAY), F.greatest(F.col("styles") - 1, F.lit(0)))
+    return sums.select(*keys, "pages", "kind", (keep * leaf + (1 - keep) * style).alias("tree"))
+
+
+def removed(parsed: DataFrame, threshold: float) -> DataFrame:
+    """(host, gone): for each host the hashes of its nodes, and of single texts of others, that are of low importance."""
+    # copies of a page count once
+    pages = parsed.filter(F.size("nodes") > 0).groupBy("host", "page").agg(F.first("nodes").alias("nodes"))
+    nodes = pages.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
+    counts = stored(nodes.groupBy("host", "path", "value", "style").agg(F.count("*").alias("n"), F.count_if("first").alias("firsts"), F.max("kind").alias("kind")))
+    own = _spread(counts, ["host", "path"])
+    everywhere = counts.groupBy(F.col("path").alias("_path")).agg(F.sum("firsts").alias("all_pages"))
+    rated = own.join(everywhere, F.col("path") == F.col("_path")).drop("_path")
+    prior, weight = F.lit(None), F.lit(None)
+    for kind, (value, size) in PRIORS.items():
+        prior, weight = F.when(F.col("kind") == kind, F.lit(value)).otherwise(prior), F.when(F.col("kind") == kind, F.lit(float(size))).otherwise(weight)
+    evidence = lambda pages: F.least(F.col(pages) - 1, F.lit(MOST_PAGES)).cast("double")
+    # what articles of several hosts say alike, quoted or copied, is theirs
+    here, all_ = evidence("pages"), F.when(F.col("kind").isin(PLAIN, HEADING), F.lit(0.0)).otherwise(evidence("all_pages"))
+    importance = lambda tree, all_tree: (here * tree + all_ * all_tree + weight * prior) / (here + all_ + weight)
+    # a node falls whole if it does whatever its texts are on other hosts
+    rated = stored(rated.withColumn("low", importance(F.col("tree"), F.lit(1.0)) < threshold))
+    # of the others, texts that several pages have may fall, each by its own entropies
+    alike = counts.filter("not style").groupBy(F.col("path").alias("_path"), F.col("value").alias("_value")).agg(F.sum("n").alias("all_n")).filter("all_n > 1")
+    texts = counts.filter("not style").drop("kind").join(alike, (F.col("path") == F.col("_path")) & (F.col("value") == F.col("_value"))).join(rated.filter("not low"), ["host", "path"])
+    spread = lambda n, pages: F.greatest(F.lit(0.0), 1 - F.log(n) / F.log(F.greatest(F.col(pages), F.lit(2))))
+    share = F.col("n") / F.col("pages")
+    low = importance((1 - share) * F.col("tree") + share * spread("n", "pages"), spread("all_n", "all_pages")) < threshold
+    gone = rated.filter("low").select("host", F.col("path").alias("x")).unionByName(texts.filter(low).select("host", F.col("value").alias("x")))
+    return gone.groupBy("host").agg(F.sort_array(F.collect_set("x")).alias("gone"))
 
 
 def host_of(url) -> F.Column:
@@ -235,27 +318,24 @@ def host_of(url) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THRESHOLD) -> DataFrame:
-    """Per page row: page_id, url, text.
+def main_text(pages: DataFrame, threshold: float = THRESHOLD, names: bool = True) -> DataFrame:
+    """Per page row: page_id, url, text. With names off the trees decide alone.
 
     Null html is empty and gives an empty text; pages with a null url or none share the empty host. White
     space in a block becomes one space, blocks are joined by one newline in page order. Broken markup
-    is read as far as it goes. Repeated rows give repeated rows. An empty table gives an empty result.
+    is read as far as it goes, in time linear in its length. Repeated rows give repeated rows and count
+    once; of equal importance nothing is chosen. An empty table gives an empty result.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    parsed = stored(rows.mapInPandas(_parsed, "page_id long, url string, host string, paths array<string>, kinds array<int>, texts array<string>"))
-    judged = parsed.filter(F.size("paths") > 0).select("host", "paths", "kinds", "texts")
-    branches = judged.mapInPandas(_branches, "host string, path string, page long, kind int, style long, leaf long")
-    # copies of a page count once
-    branches = stored(branches.groupBy("host", "path", "page").agg(*[F.max(x).alias(x) for x in ("kind", "style", "leaf")]).drop("page"))
-    low = low_paths(branches, min_pages, threshold)
-    gone = stored(low.groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_set("path")).alias("gone")))
-    # templates are few: their paths are broadcast if a count says so
+    parsed = stored(rows.mapInPandas(_parsed(names), PARSED))
+    gone = stored(removed(parsed, threshold).withColumnRenamed("host", "_host"))
+    # templates are few: their nodes are broadcast if a count says so
     if gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_PATHS:
         gone = F.broadcast(gone)
-    found = F.arrays_zip(F.col("paths").alias("path"), F.col("kinds").alias("kind"), F.col("texts").alias("text"))
+    found = F.arrays_zip(F.col("paths").alias("path"), F.col("kinds").alias("kind"), F.col("leaves").alias("leaf"), F.col("texts").alias("text"))
     kept = parsed.join(gone, F.col("host") == F.col("_host"), "left").withColumn("found", found)
-    stays = lambda x: (x["kind"] != NAMED) & ~F.coalesce(F.array_contains("gone", x["path"]), F.lit(False))
+    falls = lambda x: F.array_contains("gone", x["path"]) | F.array_contains("gone", x["leaf"])
+    stays = lambda x: (x["kind"] != NAMED) & ~F.coalesce(falls(x), F.lit(False))
     text = F.array_join(F.transform(F.filter("found", stays), lambda x: x["text"]), "\n")
     return kept.select("page_id", "url", text.alias("text"))
 
