@@ -68,6 +68,13 @@ def test_substrings_equal_brute_force(spark, rows):
     assert removed > 500
 
 
+def test_similar_judges_rows_of_one_id_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = frame(spark, [(1, a, "s"), (1, b, "s"), (2, a, "s"), (3, b, "s"), (None, b, "s"), (4, a + " more", "s"), (4, a + " more", "s")])
+    got = sorted((r.doc_id or -1, r.class_id, r.copy_id, r.n_links) for r in similarity.similar(df).collect())
+    assert got == sorted([(1, 1, 1, 3), (1, 1, 1, 2), (2, 1, 1, 3), (3, 1, 1, 2), (-1, 1, 1, 2), (4, 1, 4, 3), (4, 1, 4, 3)])
+
+
 def test_similar_equals_brute_force(spark, rows):
     out = {r.doc_id: r for r in similarity.similar(frame(spark, rows), block=2).collect()}
     sets = {i: shingles(letters(t)) for i, t, _ in rows}
@@ -185,6 +192,26 @@ def test_sharding_versions_and_conflict(spark, tmp_path, rows):
     assert store.vacuum() == 4 and ids(store.read()) == sorted(i for i, _, _ in rows)
 
 
+def test_sharding_keeps_contents_and_tiers(spark, tmp_path, rows):
+    store = sharding.Store(spark, str(tmp_path / "tiers"), target_bytes=40_000, fanout=4)
+    docs = frame(spark, rows)
+    contents = lambda df: sorted(map(str, df.select(*docs.columns).collect()))
+    store.append(docs.coalesce(1))  # a large run stays as it is
+    for k in range(5):
+        store.append(docs.filter(F.col("doc_id") % 5 == k).limit(3).coalesce(1))
+    before = {r.run: r for r in store._runs().collect()}
+    tiers = {r.run: r.tier for r in store.tiers().collect()}
+    merged = {run for run, t in tiers.items() if sum(before[r].shards for r, u in tiers.items() if u == t) >= 4}
+    wanted = contents(store.read())
+    assert merged and store.compact() == 7 and contents(store.read()) == wanted
+    after = {r.run: r for r in store._runs().collect()}
+    assert set(before) - merged == set(before) & set(after)
+    new = [r for run, r in after.items() if run not in before]
+    assert sum(r.shards for r in new) < sum(before[r].shards for r in merged)
+    assert all(r.shards <= sum(before[x].n_bytes for x in merged) // 40_000 + 1 for r in new)
+    assert contents(store.read(1)) == contents(docs)
+
+
 def test_automaton_equals_greedy_matching():
     rng = random.Random(1)
     letters_ = "abc"
@@ -204,7 +231,7 @@ def test_automaton_equals_greedy_matching():
 
 
 PAGE = """<html><head><title>t</title><script>x="<p>no</p>"</script></head><body><nav><ul><li>menu</li></ul></nav>
-<div class="teaser">See {same}</div><article><h1>Title &amp; more</h1><p>One <b>bold</b>\n text {n}<br>end<p>Two</p>
+<div class="teaser">See {same}</div><article><h1>Title &amp; more {n}</h1><p>One <b>bold</b>\n text {n}<br>end<p>Two {n}</p>
 <div class="comments"><p>reader</p></div><form><p>ask</p></form></article><aside>side</aside><footer>&copy; x</footer></body></html>"""
 
 
@@ -214,16 +241,67 @@ def test_html_main_text(spark):
     got = [(r.page_id, r.text) for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
     by = dict(got)
     assert len(got) == len(pages)
-    assert all(by[i] == f"Title & more\nOne bold text {i} end\nTwo" for i in range(12))
+    assert all(by[i] == f"Title & more {i}\nOne bold text {i} end\nTwo {i}" for i in range(12))
     assert (by[20], by[21], by[22]) == ("", "", "a\nb <c> d")
 
 
 def test_html_tree_decides_inside_articles(spark):
-    page = "<body><footer>about {n}</footer><article><h1>Same title</h1><p>Text {n}</p><ul><li>Read our rules</li></ul></article><div class=x>Buy now</div></body>"
-    pages = [(i, f"https://many.example/{i}", page.format(n=i)) for i in range(10)] + [(20 + i, f"https://few.example/{i}", page.format(n=i)) for i in range(3)]
+    page = "<body><footer>about {n}</footer><article><h1>Same title</h1><p>Text {n}</p><ul><li>Read our rules{few}</li></ul></article><div class=x>Buy now{few}</div></body>"
+    pages = [(i, f"https://many.example/{i}", page.format(n=i, few="")) for i in range(30)] + [(50 + i, f"https://few.example/{i}", page.format(n=i, few=i)) for i in range(3)]
     by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert all(by[i] == f"Same title\nText {i}" for i in range(10))
-    assert all(by[20 + i] == f"Same title\nText {i}\nRead our rules\nBuy now" for i in range(3))
+    assert all(by[i] == f"Same title\nText {i}" for i in range(30))
+    assert all(by[50 + i] == f"Same title\nText {i}\nRead our rules{i}\nBuy now{i}" for i in range(3))
+
+
+def test_html_tree_alone_tells_templates_from_texts(spark):
+    """No name tells these blocks apart: only how their texts spread over the pages does."""
+    rng = random.Random(8)
+    tops, ends = [f"top {i} of all" for i in range(5)], [f"end {i} of all" for i in range(7)]
+    texts = {i: [f"story {i} part {j} {rng.random()}" for j in range(3)] for i in range(150)}
+    pages = [(i, f"https://h{i % 3}.example/{i}", f"<div class=k1>{rng.choice(tops)}</div><div class=k2><div>{'</div><div>'.join(texts[i])}</div></div><div class=k3>{rng.choice(ends)}</div>") for i in texts]
+    by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string"), names=False).collect()}
+    assert by == {i: "\n".join(t) for i, t in texts.items()}
+
+
+def test_html_tree_equals_brute_force(spark):
+    rng = random.Random(2)
+    pages = [(i, f"https://h{i % 2}.example/{i}", "".join(f"<div class={c}>{c} {rng.randint(0, n)}</div>" for c, n in (("p", 0), ("q", 2), ("r", 5), ("s", 99)))) for i in range(10)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").select("page_id", "url", "html", html.host_of(F.col("url")).alias("host"))
+    parsed = df.mapInPandas(html._parsed(True), html.PARSED)
+    counts = parsed.select("host", F.explode("nodes").alias("x")).select("host", "x.*").groupBy("host", "path", "value", "style").agg(F.count("*").alias("n"), F.count_if("first").alias("firsts"), F.max("kind").alias("kind"))
+    got = {(r.host, r.path): (r.pages, r.tree) for r in html._spread(counts, ["host", "path"]).collect()}
+    seen = {}
+    for _, url, text in pages:
+        for path, _, leaf in html.Page(text).blocks:
+            seen.setdefault((url.split("/")[2], path), []).append(leaf)
+    assert set(got) == set(seen)
+    for key, leaves in seen.items():
+        m, by = len(leaves), Counter(leaves)
+        entropy = -sum(n / m * math.log(n / m) for n in by.values()) / math.log(m)
+        assert got[key][0] == m and abs(got[key][1] - entropy) < 1e-9
+
+
+def test_html_names_of_articles_stay():
+    for label in ("search-algorithms", "promotions", "notice-period", "header-files", "main content", "shared-memory"):
+        assert not html.names_no_content(label), label
+    for label in ("ad", "site-footer", "mainNav", "x cookie-banner", "ad_slot_3", "comments", "related-posts", "sidebar-left"):
+        assert html.names_no_content(label), label
+
+
+def test_html_broken_and_very_long_pages():
+    import time
+
+    text = lambda h: [b[2] for b in html.Page(h).blocks if b[1] != html.NAMED]
+    assert text("<p>a<svg viewBox='0 0 1 1'/>b</p><p>c</p>") == ["a", "b", "c"]
+    assert text("<p>a<svg><path d='x'>inside<p>c") == ["a", "c"]
+    assert text("<title>open<p>a</p>") == ["open", "a"] and text("<script>x<p>a") == []
+    assert text("<p title='a>b'>c</p>") == ["c"] and text("<p title='a>c") == ["c"] and text("1 < 2 <3") == ["1 < 2 <3"]
+    for broken in ("<a title=\"", "<p x='", "<div>", "<b", "<!-- ", "<svg>", "<title>", "<li></p>", "<center></p>", "<a x='' ", "&amp;", "<p>x</section>"):
+        began = time.time()
+        html.Page("<div>" + broken * (1_000_000 // len(broken)) + "<p>end")
+        assert time.time() - began < 15, broken
+    assert len(text("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after")) == 2
+    assert text("<article>" + "word " * 200_000)[0].count("word") == 200_000
 
 
 def test_html_copies_count_once(spark):
@@ -233,6 +311,54 @@ def test_html_copies_count_once(spark):
     assert by == {i: f"Story {max(0, i - 180)}" for i in range(200)}
 
 
+def test_kneser_ney_equals_plain_counting():
+    """The log-ratio of words by recursion over counts, for two classes of few words."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(20)]
+    words = sorted(set(words))
+    classes = [{w: rng.randint(0, 3) for w in words} for _ in range(2)]
+    order = toxicity.ORDER
+    model = toxicity.KneserNey(words, np.array([classes[0][w] for w in words]), np.array([classes[1][w] for w in words]))
+    raw = [[Counter() for _ in range(order + 1)] for _ in range(2)]
+    for c in (0, 1):
+        for w, k in classes[c].items():
+            marked = f"\x02{w}\x03"
+            for n in range(1, order + 1):
+                for end in range(max(1, n - 1), len(marked)):
+                    raw[c][n][marked[end - n + 1 : end + 1]] += k
+    seen = set().union(*[set(raw[c][n]) for c in (0, 1) for n in range(1, order + 1)])
+
+    def counts(c, gram):
+        n = len(gram)
+        if n == order or gram[0] == "\x02":
+            return raw[c][n][gram]
+        return len({g for g in seen if len(g) == n + 1 and g[1:] == gram and raw[c][n + 1][g] > 0})
+
+    tables = {n: sorted({g for g in seen if len(g) == n}) for n in range(1, order + 1)}
+    shared = {n: n <= toxicity.SHARED for n in tables}
+    of = lambda c, g: sum(counts(x, g) for x in (0, 1)) if shared[len(g)] else counts(c, g)
+    discount = {}
+    for n, grams in tables.items():
+        pooled = [sum(counts(x, g) for x in (0, 1)) for g in grams]
+        ones, twos = pooled.count(1), pooled.count(2)
+        discount[n] = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+
+    def chance(c, gram):
+        if not gram:
+            return 1 / len(tables[1])
+        with_context = [g for g in tables[len(gram)] if g[:-1] == gram[:-1]]
+        total, kinds = sum(of(c, g) for g in with_context), sum(of(c, g) > 0 for g in with_context)
+        if not total:
+            return chance(c, gram[1:])
+        d = discount[len(gram)]
+        return max(of(c, gram) - d, 0) / total + d * kinds / total * chance(c, gram[1:])
+
+    for w in words:
+        marked = f"\x02{w}\x03"
+        ratio = sum(math.log(chance(0, marked[max(0, i - order + 1) : i + 1]) / chance(1, marked[max(0, i - order + 1) : i + 1])) for i in range(1, len(marked)))
+        assert abs(model.of_words([w])[0] - ratio) < 1e-3 + 1e-4 * abs(ratio), (w, model.of_words([w])[0], ratio)
+
+
 def test_kneser_ney_prefers_toxic_words(spark):
     rng = random.Random(5)
     ordinary = ["".join(rng.choices(["an", "the", "or", "in", "re"], k=rng.randint(1, 4))) for _ in range(300)]
@@ -314,7 +440,7 @@ def test_lm_chances_sum_to_one(spark, rows):
         assert abs(np.exp(model.spelling.of(np.full(len(every), a), every)).sum() - 1) < 1e-6
     words = lm.Words(model.proto)
     at, known = words.of(list(model.head)), Counter()
-    for w, first in zip(model.head, words.ids[words.start[at]].tolist(), strict=True):
+    for w, first in zip(model.head, words.ids.all()[words.start.all()[at]].tolist(), strict=True):
         known[first] += max(model.head[w] - model.discount, 0)
     for first, n in known.items():
         assert abs((n + model.discount * model.kinds[first]) / model.begins[first] - 1) < 1e-9
@@ -395,13 +521,58 @@ def test_nulls_ties_and_repeated_rows(spark):
     df = frame(spark, [(None, text, None), (None, None, None), (1, text, "a"), (1, text, "a"), (2, text, "a"), (2, text + " more", "b"), (3, "", None)])
     got = sorted((r.doc_id or -1, r.n_removed) for r in substrings.remove_repeats(df).collect())
     assert got == [(-1, 0), (-1, 80), (1, 0), (1, 0), (2, 80), (2, 80), (3, 0)]
-    assert sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in similarity.similar(df).select("doc_id", "class_id", "n_links").collect())[:4] == [(-1, -1, 0), (-1, -1, 0), (1, 1, 3), (1, 1, 3)]
+    links = sorted((r.doc_id or -1, r.class_id or -1, r.copy_id or -1, r.n_links) for r in similarity.similar(df).collect())
+    assert links == [(-1, -1, -1, 0), (-1, 1, 1, 4), (1, 1, 1, 4), (1, 1, 1, 4), (2, 1, 1, 4), (2, 1, 2, 4), (3, 3, 3, 0)]
     assert mixing.mix(df).count() == fingerprints.fingerprint(df).count() == lm.lm_scores(df).count() == 7
     hits = decontamination.decontaminate(df, spark.createDataFrame([("x", text)], "item_id string, text string")).collect()
     assert sorted(r.n_hit for r in hits) == [0, 0, 80, 80, 80, 80, 80]
     assert sharding.shard(df)[1].count() == 7
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, _turn string, _repeats string, _key_a string, hit string, class_id string, a string, key string"
+
+
+def test_pipeline_stages_on_repeated_null_and_clashing(spark, sf):
+    import corpus_pipeline
+
+    one, two = " ".join(f"o{i}" for i in range(90)), " ".join(f"t{i}" for i in range(90))
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(1, one, "a"), (1, two, "a"), (1, one, "a"), (None, one, None), (None, two + " end", "b"), (2, None, "b"), (2, "", "b"), (3, f"{two[:200]} {bench}", "a"), (3, "clean words only", "a"), (4, "x " * 20_000, "b")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), *["x"] * 8) for i, t, s in rows], CLASHING)
+    key = lambda df: sorted((str(r.doc_id), str(r.text)[:30], str(r.source)) for r in df.collect())
+    of = lambda *at: sorted((str(rows[i][0]), str(rows[i][1])[:30], str(rows[i][2])) for i in at)
+    kept = corpus_pipeline.one_of_each(spark, docs, sf)
+    assert key(kept) == of(0, 1, 5, 6, 7, 8, 9) and kept.columns == docs.columns
+    clean = corpus_pipeline.drop_contaminated(spark, docs, sf)
+    assert key(clean) == of(0, 1, 2, 3, 4, 5, 6, 8, 9) and clean.columns == docs.columns
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf)
+    sizes = Counter()
+    for r in mixing.mix(docs).collect():
+        sizes[str(r.doc_id), r["size"]] += r.repeats
+    got = Counter((str(r.doc_id), len((r.text or "").split())) for r in mixed.collect())
+    assert got == Counter({k: n for k, n in sizes.items() if n}) and mixed.columns == docs.columns
+    stored = corpus_pipeline.shard(spark, docs, sf)
+    assert sorted(str(r.doc_id) for r in stored.collect()) == sorted(str(r[0]) for r in rows)
+    ordinary = corpus_pipeline.drop_toxic(spark, docs, sf)
+    scored = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")), column="p")
+    assert key(ordinary) == key(scored.filter(F.col("p") < 0.5)) and ordinary.columns == docs.columns
+
+
+def test_pipeline_runs_as_its_stages_say(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    detector = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    scores = {r.doc_id: r.toxicity for r in toxicity.score(docs, detector).select("doc_id", "toxicity").collect()}
+    ordinary = corpus_pipeline.drop_toxic(spark, docs, sf)
+    assert {r.doc_id for r in ordinary.collect()} == {i for i, x in scores.items() if x < corpus_pipeline.TOXIC}
+    kept = {r.class_id for r in similarity.similar(ordinary).collect()}
+    clean = {r.doc_id for r in decontamination.decontaminate(ordinary.filter(F.col("doc_id").isin(list(kept))), spark.read.parquet(f"{sf}/benchmark.parquet")).collect() if not r.n_hit}
+    taken = {r.doc_id: r.repeats for r in mixing.mix(docs.filter(F.col("doc_id").isin(list(clean)))).collect()}
+    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, sf).collect())
+    assert got == Counter({i: n for i, n in taken.items() if n})
+
+
 def test_pipeline_keeps_clean_documents(spark, sf):
     import corpus_pipeline
 

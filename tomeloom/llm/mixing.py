@@ -39,8 +39,8 @@ def water_fill(sources: DataFrame, total: Column, max_epochs: float) -> DataFram
     return free.withColumn("target", F.coalesce(target, F.lit(0.0))).drop("_level", "_free", "_first")
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Per document: doc_id, size, source_size, target (of its source), taken, repeats.
+def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED, carry: Sequence[str] = ()) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target (of its source), taken, repeats, and the columns of `carry`.
 
     Sources in code point order, null last, get `weights` in turn. A source's target over its size is
     its epochs: every document is taken the whole number of times, and the fraction is a seeded draw
@@ -50,7 +50,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     """
     size = count_space_words(F.col(text_col))
     order_hash = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    rows = stored(documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), order_hash.alias("_h")))
+    rows = stored(documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), order_hash.alias("_h"), F.struct(F.lit(0).alias("none"), *carry).alias("_carried")))
     slot = F.substring("_h", 1, SLOT_DIGITS)
     slots = stored(rows.groupBy("source", slot.alias("_slot")).agg(F.sum("size").alias("_slot_size")))
     sources = slots.groupBy("source").agg(F.sum("_slot_size").alias("source_size"))
@@ -74,7 +74,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     at_cut = at_cut.withColumn("_extra", ((F.col("_goal") > 0) & (F.col("_before") + run + F.col("size") / 2 <= F.col("_goal"))).cast("long"))
     others = rows.filter("_side <> 0").withColumn("_extra", ((F.col("_goal") > 0) & (F.col("_side") > 0)).cast("long"))
     out = at_cut.unionByName(others).withColumn("repeats", (F.col("_whole") + F.col("_extra")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", *[F.col(f"_carried.{c}").alias(c) for c in carry])
 
 
 def op5_mix(spark, sf_dir):

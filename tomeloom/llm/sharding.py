@@ -5,10 +5,12 @@ A store is a folder:
   manifests/v<version>/          one row for each shard of that version: path, n_rows, n_bytes
   schema/                        the columns, for a store without rows
 
-Arrivals are appended as the small files that their tasks write. Compaction takes each tier, the shards
-whose sizes lie within a factor of TIER_BASE, that has FANOUT shards or more, and merges them into files
-of the target size without a shuffle: neighbouring file splits are read by one task that writes one file.
-A version becomes visible by one rename of its manifest, which fails if another writer was first.
+Arrivals are appended as the small files that their tasks write: the shards of a commit are a run, and a
+version is a set of whole runs. Compaction takes each tier, the runs whose mean shard sizes lie within a
+factor of TIER_BASE, that has FANOUT shards or more, and merges them into one run of files of the target size
+without a shuffle: neighbouring file splits are read by one task that writes one file. A version becomes
+visible by one rename of its manifest, which fails if another writer was first. The driver sees the names of
+runs, one for each commit that is not yet merged, never those of shards.
 """
 
 from __future__ import annotations
@@ -73,12 +75,17 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/manifests/v{version:08d}")
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version with `_shard`, the name of their shard, added (a column of that name is replaced)."""
-        paths = [r.path for r in self.manifest(version).filter("n_rows > 0").select("path").orderBy("path").collect()]
-        if not paths:
-            return self.spark.read.parquet(f"{self.root}/schema").withColumn("_shard", F.lit(None).cast("string"))
-        rows = self.spark.read.parquet(*(f"{self.root}/{p}" for p in paths))
-        return rows.withColumn("_shard", _shard_name(rows))
+        """The rows of a version."""
+        return self._of_runs([r.run for r in self._runs(version).select("run").orderBy("run").collect()])
+
+    def _of_runs(self, runs: list[str]) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.root}/schema").schema
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{r}" for r in runs or ["schema"]))
+
+    def _runs(self, version: int | None = None) -> DataFrame:
+        """run, shards, n_bytes of each run of a version that has rows."""
+        named = self.manifest(version).filter("n_rows > 0")
+        return named.groupBy(F.substring_index("path", "/", 2).alias("run")).agg(F.count("*").alias("shards"), F.sum("n_bytes").alias("n_bytes"))
 
     def _written(self, df: DataFrame, commit: str) -> DataFrame:
         """Write df as shards of a commit; their manifest rows."""
@@ -103,30 +110,31 @@ class Store:
         return self._commit(self.manifest(version - 1).unionByName(new), version)
 
     def tiers(self, version: int | None = None) -> DataFrame:
-        """path, n_rows, n_bytes, tier of the shards below the target size."""
-        small = self.manifest(version).filter(F.col("n_bytes") < self.target_bytes / 2)
-        return small.withColumn("tier", F.floor(F.log(F.greatest(F.col("n_bytes"), F.lit(1))) / math.log(TIER_BASE)).cast("int"))
+        """run, shards, n_bytes, tier of the runs whose shards are below half the target size on average."""
+        mean = F.col("n_bytes") / F.col("shards")
+        return self._runs(version).filter(mean < self.target_bytes / 2).withColumn("tier", F.floor(F.log(F.greatest(mean, F.lit(1.0))) / math.log(TIER_BASE)).cast("int"))
 
     def compact(self) -> int:
         """Merge every tier that has enough shards; the new version, or the latest if there was nothing to merge.
 
         One pass brings a tier's shards to the target size at once, so a row is rewritten once for
-        each time that its shard is alike to enough others, not at every size on the way.
+        each time that its run is alike to enough others, not at every size on the way.
         """
         version = self.version()
-        small = self.tiers(version)
-        tiers = small.groupBy("tier").agg(F.count("*").alias("shards"), F.sum("n_bytes").alias("n_bytes")).filter(F.col("shards") >= self.fanout).orderBy("tier").collect()
+        tiers = self.tiers(version).groupBy("tier").agg(F.sum("shards").alias("shards"), F.sum("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list("run")).alias("runs"))
+        # merging one file into one file changes nothing
+        tiers = [t for t in tiers.filter(F.col("shards") >= self.fanout).orderBy("tier").collect() if t.shards > self._files(t.n_bytes)]
         if not tiers:
             return version
-        kept = self.manifest(version).join(F.broadcast(small.filter(F.col("tier").isin([t.tier for t in tiers])).select("path")), "path", "left_anti")
+        kept = self.manifest(version).filter(~F.substring_index("path", "/", 2).isin([r for t in tiers for r in t.runs]))
         for t in tiers:
-            # names of the shards that one tier's read lists anyway
-            paths = [r.path for r in small.filter(F.col("tier") == t.tier).select("path").orderBy("path").collect()]
-            rows = self.spark.read.parquet(*(f"{self.root}/{p}" for p in paths))
-            merged = self._written(rows.coalesce(max(1, math.ceil(t.n_bytes / self.target_bytes))), f"v{version + 1:08d}-tier{t.tier}-{uuid.uuid4().hex[:8]}")
+            merged = self._written(self._of_runs(t.runs).coalesce(self._files(t.n_bytes)), f"v{version + 1:08d}-tier{t.tier}-{uuid.uuid4().hex[:8]}")
             kept = kept.unionByName(merged)
         return self._commit(kept, version + 1)
 
+    def _files(self, n_bytes: int) -> int:
+        return max(1, math.ceil(n_bytes / self.target_bytes))
+
     def vacuum(self) -> int:
         """Delete shards that the latest version doesn't name, and older manifests; the number of folders left out of it.
 
@@ -146,8 +154,8 @@ class Store:
         return gone
 
 
-def _shard_name(rows: DataFrame):
-    """Version, kind and number of the file that a row is read from, without the random part of its name."""
+def shard_name(rows: DataFrame):
+    """Version, kind and number of the file that a row of read() is in, without the random part of its name."""
     path = rows.metadataColumn("_metadata")["file_path"]
     return F.concat(F.regexp_extract(path, r"/data/(v\d+-[a-z0-9]+)-[0-9a-f]+/", 1), F.lit("/"), F.regexp_extract(path, r"/part-(\d+)", 1))
 
@@ -159,8 +167,8 @@ ARRIVALS = ((0, 1, 2, 3), (4, 5), (6,), (7,))
 def shard(documents: DataFrame, id_col: str = "doc_id", root: str | None = None, target_bytes: int = TARGET_BYTES) -> tuple[Store, DataFrame]:
     """Store documents as arrivals, each a version of its own, compact them, and read the last version back.
 
-    All columns are kept. Null ids arrive like others; repeated rows stay repeated; an empty table gives
-    an empty store of the same columns.
+    All columns are kept as they are, whatever their names. Null ids arrive like others; repeated rows stay
+    repeated; texts of any length are one row of one shard; an empty table gives an empty store of the same columns.
     """
     spark = documents.sparkSession
     store = Store(spark, root or work_dir(spark), target_bytes)
@@ -172,10 +180,10 @@ def shard(documents: DataFrame, id_col: str = "doc_id", root: str | None = None,
 
 
 def op6_shard(spark, sf_dir):
-    """doc_id, shard, shard_rows, shard_bytes, version of every document."""
+    """doc_id, shard, shard_rows, shard_bytes, version of every document. No document is left out: null ids, empty
+    texts and repeated rows included; of an empty table nothing comes back."""
     store, rows = shard(table(spark, sf_dir, "documents"))
-    about = rows.metadataColumn("_metadata")
-    named = rows.select("doc_id", F.col("_shard").alias("shard"), about["file_name"].alias("file"))
+    named = rows.select("doc_id", shard_name(rows).alias("shard"), rows.metadataColumn("_metadata")["file_name"].alias("file"))
     sizes = store.manifest().select(F.substring_index("path", "/", -1).alias("file"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"))
     # a row for each shard: the store holds at most its bytes over the target, and fewer than FANOUT in each tier
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_SHARDS else sizes

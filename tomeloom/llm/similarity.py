@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ HASHES = BANDS * ROWS
 STEP = 8
 TOLERANCE = 1e-9
 #: Members of a block: a task compares BLOCK x BLOCK pairs at most at a time.
-BLOCK = 256
+BLOCK = 1024
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
@@ -87,20 +88,23 @@ def fewest_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """r, kind and sketch for the text of each row: r numbers all rows, whatever their ids. Other columns go along."""
+    r = TaskContext.get().partitionId() << 36
     for batch in batches:
         kinds, sketches = [], []
         for text in batch["text"]:
             shingles = shingle_set(text)
-            kinds.append(xxhash.xxh3_128_hexdigest(shingles.tobytes()) if len(shingles) else "")
+            kinds.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else b"")
             sketches.append(minhash(shingles).tobytes() if len(shingles) else b"")
-        yield pd.DataFrame({"d": batch["d"], "kind": kinds, "sketch": sketches})
+        yield batch.drop(columns="text").assign(r=np.arange(r, r + len(batch)), kind=kinds, sketch=sketches)
+        r += len(batch)
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sets = [shingle_set(t) for t in batch["text"]]
-        kinds = [xxhash.xxh3_128_hexdigest(x.tobytes()) for x in sets]
-        yield pd.DataFrame({"d": batch["d"], "kind": kinds, "shingles": [x.tobytes() for x in sets]})
+        kinds = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+        yield pd.DataFrame({"kind": kinds, "shingles": [x.tobytes() for x in sets]})
 
 
 def _band_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +123,9 @@ def _band_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _matches(a: np.ndarray, b: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
     """Index pairs of rows of a and b that Bayesian pruning keeps."""
     least = fewest_matches(threshold, tolerance)
-    same = (a[:, None, :STEP] == b[None, :, :STEP]).sum(2)
+    same = np.zeros((len(a), len(b)), np.uint8)
+    for i in range(STEP):
+        same += a[:, i, None] == b[None, :, i]
     at = np.argwhere(same >= least[0])
     same = same[at[:, 0], at[:, 1]]
     for k in range(1, len(least)):
@@ -228,15 +234,16 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: each node's neighbours are hung on its least one. A round is
     two shuffles whose sums shrink first where they are read; rounds end when nothing changes, about
-    the logarithm of the longest path. Each round is a written table.
+    the logarithm of the longest path. Each round is a written table, and so are the least neighbours,
+    a row for each node: a hub's edges meet its row in a join that is split where they are many.
     """
     edges = stored(edges.distinct())
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("n")).select("v", "m").filter("v <> m").select(F.col("m").alias("u"), "v").distinct()
-        down = large.groupBy("v").agg(F.min("u").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
+        large = stored(both.filter("v > u").join(least, F.col("u") == F.col("n")).select("v", "m").filter("v <> m").select(F.col("m").alias("u"), "v").distinct())
+        down = stored(large.groupBy("v").agg(F.min("u").alias("m")))
         small = large.join(down.withColumnRenamed("v", "x"), F.col("v") == F.col("x"))
         small = small.select(F.col("m").alias("u"), F.col("v")).union(small.filter("u <> m").select(F.least("m", "u"), F.greatest("m", "u"))).distinct()
         edges = stored(small)
@@ -266,15 +273,21 @@ def similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     copy_id is the least id with the same shingle set, class_id the least id of the group that links
     hold together, n_links the number of other rows whose likeness reaches the threshold, copies
-    included. Texts without words (null too) link to nothing and are classes of their own. Rows with a
-    null id get nulls and no links. Equal rows of one id are copies; if the rows of one id differ, those
-    that have the least id of their kind are judged by one of them. An empty table gives an empty result.
+    included. Rows are told apart by their number, not their id: rows of one id are judged each by its own
+    text, and a null id links like any other; the least id is null only where all are. Texts without words
+    (null too) link to nothing and are classes of their own. An empty table gives an empty result.
     """
-    rows = documents.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"))
-    signed_ = stored(rows.mapInPandas(_signatures, "d long, kind string, sketch binary"))
-    kinds = stored(signed_.filter("kind <> ''").groupBy("kind").agg(F.min("d").alias("rep"), F.count("*").alias("copies")))
-    same = lambda df: df.join(kinds.withColumnRenamed("kind", "k"), (F.col("kind") == F.col("k")) & (F.col("d") == F.col("rep")))
-    reps = stored(same(signed_).groupBy("rep").agg(F.min_by(F.struct("sketch", "copies"), "kind").alias("x")).select("rep", "x.*"))
+    return similar_rows(documents, id_col, text_col, threshold, tolerance, block).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def similar_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, carry: list[str] = ()) -> DataFrame:
+    """As similar(), with class_row, a number of the class (null for texts without words), and the columns of `carry`."""
+    rows = documents.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("none"), *carry).alias("carried"))
+    signed_ = stored(rows.mapInPandas(_signatures, f"d long, carried {rows.schema['carried'].dataType.simpleString()}, r long, kind binary, sketch binary"))
+    # one row stands for each kind; its number, written once, names the kind from here on
+    first = F.min(F.struct(F.col("d").isNull().alias("none"), "d", "r")).alias("x")
+    kinds = stored(signed_.filter(F.octet_length("kind") > 0).groupBy("kind").agg(first, F.count("*").alias("copies")).select("kind", F.col("x.r").alias("rep"), F.col("x.d").alias("least"), "copies"))
+    reps = stored(signed_.select("r", "sketch").join(kinds.select("rep", "copies"), F.col("r") == F.col("rep")).select("rep", "sketch", "copies"))
 
     keys = stored(reps.mapInPandas(_band_keys, "key long, rep long"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("members > 1")
@@ -284,21 +297,24 @@ def similar(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     candidates = stored(near.select("key", "first", "second", "block", "rep", "sketch").mapInPandas(_candidates(threshold, tolerance), "u long, v long"))
 
     groups = stored(connected(candidates))
-    members = groups.join(groups.groupBy(F.col("root").alias("key")).agg(F.count("*").alias("members")), F.col("root") == F.col("key")).select("key", F.col("node").alias("rep"), "members")
-    texts = rows.join(groups.select(F.col("node").alias("w")), F.col("d") == F.col("w")).select("d", "text")
-    sets = same(texts.mapInPandas(_sets, "d long, kind string, shingles binary")).groupBy("rep").agg(F.min_by("shingles", "kind").alias("shingles"))
-    sets = stored(sets.join(reps, "rep"))
+    sizes = stored(groups.groupBy(F.col("root").alias("key")).agg(F.count("*").alias("members")))
+    members = groups.join(sizes, F.col("root") == F.col("key")).select("key", F.col("node").alias("rep"), "members")
+    # the texts of the kinds in groups: of the ids that stand for them; other texts of these ids meet no kind
+    wanted = kinds.join(groups.select(F.col("node").alias("w")), F.col("rep") == F.col("w")).select("kind", "rep", "least")
+    texts = rows.join(wanted.select(F.col("least").alias("w")).distinct(), F.col("d").eqNullSafe(F.col("w"))).select("text")
+    sets = texts.mapInPandas(_sets, "kind binary, shingles binary").join(wanted.select(F.col("kind").alias("k"), "rep"), F.col("kind") == F.col("k"))
+    sets = stored(sets.dropDuplicates(["rep"]).select("rep", "shingles").join(reps, "rep"))
     near = _dealt(_placed(members, block).join(sets, "rep"))
     compared = stored(near.select("key", "first", "second", "block", "rep", "sketch", "shingles", "copies").mapInPandas(_links(threshold, tolerance), "rep long, links long, other long"))
     links = compared.groupBy("rep").agg(F.sum("links").alias("links")).withColumnRenamed("rep", "l")
     classes = connected(compared.filter("other is not null").select(F.col("other").alias("u"), F.col("rep").alias("v")))
 
-    known = kinds.join(links, F.col("rep") == F.col("l"), "left").join(classes, F.col("rep") == F.col("node"), "left")
-    known = known.select(F.col("kind").alias("k"), F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed_.select("d", "kind").join(known, F.col("kind") == F.col("k"), "left")
-    out = out.select(F.col("d").alias("doc_id"), F.coalesce("class_id", "d").alias("class_id"), F.coalesce("copy_id", "d").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    nulls = documents.filter(F.col(id_col).isNull()).select(*[F.lit(None).cast("long").alias(c) for c in ("doc_id", "class_id", "copy_id")], F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(nulls)
+    known = stored(kinds.join(links, F.col("rep") == F.col("l"), "left").join(classes, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")))
+    least = stored(known.groupBy(F.col("root").alias("top")).agg(F.min("least").alias("class_id")))
+    known = known.join(least, F.col("root") == F.col("top")).select(F.col("kind").alias("k"), F.col("root").alias("class_row"), "class_id", F.col("least").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = signed_.select("d", "kind", "carried").join(known, F.col("kind") == F.col("k"), "left")
+    own = lambda c: F.when(F.col("k").isNull(), F.col("d")).otherwise(F.col(c)).alias(c)
+    return out.select(F.col("d").alias("doc_id"), "class_row", own("class_id"), own("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *[F.col(f"carried.{c}").alias(c) for c in carry])
 
 
 def op10_similar(spark, sf_dir):

@@ -163,7 +163,8 @@ def repeated_spans(rows: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> tuple[D
     straight = marked.filter("paths = 1").select(*path, F.lit(0).cast("long").alias("off"), F.col("n").alias("edges"), F.col("d").alias("src_d"), F.col("t").alias("src_t"), F.col("start").alias("src_pos"))
     asked = _asking(texts, marked.filter("paths > 1"), ["start", *path])
     edges = stored(asked.mapInPandas(_edges(k), "w1 long, w2 long, a long, n long, s long, off long, d long, t long, pos long"))
-    origins = edges.groupBy("w1", "w2").agg(F.min(F.struct("d", "t", "pos")).alias("o"))
+    # written first: edges of a frequent window then meet its one origin in a join that is split where they are many
+    origins = stored(edges.groupBy("w1", "w2").agg(F.min(F.struct("d", "t", "pos")).alias("o")))
     origin = edges.select("w1", "w2", *path, "off").join(origins, ["w1", "w2"]).select(*path, "off", "o.*").withColumn("diagonal", F.col("pos") - F.col("off"))
     island = F.col("off") - F.row_number().over(W.partitionBy(*path, "d", "t", "diagonal").orderBy("off"))
     branched = origin.withColumn("island", island).groupBy(*path, "d", "t", "diagonal", "island").agg(F.min("off").alias("off"), F.count("*").alias("edges"), F.min("pos").alias("src_pos"))
