@@ -244,3 +244,116 @@ def test_semantic_chunks_query_keeps_all_turns(spark, tmp_path):
     spark.createDataFrame([(i, [1.0, 0.0], 0) for i in range(0, 9, 2)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.document_id: r.content for r in plans.QUERIES["i5_semantic_chunks"](spark, str(tmp_path)).collect()}
     assert got == {c: " ".join(f"turn {c} {t}" for t in range(3)) for c in range(4)}
+
+
+def test_search_equals_plain_search(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choices("abcd", k=rng.randint(0, 30))) for i in range(40)}
+    titles = {i: " ".join(rng.choices("abcd", k=2)) for i in texts}
+    asked = {1: '"a b c"', 2: "a d", 3: '"a a" OR b', 4: 'c "b a b a" OR "zz"', 5: "", 6: '"a b" "c d"'}
+    chunks = spark.createDataFrame([(i, t, titles[i]) for i, t in texts.items()], "chunk_id long, content string, title string")
+    got = fulltext.search(spark.createDataFrame(list(asked.items()), "query_id long, query string"), chunks, None).collect()
+    expected = {}
+    for q, query in asked.items():
+        for i in texts:
+            r = 0.0
+            for clause in fulltext.parse(query):
+                values = []
+                for phrase in set(clause):
+                    n = [sum(tuple(ws[p : p + len(phrase)]) == phrase for p in range(len(ws))) for ws in (titles[i].split(), texts[i].split())]
+                    values.append((any(n), 1.0 * math.log1p(n[0]) + 0.4 * math.log1p(n[1])))
+                r += sum(v for _, v in values) if all(x for x, _ in values) else 0
+            if r:
+                expected[q, i] = r / (r + 1)
+    assert {(r.query_id, r.chunk_id) for r in got} == set(expected) and len(expected) > 50
+    assert all(abs(r.rank_score - expected[r.query_id, r.chunk_id]) < 1e-9 for r in got)
+
+
+def test_english_search_ignores_endings_and_stop_words(spark):
+    chunks = spark.createDataFrame([(1, "The dogs are running fast"), (2, "A cat sleeps")], "chunk_id int, content string")
+    asked = spark.createDataFrame([(1, "dog"), (2, '"dog run"'), (3, "the cats"), (4, "sleeping")], "query_id int, query string")
+    got = sorted((r.query_id, r.chunk_id) for r in fulltext.search(asked, chunks, english=True).collect())
+    assert got == [(1, 1), (3, 2), (4, 2)]
+    df = spark.createDataFrame([("relational hopefulness classes studies agreed is bus",)], "t string")
+    assert df.select(fulltext.english_terms(F.col("t")).alias("x")).first().x == ["relate", "hopeful", "class", "studi", "agre", "bus"]
+
+
+def test_length_chunks_equal_plain_packing(spark):
+    import random
+    import re
+
+    rng = random.Random(2)
+    texts = {str(i): " ".join("".join(rng.choices("ab ", k=rng.randint(1, 30))).strip().capitalize() + rng.choice(".!?") for _ in range(rng.randint(0, 9))) for i in range(30)}
+    got = {}
+    for r in chunking.length_chunks(spark.createDataFrame(list(texts.items()), "document_id string, content string"), 25).orderBy("document_id", "chunk_index").collect():
+        got.setdefault(r.document_id, []).append(r)
+    for d, text_ in texts.items():
+        done, now = [], ""
+        for sentence in (x for x in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text_) if x.strip()):
+            now = f"{now} {sentence}" if now else sentence
+            if len(now) >= 25:
+                done.append(now)
+                now = ""
+        if now:
+            done = [*done[:-1], f"{done[-1]} {now}" if done else now]
+        rows = got.get(d, [])
+        assert [r.content.strip() for r in rows] == [x.strip() for x in done]
+        assert [r.prev_chunk_id for r in rows] == [None, *[r.chunk_id for r in rows]][: len(rows)]
+
+
+def test_recursive_chunks_hold_the_whole_text(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("content"))
+    pieces = {}
+    for r in chunking.recursive_chunks(docs, 250).orderBy("document_id", "chunk_index").collect():
+        assert len(r.content) <= 1000 and r.token_count == len(r.content) // 4
+        pieces.setdefault(r.document_id, []).append(r)
+    for r in docs.collect():
+        rows = pieces.get(r.document_id, [])
+        assert "".join("".join(x.content for x in rows).split()) == "".join((r.content or "").split())
+        assert [x.chunk_index for x in rows] == list(range(len(rows)))
+        assert all(a.next_chunk_id == b.chunk_id and b.prev_chunk_id == a.chunk_id for a, b in zip(rows, rows[1:]))
+
+
+def test_cross_references_of_hubs(spark):
+    rows = [(1, f"s{i}") for i in range(23)] + [(2, "s1"), (2, "x"), (3, "alone")]
+    got = {(r.source, r.target) for r in curation.cross_references(spark.createDataFrame(rows, "document_id int, slug string"), hub=5).collect()}
+    assert got == {(a, b) for d in (1, 2) for x, a in rows if x == d for y, b in rows if y == d and a != b}
+
+
+def test_top_k_in_blocks_equals_sorting(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    vs = [(i, [float(x) for x in draw.integers(-2, 3, 4)]) for i in range(300)]
+    df = spark.createDataFrame(vs, "id long, embedding array<double>")
+    for metric in ("cosine", "l2", "ip"):
+        got = {}
+        for r in vectors.top_k(df.filter("id < 30").withColumnRenamed("id", "query_id"), df, 7, metric, query_block=11).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        for q, e in vs[:30]:
+            a = np.array(e)
+
+            def far(b, a=a, metric=metric):
+                b = np.array(b)
+                n = np.sqrt((a * a).sum() * (b * b).sum())
+                return round(1 - (a @ b / n if n else 0.0), 12) if metric == "cosine" else round(((a - b) ** 2).sum(), 12) if metric == "l2" else round(1 - a @ b, 12)
+
+            assert got[q] == [i for _, i in sorted((far(b), i) for i, b in vs)[:7]]
+
+
+def test_highlights_mark_terms(spark):
+    df = spark.createDataFrame([("one two three four", ["two"]), ("none here", ["x"])], "t string, terms array<string>")
+    assert [r.x for r in df.select(text.highlighted(F.col("t"), F.col("terms")).alias("x")).collect()] == ["<mark>two</mark> three four", "none here"]
+
+
+def test_security_chunks_reference_piece(spark):
+    record = {"id": "CVE-2024-1", "descriptions": [{"lang": "en", "value": "long " * 50}], "references": [{"url": "u1"}, {"url": "u2"}]}
+    from tomeloom.operators.security_chunks import security_chunks
+
+    docs = spark.createDataFrame([(1, json.dumps({"vulnerabilities": [{"cve": record}, {"cve": {**record, "id": "CVE-2024-2"}}]})), (2, " ")], "document_id int, content string")
+    rows = security_chunks(docs, 10).orderBy("chunk_index").collect()
+    assert [(r.chunk_type, r.cve_id, r.chunk_index) for r in rows] == [("cve_description", "CVE-2024-1", 0), ("cve_references", "CVE-2024-1", 1), ("cve_description", "CVE-2024-2", 2), ("cve_references", "CVE-2024-2", 3)]
+    assert rows[1].content == "CVE: CVE-2024-1\nReferences: u1\nu2" and rows[0].next_chunk_id == rows[1].chunk_id

@@ -21,6 +21,7 @@ HALF_LIFE_DAYS = 365.0
 SIGMA_LEVELS = {"critical": "critical", "high": "high", "medium": "medium", "low": "low", "informational": "info", "informational_only": "info"}
 # Path fragments that name a source type, in the order in which they are tried.
 PATH_HINTS = (("sigma_rule", ("/sigma-rules/", "/sigma/")), ("nvd_cve", ("/nvd-cve/", "/nvd/", "/cve/")), ("mitre_attack", ("/mitre-attack/", "/attack/", "/mitre/")), ("ioc_list", ("/iocs/", "/ioc-lists/")))
+# The forms of ids, and the limits of an indicator list.
 CVE_ID = r"^CVE-\d{4}-\d+$"
 TECHNIQUE_ID = r"^T\d{4}(?:\.\d{3})?$"
 IOC_RATIO, IOC_LINES, IOC_CHARS, PROSE_LINE = 0.80, 2, 65_536, 60
@@ -117,5 +118,77 @@ def metadata_problems(cve_id: Column, technique_id: Column, cvss: Column) -> Col
 
 
 def flattened(values: Column, cap: int = 32) -> Column:
-    """A list as one string for scalar-only stores: the first `cap` values, joined by bars."""
-    return F.array_join(F.slice(values, 1, cap), "|")
+    """A list as one string for scalar-only stores: the first `cap` values, joined by bars; null is empty."""
+    return F.coalesce(F.array_join(F.slice(values, 1, cap), "|"), F.lit(""))
+
+
+# The fields of a document's security metadata, those that are columns of their own, and those of a scalar-only store.
+METADATA_FIELDS = {
+    "source_type": "string", "source_url": "string", "tlp_level": "string", "cve_id": "string", "cvss_score": "double", "severity": "string", "cwe_ids": "array<string>", "affected_products": "array<string>", "published_date": "timestamp",
+    "mitre_technique_id": "string", "mitre_tactic": "string", "mitre_subtechnique": "string", "threat_actors": "array<string>", "malware_families": "array<string>", "ioc_types": "array<string>", "detection_categories": "array<string>",
+    "platforms": "array<string>", "log_sources": "array<string>", "content_date": "timestamp",
+}
+METADATA_COLUMNS = ("source_type", "cve_id", "severity", "mitre_technique_id", "content_date", "tlp_level")
+SCALAR_FIELDS = ("source_type", "severity", "tlp_level", "cve_id", "cvss_score", "mitre_technique_id", "mitre_tactic", "content_date", "source_url", "cwe_ids", "threat_actors", "platforms")
+DOMAINS = {"source_type": (("sigma_rule", "nvd_cve", "mitre_attack", "ioc_list", "prose", "unknown"), "unknown"), "severity": (tuple(SEVERITY_WEIGHTS), "unknown"), "tlp_level": (("white", "green", "amber", "red"), "white")}
+METADATA = "struct<" + ",".join(f"{k}:{v}" for k, v in METADATA_FIELDS.items()) + ">"
+
+
+def _in_domain(name: str, value: Column) -> Column:
+    values, otherwise = DOMAINS[name]
+    return F.when(value.isin(*values), value).otherwise(F.lit(otherwise))
+
+
+def split_metadata(metadata: Column) -> list[Column]:
+    """The columns that filters use, and all set fields as one JSON text, `security_metadata`."""
+    return [metadata[c].alias(c) for c in METADATA_COLUMNS] + [F.to_json(metadata).alias("security_metadata")]
+
+
+def joined_metadata(blob: Column, columns: dict[str, Column]) -> Column:
+    """The metadata of a row: its JSON text, in which its own columns go first where they are set.
+
+    Unknown fields are left out; values out of their domain become unknown, or white.
+    """
+    read = F.from_json(blob, METADATA)
+    picked = {name: F.coalesce(columns[name].cast(kind), read[name]) if name in columns else read[name] for name, kind in METADATA_FIELDS.items()}
+    return F.struct(*[(_in_domain(name, value) if name in DOMAINS else value).alias(name) for name, value in picked.items()])
+
+
+def scalar_metadata(metadata: Column) -> Column:
+    """Metadata as scalars for a store without lists and nulls: lists flattened, times as ISO text, empty text or 0 for null."""
+    parts = []
+    for name in SCALAR_FIELDS:
+        value, kind = metadata[name], METADATA_FIELDS[name]
+        if kind == "array<string>":
+            value = flattened(value)
+        elif kind == "timestamp":
+            value = F.coalesce(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+        elif kind == "double":
+            value = F.coalesce(value, F.lit(0.0))
+        else:
+            value = F.coalesce(value, F.lit(DOMAINS[name][1] if name in DOMAINS else ""))
+        parts.append(value.alias(name))
+    return F.struct(*parts)
+
+
+def listed(text: Column, mark: str = ",") -> Column:
+    """A joined list back as an array; empty parts go."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), mark), lambda x: x != "")
+
+
+# What a model is asked about prose, and how much of it.
+EXTRACT_CHARS = 4000
+EXTRACT_FIELDS = "struct<severity:string,mitre_technique_id:string,threat_actors:array<string>,malware_families:array<string>,platforms:array<string>,ioc_types:array<string>,content_date:string>"
+
+
+def extracted_metadata(part: Column) -> Column:
+    """Metadata from the JSON part of a model's reply about prose; fields that break their rules are unset, and no JSON leaves all unset."""
+    read = F.from_json(part, EXTRACT_FIELDS)
+    severity, technique = F.lower(F.btrim(read["severity"])), F.btrim(read["mitre_technique_id"])
+    date = F.regexp_extract(F.btrim(read["content_date"]), r"^(\d{4}-\d{2}-\d{2})", 1)
+    lower = lambda xs: F.transform(xs, lambda x: F.lower(x))
+    found = {
+        "source_type": F.lit("prose"), "tlp_level": F.lit("white"), "severity": _in_domain("severity", severity), "mitre_technique_id": F.when(F.rlike(technique, F.lit(TECHNIQUE_ID)), technique), "threat_actors": read["threat_actors"],
+        "malware_families": read["malware_families"], "platforms": lower(read["platforms"]), "ioc_types": lower(read["ioc_types"]), "content_date": F.try_to_timestamp(date),
+    }
+    return F.struct(*[found.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in METADATA_FIELDS.items()])

@@ -31,21 +31,20 @@ def tally(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("total"), is_("success").alias("succeeded"), is_("skipped").alias("skipped"), is_("failed").alias("failed"))
 
 
-def category_paths(categories: DataFrame, max_depth: int = 32) -> DataFrame:
+def category_paths(categories: DataFrame) -> DataFrame:
     """categories(category_id, name, parent_id) -> (category_id, path, depth), roots first; cycles end where they close.
 
     One join for each level of the tree, which stops at the first level without rows.
     """
     level = categories.filter(F.col("parent_id").isNull()).select("category_id", F.col("name").alias("path"), F.lit(0).alias("depth"), F.array("category_id").alias("_seen"))
     out = level
-    for _ in range(max_depth):
+    while True:
         up = level.select(F.col("category_id").alias("_up"), F.col("path").alias("_path"), "depth", "_seen")
         level = categories.join(up, F.col("parent_id") == F.col("_up")).filter(~F.array_contains("_seen", F.col("category_id")))
         level = level.select("category_id", F.concat_ws("/", "_path", "name").alias("path"), (F.col("depth") + 1).alias("depth"), F.concat("_seen", F.array("category_id")).alias("_seen"))
         if level.isEmpty():
-            break
+            return out.drop("_seen")
         out = out.unionByName(level)
-    return out.drop("_seen")
 
 
 def subtree(categories: DataFrame, root) -> DataFrame:
@@ -87,6 +86,62 @@ def matched_categories(suggestions: DataFrame, paths: DataFrame) -> DataFrame:
     return rows.withColumn("category_id", F.coalesce("_by_path", "_by_name")).filter("category_id is not null").select("document_id", "category_id", "confidence")
 
 
+def category_seeds(texts: DataFrame) -> DataFrame:
+    """texts(text) of YAML category trees -> (slug, name, description, color, parent_slug); a missing slug is made from
+    the name, broken files and nodes without a name give none."""
+    from ..functions.text import slugify
+
+    rows = texts.select("text").mapInPandas(_seeds, "name string, slug string, description string, color string, up string, up_name string")
+    own = lambda slug, name: F.coalesce(F.nullif(slug, F.lit("")), slugify(name))
+    return rows.select(own(F.col("slug"), F.col("name")).alias("slug"), "name", "description", "color", own(F.col("up"), F.col("up_name")).alias("parent_slug"))
+
+
+def _seeds(batches):
+    import pandas as pd
+    import yaml
+
+    for batch in batches:
+        rows = []
+        for text in batch["text"]:
+            try:
+                tree = yaml.safe_load(text or "")
+            except yaml.YAMLError:
+                continue
+            tree = tree.get("categories", []) if isinstance(tree, dict) else tree
+            todo = [(node, None, None) for node in tree] if isinstance(tree, list) else []
+            while todo:
+                node, up, up_name = todo.pop()
+                if isinstance(node, dict) and node.get("name"):
+                    name, slug = str(node["name"]), None if node.get("slug") is None else str(node["slug"])
+                    rows.append((name, slug, node.get("description"), node.get("color"), up, up_name))
+                    todo += [(child, slug, name) for child in node.get("children") or []]
+        yield pd.DataFrame(rows, columns=["name", "slug", "description", "color", "up", "up_name"])
+
+
+# How a catalogue line is laid out.
+TITLE_CHARS = 32
+
+
+def catalogue_lines(documents: DataFrame, style: str) -> DataFrame:
+    """documents(document_id, title, file_type, status, created_at) -> (document_id, line) as json, markdown or text."""
+    title = F.substring(F.coalesce("title", F.lit("")), 1, TITLE_CHARS)
+    day = F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit(""))
+    if style == "json":
+        line = F.to_json(F.struct("document_id", "title", "file_type", "status", day.alias("created_at")))
+    elif style == "markdown":
+        line = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("document_id").cast("string"), title, "file_type", "status", day), F.lit(" |"))
+    elif style == "text":
+        line = F.concat_ws("  ", F.col("document_id").cast("string"), F.rpad(title, TITLE_CHARS, " "), "file_type", "status", day)
+    else:
+        raise ValueError(f"unknown style {style}")
+    return documents.select("document_id", line.alias("line"))
+
+
+def wiki_index(pages: DataFrame) -> DataFrame:
+    """pages(slug, title, kind) -> the lines of an index, by title, then slug."""
+    return pages.select("title", "slug", F.concat(F.lit("- [["), "slug", F.lit("]] "), "title", F.lit(" ("), "kind", F.lit(")")).alias("line")).orderBy("title", "slug")
+
+
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 

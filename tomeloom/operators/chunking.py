@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ CODE_SEPARATORS = {
     "java": ("\nclass ", "\nvoid ", "\n\n", "\n", " ", ""),
     "rust": ("\nfn ", "\nstruct ", "\n\n", "\n", " ", ""),
 }
-CHUNK_SCHEMA = "document_id string, chunk_index int, content string, chunk_type string"
+CHUNK_SCHEMA = "chunk_id string, document_id string, chunk_index int, content string, token_count int, prev_chunk_id string, next_chunk_id string, chunk_type string"
 HEADER = r"^(#{1,3}) +(.*)$"
 
 
@@ -72,29 +73,43 @@ def recursive_split(text: str, limit: int, separators=SEPARATORS, overlap: int =
     return out
 
 
-def _exploding(cut: Callable[[str], list[str]], kind: str):
+def _links(document_id: str | None, contents: list[str], kind: str) -> list[tuple]:
+    """Rows of linked chunks for one document's pieces in order."""
+    ids = [hashlib.sha256(":".join(x for x in (document_id, str(i)) if x is not None).encode()).hexdigest() for i in range(len(contents))]
+    return [(ids[i], document_id, i, piece, len(piece) // CHARS_PER_TOKEN, ids[i - 1] if i else None, ids[i + 1] if i + 1 < len(ids) else None, kind) for i, piece in enumerate(contents)]
+
+
+def _cut(docs: DataFrame, cut: Callable[[str], list[str]], kind: str) -> DataFrame:
+    """docs(document_id, content) -> linked chunks; blank pieces go. Each document is cut, numbered and linked in the task that reads it."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, i, piece, kind) for d, text in zip(batch["document_id"], batch["content"], strict=True) for i, piece in enumerate(p for p in cut(text or "") if p.strip())]
-            yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "content", "chunk_type"])
+            rows = [row for d, text in zip(batch["document_id"], batch["content"], strict=True) for row in _links(d, [p for p in cut(text or "") if p.strip()], kind)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
-    return run
+    return docs.select(F.col("document_id").cast("string"), "content").mapInPandas(run, CHUNK_SCHEMA)
 
 
 def recursive_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, overlap_tokens: int = 0, language: str | None = None) -> DataFrame:
-    """docs(document_id, content) -> chunks; blank pieces go. Each document is cut in the task that reads it."""
+    """docs(document_id, content) -> linked chunks."""
     separators = CODE_SEPARATORS.get(language, SEPARATORS) if language else SEPARATORS
     limit, overlap = chunk_tokens * CHARS_PER_TOKEN, overlap_tokens * CHARS_PER_TOKEN
-    return linked(docs.select(F.col("document_id").cast("string"), "content").mapInPandas(_exploding(lambda t: recursive_split(t, limit, separators, overlap), "recursive"), CHUNK_SCHEMA))
+    return _cut(docs, lambda t: recursive_split(t, limit, separators, overlap), "recursive")
 
 
 def markdown_sections(docs: DataFrame) -> DataFrame:
-    """docs(document_id, content) -> (document_id, chunk_index, header_path, content): one row for each section with text.
+    """docs(document_id, content) -> (document_id, chunk_index, header_path, content): one row for each section with text."""
+    rows = docs.select(F.col("document_id").cast("string").alias("document_id"), F.posexplode(_sections(F.col("content"))).alias("chunk_index", "s"))
+    return rows.select("document_id", "chunk_index", "s.header_path", "s.content")
+
+
+def _sections(content: Column) -> Column:
+    """The sections of a markdown text that have text, with their headers' path.
 
     A header's context is the last header of each shallower level since the one before that. All in one
     document's array, so nothing is shuffled: folded line by line.
     """
-    lines = F.split(F.coalesce("content", F.lit("")), "\n")
+    lines = F.split(F.coalesce(content, F.lit("")), "\n")
     level = lambda x: F.char_length(F.regexp_extract(x, HEADER, 1))
     empty = F.struct(F.lit("").alias("h1"), F.lit("").alias("h2"), F.lit("").alias("h3"), F.lit("").alias("path"), F.lit("").alias("body"))
     start = F.struct(empty.alias("now"), F.array().cast("array<struct<h1:string,h2:string,h3:string,path:string,body:string>>").alias("done"))
@@ -111,8 +126,7 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
         return F.when(n > 0, F.struct(opened.alias("now"), F.concat(acc["done"], F.array(now)).alias("done"))).otherwise(F.struct(more.alias("now"), acc["done"].alias("done")))
 
     sections = F.aggregate(lines, start, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["now"])), lambda s: F.btrim(F.regexp_replace(s["body"], r"\s+", " ")) != ""))
-    rows = docs.select(F.col("document_id").cast("string").alias("document_id"), F.posexplode(sections).alias("chunk_index", "s"))
-    return rows.select("document_id", "chunk_index", F.col("s.path").alias("header_path"), F.regexp_replace("s.body", r"^\s+|\s+$", "").alias("content"))
+    return F.transform(sections, lambda s: F.struct(s["path"].alias("header_path"), F.regexp_replace(s["body"], r"^\s+|\s+$", "").alias("content")))
 
 
 def pack_paragraphs(text: str, limit: int, context: str) -> list[str]:
@@ -137,12 +151,15 @@ def markdown_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for d, i, context, body in zip(batch["document_id"], batch["chunk_index"], batch["header_path"], batch["content"], strict=True):
-                pieces = [f"# {context}\n\n{body}" if context else body] if len(body) <= limit else pack_paragraphs(body, limit, context)
-                rows += [(d, i * 100_000 + j, p, "markdown") for j, p in enumerate(pieces)]
-            yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "content", "chunk_type"])
+            for d, sections in zip(batch["document_id"], batch["sections"], strict=True):
+                pieces = []
+                for section in sections:
+                    context, body = section["header_path"], section["content"]
+                    pieces += [f"# {context}\n\n{body}" if context else body] if len(body) <= limit else pack_paragraphs(body, limit, context)
+                rows += _links(d, pieces, "markdown")
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
-    return linked(markdown_sections(docs).mapInPandas(run, CHUNK_SCHEMA))
+    return docs.select(F.col("document_id").cast("string").alias("document_id"), _sections(F.col("content")).alias("sections")).mapInPandas(run, CHUNK_SCHEMA)
 
 
 def length_chunks(docs: DataFrame, min_chars: int = 100) -> DataFrame:
@@ -162,8 +179,14 @@ def length_chunks(docs: DataFrame, min_chars: int = 100) -> DataFrame:
         return F.when(acc["now"] == "", acc["done"]).otherwise(joined)
 
     pieces = F.aggregate(sentences(F.coalesce("content", F.lit(""))), start, step, end)
-    rows = docs.select(F.col("document_id").cast("string").alias("document_id"), F.posexplode(pieces).alias("chunk_index", "content"))
-    return linked(rows.withColumn("chunk_type", F.lit("semantic")))
+    named = docs.select(F.col("document_id").cast("string").alias("document_id"), pieces.alias("pieces"))
+    key = lambda i: F.sha2(F.concat_ws(":", "document_id", i.cast("string")), 256)
+    rows = named.select("document_id", F.size("pieces").alias("n"), F.posexplode("pieces").alias("chunk_index", "content"))
+    at = F.col("chunk_index")
+    return rows.select(
+        key(at).alias("chunk_id"), "document_id", "chunk_index", "content", F.floor(F.char_length("content") / CHARS_PER_TOKEN).cast("int").alias("token_count"),
+        F.when(at > 0, key(at - 1)).alias("prev_chunk_id"), F.when(at + 1 < F.col("n"), key(at + 1)).alias("next_chunk_id"), F.lit("semantic").alias("chunk_type"),
+    )
 
 
 def semantic_chunks(sentence_vectors: DataFrame, threshold: float = 0.5, min_chars: int = 100) -> DataFrame:
@@ -185,13 +208,13 @@ def semantic_chunks(sentence_vectors: DataFrame, threshold: float = 0.5, min_cha
     return linked(out.withColumn("chunk_type", F.lit("semantic")))
 
 
-def linked(chunks: DataFrame) -> DataFrame:
-    """Chunks with consecutive indexes from 0, ids made of document and index, token counts, and links to both neighbours."""
+def linked(chunks: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """For chunks that no one task has cut: consecutive indexes from 0, ids made of document and index, token counts, and links to both neighbours."""
     w = W.partitionBy("document_id").orderBy("chunk_index")
     rows = chunks.withColumn("chunk_index", (F.row_number().over(w) - 1).cast("int"))
     rows = rows.withColumn("chunk_id", F.sha2(F.concat_ws(":", "document_id", F.col("chunk_index").cast("string")), 256))
     rows = rows.withColumns({"prev_chunk_id": F.lag("chunk_id").over(w), "next_chunk_id": F.lead("chunk_id").over(w), "token_count": F.floor(F.char_length("content") / CHARS_PER_TOKEN).cast("int")})
-    return rows.select("chunk_id", "document_id", "chunk_index", "content", "token_count", "prev_chunk_id", "next_chunk_id", "chunk_type")
+    return rows.select("chunk_id", "document_id", "chunk_index", "content", "token_count", "prev_chunk_id", "next_chunk_id", "chunk_type", *carry)
 
 
 def with_neighbours(chunks: DataFrame, hits: DataFrame, reach: int = 1) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slugify, snippet
 
-MAX_COMBINED, MAX_SECTIONS, TAG_THRESHOLD, DEFAULT_CONFIDENCE = 8000, 10, 0.7, 0.7
+MAX_COMBINED, MAX_SECTIONS, TAG_THRESHOLD, DEFAULT_CONFIDENCE, ENTITY_CONFIDENCE, CLAIM_CHARS = 8000, 10, 0.7, 0.7, 0.5, 500
+#: Pages of one document beyond which its pairs are dealt out in blocks of so many.
+HUB = 200
 SUGGESTIONS = "array<struct<category:string,path:string,name:string,confidence:double,score:double,reasoning:string>>"
 
 
@@ -87,6 +89,35 @@ def suggestions(replies: DataFrame) -> DataFrame:
     return rows.select("document_id", F.coalesce("s.path", "s.category", "s.name").alias("path"), sure.alias("confidence"), F.substring("s.reasoning", 1, 200).alias("reasoning")).filter("path is not null")
 
 
+def entities_of(replies: DataFrame) -> DataFrame:
+    """replies(document_id, reply) -> (document_id, name, kind, summary, confidence) of the entities that a reply lists; defaults
+    are concept, no summary and ENTITY_CONFIDENCE; a reply without a list, or whose list is no JSON, gives none."""
+    listed = F.nullif(F.regexp_extract("reply", r"(?s)(\[.*\])", 1), F.lit(""))
+    rows = replies.select("document_id", F.explode(F.from_json(listed, "array<struct<name:string,entity_type:string,summary:string,confidence:double>>")).alias("e")).filter("e.name is not null")
+    return rows.select("document_id", "e.name", F.coalesce("e.entity_type", F.lit("concept")).alias("kind"), F.coalesce("e.summary", F.lit("")).alias("summary"), F.coalesce("e.confidence", F.lit(ENTITY_CONFIDENCE)).alias("confidence"))
+
+
+def page_sections(replies: DataFrame, max_sections: int = MAX_SECTIONS) -> DataFrame:
+    """replies(slug, document_id, priority, reply) -> (slug, position, heading, content, source, priority): the first sections of a new page."""
+    parts = F.from_json(json_part(F.col("reply")), "struct<sections:array<struct<heading:string,content:string>>>")["sections"]
+    rows = replies.select("slug", "document_id", "priority", F.posexplode(F.slice(parts, 1, max_sections)).alias("position", "s"))
+    heading = F.coalesce(F.nullif(F.col("s.heading"), F.lit("")), F.concat(F.lit("Section "), F.col("position") + 1))
+    return rows.select("slug", "position", heading.alias("heading"), F.coalesce("s.content", F.lit("")).alias("content"), F.col("document_id").alias("source"), "priority")
+
+
+def contradictions_of(replies: DataFrame) -> DataFrame:
+    """replies(reply, ...) with `contradiction`, a struct of kind, description, both claims and severity; null where the reply says none."""
+    read = F.from_json(json_part(F.col("reply")), "struct<conflict_type:string,description:string,existing_claim:string,new_claim:string,severity:string>")
+    none = F.lower(F.btrim(F.replace("reply", F.lit('"'), F.lit("")))) == "none"
+    found = F.struct(read["conflict_type"].alias("kind"), F.coalesce(read["description"], F.lit("")).alias("description"), F.coalesce(read["existing_claim"], F.lit("")).alias("existing_claim"), F.coalesce(read["new_claim"], F.lit("")).alias("new_claim"), F.coalesce(read["severity"], F.lit("medium")).alias("severity"))
+    return replies.withColumn("contradiction", F.when(~none & read["conflict_type"].isNotNull(), found))
+
+
+def contradiction_prompt(existing: Column, new: Column) -> Column:
+    """What a model is asked about two texts; the first CLAIM_CHARS of each."""
+    return F.concat(F.lit("Do these two texts contradict each other? Answer none, or JSON with conflict_type, description, existing_claim, new_claim and severity.\n\nExisting: "), F.substring(existing, 1, CLAIM_CHARS), F.lit("\n\nNew: "), F.substring(new, 1, CLAIM_CHARS))
+
+
 def new_pages(entities: DataFrame, pages: DataFrame) -> DataFrame:
     """entities(document_id, name, kind) -> pages(slug, title, kind) that don't exist yet, the first name of a slug."""
     rows = entities.withColumn("slug", slugify(F.col("name"))).filter("slug <> ''")
@@ -94,14 +125,18 @@ def new_pages(entities: DataFrame, pages: DataFrame) -> DataFrame:
     return firsts.select("slug", "x.*").join(pages.select("slug"), "slug", "left_anti")
 
 
-def cross_references(mentions: DataFrame, existing: DataFrame | None = None, hub: int = 200) -> DataFrame:
+def cross_references(mentions: DataFrame, existing: DataFrame | None = None, hub: int = HUB) -> DataFrame:
     """mentions(document_id, slug) -> (source, target) of pages named in one document, both ways, not there yet.
 
-    Documents that name more than `hub` pages are dealt out by source, so that no task holds all their pairs.
+    The pairs of a document are the answer; the slugs of one that names more than `hub` pages are dealt out in
+    blocks by slug, and each slug meets the blocks one by one, so no task holds all its pairs or its whole list.
     """
     rows = mentions.select("document_id", "slug").distinct()
-    lists = rows.groupBy("document_id").agg(F.sort_array(F.collect_set("slug")).alias("slugs"))
-    pairs = lists.select("slugs", F.explode("slugs").alias("source")).select("source", F.explode("slugs").alias("target")).filter("source <> target").distinct()
+    blocks = rows.groupBy(F.col("document_id").alias("_d")).agg(F.ceil(F.count("*") / hub).cast("int").alias("_blocks"))
+    dealt = rows.join(blocks, F.col("document_id") == F.col("_d")).select("document_id", "slug", "_blocks", F.pmod(F.xxhash64("slug"), F.col("_blocks")).cast("int").alias("_block"))
+    lists = dealt.groupBy("document_id", "_block").agg(F.collect_list("slug").alias("targets")).withColumnsRenamed({"document_id": "_e", "_block": "_b"})
+    asking = dealt.select("document_id", F.col("slug").alias("source"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_at"))
+    pairs = asking.join(lists, (F.col("document_id") == F.col("_e")) & (F.col("_at") == F.col("_b"))).select("source", F.explode("targets").alias("target")).filter("source <> target").distinct()
     return pairs if existing is None else pairs.join(existing, ["source", "target"], "left_anti")
 
 
@@ -122,6 +157,68 @@ def update_actions(updates: DataFrame, sections: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).drop("_priority", "_time", "_live")
 
 
+def applied_updates(decided: DataFrame, sections: DataFrame) -> DataFrame:
+    """decided(slug, heading, content, outcome, source, priority, ordinal) of update_actions() on sections(slug, heading, content,
+    position, source, priority, superseded, flag) -> the sections after them.
+
+    replace puts the last text in place; append and supersede add sections after the page's own, in the order of
+    `ordinal`; a superseded section stays, marked; flag marks the conflict. Of several updates of one heading the
+    last replaces; rejected and kept ones change nothing.
+    """
+    by_heading = decided.groupBy(F.col("slug").alias("_s"), F.col("heading").alias("_h")).agg(
+        F.max_by(F.when(F.col("outcome") == "replace", F.struct("content", "source", "priority")), F.when(F.col("outcome") == "replace", F.col("ordinal"))).alias("_new"), F.max(F.col("outcome") == "supersede").alias("_gone"), F.max(F.col("outcome") == "flag").alias("_flag")
+    )
+    old = sections.join(by_heading, (F.col("slug") == F.col("_s")) & (F.col("heading") == F.col("_h")), "left")
+    pick = lambda c: F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c)
+    old = old.select("slug", "heading", pick("content"), "position", pick("source"), pick("priority"), (F.col("superseded") | F.coalesce("_gone", F.lit(False))).alias("superseded"), F.when(F.coalesce("_flag", F.lit(False)), F.lit("conflict")).otherwise(F.col("flag")).alias("flag"))
+    counts = sections.groupBy(F.col("slug").alias("_s")).agg(F.max("position").alias("_last"))
+    turn = F.row_number().over(W.partitionBy("slug").orderBy("ordinal", "heading"))
+    added = decided.filter(F.col("outcome").isin("append", "supersede")).withColumn("_turn", turn).join(counts, F.col("slug") == F.col("_s"), "left")
+    added = added.select("slug", "heading", "content", (F.coalesce("_last", F.lit(-1)) + F.col("_turn")).alias("position"), "source", "priority", F.lit(False).alias("superseded"), F.lit(None).cast("string").alias("flag"))
+    return old.unionByName(added)
+
+
+def finished_jobs(jobs: DataFrame, outcomes: DataFrame, at: Column, batch: int | None = None) -> DataFrame:
+    """jobs(document_id, status), outcomes(document_id, n_chunks, n_entities, error) -> jobs with status, error and compiled_at.
+
+    Pending jobs with an outcome are completed, or failed where there is an error; no chunks or no entities is
+    complete too. With a batch, only the first so many pending ones by id are taken. Others stay as they are.
+    """
+    taken = jobs.filter("status = 'pending'").select("document_id")
+    if batch is not None:
+        taken = taken.orderBy("document_id").limit(batch)
+    done = outcomes.join(taken, "document_id", "left_semi").select(F.col("document_id").alias("_d"), "error", F.lit(True).alias("_done"))
+    rows = jobs.join(done, F.col("document_id") == F.col("_d"), "left")
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("_done"), "completed").otherwise(F.col("status"))
+    return rows.select("document_id", status.alias("status"), "error", F.when(F.col("_done") & F.col("error").isNull(), at).alias("compiled_at"))
+
+
+def prose_metadata(docs: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """docs(document_id, content) -> (document_id, metadata) that a model's reply on the first EXTRACT_CHARS names; blank
+    texts are not asked about, and they and unreadable replies have none but their source type."""
+    from ..functions.security import EXTRACT_CHARS, extracted_metadata
+
+    blank = F.btrim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " ")) == ""
+    ask = F.concat(F.lit("Name severity, mitre_technique_id, threat_actors, malware_families, platforms, ioc_types and content_date as JSON for this text:\n"), F.substring("content", 1, EXTRACT_CHARS))
+    rows = generated(docs.select("document_id", F.when(~blank, ask).otherwise(F.lit("")).alias("prompt")), model)
+    return rows.select("document_id", extracted_metadata(F.when(F.col("prompt") != "", json_part(F.col("reply")))).alias("metadata"))
+
+
+# What is said instead of an answer.
+NO_QUESTION, NO_RESULTS = "No question was asked.", "Nothing was found for this question."
+
+
+def answered(questions: DataFrame, contexts: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """questions(query_id, query), contexts(query_id, context) -> (query_id, answer, asked): a model's reply where there is a
+    question and a context, else a fixed message; a reply that failed gives the context itself."""
+    rows = questions.join(contexts, "query_id", "left")
+    blank = F.btrim(F.coalesce("query", F.lit(""))) == ""
+    rows = generated(rows.withColumn("prompt", F.when(~blank & F.col("context").isNotNull(), answer_prompt(F.col("query"), F.col("context"))).otherwise(F.lit(""))), model)
+    reply = F.when(F.startswith("reply", F.lit("Error:")), F.col("context")).otherwise(F.col("reply"))
+    answer = F.when(blank, NO_QUESTION).when(F.col("context").isNull(), NO_RESULTS).otherwise(reply)
+    return rows.select("query_id", answer.alias("answer"), (F.col("prompt") != "").alias("asked"))
+
+
 def assembled_pages(pages: DataFrame, sections: DataFrame, links: DataFrame) -> DataFrame:
     """pages(slug, title), sections(slug, position, heading, content, superseded, source), links(source, target) -> (slug, markdown)."""
     text = F.when(F.col("superseded"), F.concat(F.lit("~~"), "content", F.lit("~~"))).otherwise(F.col("content"))

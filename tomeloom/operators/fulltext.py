@@ -51,40 +51,88 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """queries(query_id, query) -> one row for each word of each phrase of each alternative."""
-    return queries.select("query_id", "query").mapInPandas(_parsed, "query_id long, clause int, n_phrases int, phrase int, n_words int, at int, term string")
+    return queries.select("query_id", "query").mapInPandas(_parsed, f"query_id {dict(queries.dtypes)['query_id']}, clause int, n_phrases int, phrase int, n_words int, at int, term string")
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(chunk_id, in_title, pos, term) of the asked terms only: others go where they are read if the terms are few."""
-    asked = terms.select("term").distinct()
-    if asked.count() <= BROADCAST_TERMS:
-        asked = F.broadcast(asked)
-    title = F.col("title") if "title" in chunks.columns else F.lit(None).cast("string")
-    content = chunks.select("chunk_id", F.lit(False).alias("in_title"), F.posexplode(words(F.col("content"))).alias("pos", "term"))
-    titles = chunks.select("chunk_id", F.lit(True).alias("in_title"), F.posexplode(words(title)).alias("pos", "term"))
-    both = content.unionByName(titles) if "title" in chunks.columns else content
-    return both.join(asked, "term", "left_semi")
+# English words that searches pass over, and suffixes that stems lose, longest first, with what stands for them.
+STOP_WORDS = frozenset("a about after all also an and any are as at be because been before but by can could did do does for from had has have he her his how i if in into is it its just me more most my no not of on only or other our out over she should so some such than that the their them then there these they this those through to too under up very was we were what when where which while who why will with would you your".split())
+STEM_SUFFIXES = (("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("ization", "ize"), ("tional", "tion"), ("biliti", "ble"), ("sses", "ss"), ("ement", ""), ("ation", "ate"), ("ies", "i"), ("ing", ""), ("ed", ""), ("ly", ""), ("s", ""))
+STEM_LEAST = 3
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int | None = 20, document_ids: DataFrame | None = None) -> DataFrame:
+def stem(word: Column) -> Column:
+    """A word without its first fitting suffix, if STEM_LEAST letters with a vowel stay; a word that ends in ss, us or is keeps its s."""
+    out = F
+    for suffix, instead in STEM_SUFFIXES:
+        left = F.substring(word, F.lit(1), F.char_length(word) - len(suffix))
+        fits = F.endswith(word, F.lit(suffix)) & (F.char_length(left) >= STEM_LEAST) & F.rlike(left, F.lit("[aeiouy]"))
+        if suffix == "s":
+            fits &= ~F.rlike(word, F.lit("(ss|us|is)$"))
+        out = out.when(fits, F.concat(left, F.lit(instead)))
+    return out.otherwise(word)
+
+
+def english_terms(text: Column) -> Column:
+    """Lower-cased words without stop words, stemmed, in order."""
+    return F.transform(F.filter(words(text), lambda w: ~w.isin(*sorted(STOP_WORDS))), stem)
+
+
+def _few(df: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
+    """df with a broadcast hint if a count allows it."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def phrase_hits(chunks: DataFrame, phrases: DataFrame, english: bool = False) -> DataFrame:
+    """phrases(phrase: array of words), distinct -> (phrase, chunk_id, in_title, in_content): how often each occurs.
+
+    A single word is counted where the chunk is read, so a row for each word of each chunk is the most that
+    is shuffled. A longer phrase meets the chunks by its pairs of neighbouring words; only such pairs as
+    some phrase has are shuffled.
+    """
+    terms = english_terms if english else words
+    fields = [("content", False)] + ([("title", True)] if "title" in chunks.columns else [])
+    parts = [chunks.select("chunk_id", F.lit(title).alias("title"), terms(F.col(name)).alias("ws")) for name, title in fields]
+    read = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    counted = lambda df: df.groupBy("phrase", "chunk_id").agg(F.count_if("title").alias("in_title"), F.count_if(~F.col("title")).alias("in_content"))
+    single = _few(phrases.filter(F.size("phrase") == 1).select("phrase", F.col("phrase")[0].alias("term")))
+    out = counted(read.select("chunk_id", "title", F.explode("ws").alias("term")).join(single, "term"))
+    longer = phrases.filter(F.size("phrase") > 1)
+    pairs = lambda ws: F.arrays_zip(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))).alias("a"), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))).alias("b"))
+    asked = longer.select("phrase", F.posexplode(pairs(F.col("phrase"))).alias("at", "p")).select("phrase", "at", "p.*")
+    if asked.isEmpty():
+        return out
+    spots = read.select("chunk_id", "title", F.posexplode(pairs(F.col("ws"))).alias("pos", "p")).select("chunk_id", "title", "pos", "p.*").join(_few(asked), ["a", "b"])
+    # a phrase stands where all its pairs do, at one distance from their places in it
+    whole = spots.groupBy("phrase", "chunk_id", "title", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("n")).filter(F.col("n") == F.size("phrase") - 1)
+    return out.unionByName(counted(whole))
+
+
+def search(queries: DataFrame, chunks: DataFrame, k: int | None = 20, document_ids: DataFrame | None = None, english: bool = False) -> DataFrame:
     """queries(query_id, query) x chunks(chunk_id, content[, title, document_id]) -> (query_id, chunk_id, rank_score, rank).
 
     A chunk matches if all phrases of an alternative occur, in content or title. Its score is
-    r / (r + 1), r the weighted sum of ln(1 + occurrences) over the query's phrases. Ties by chunk id.
+    r / (r + 1), r the weighted sum of ln(1 + occurrences) over the query's phrases. Ties by chunk id. With
+    english, stop words are passed over and words are compared by their stems.
+
+    Phrases are looked up once however many questions ask them; questions are joined last.
     """
     if document_ids is not None:
         chunks = chunks.join(document_ids.select("document_id").distinct(), "document_id", "left_semi")
     terms = query_terms(queries)
-    # a phrase matches where all its words stand at one distance from their places in it
-    starts = postings(chunks, terms).join(terms, "term").withColumn("start", F.col("pos") - F.col("at"))
-    spots = starts.groupBy("query_id", "clause", "n_phrases", "phrase", "n_words", "chunk_id", "in_title", "start").agg(F.countDistinct("at").alias("n")).filter("n = n_words")
-    tf = spots.groupBy("query_id", "clause", "n_phrases", "phrase", "chunk_id").agg(F.count_if(F.col("in_title")).alias("in_title"), F.count_if(~F.col("in_title")).alias("in_content"))
+    if english:
+        terms = terms.filter(~F.col("term").isin(*sorted(STOP_WORDS))).withColumn("term", stem(F.col("term")))
+    asked = terms.groupBy("query_id", "clause", "phrase").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("words")).select("query_id", "clause", F.col("words").alias("phrase")).distinct()
+    needed = asked.groupBy("query_id", "clause").agg(F.count("*").alias("n_phrases")).withColumnsRenamed({"query_id": "_q", "clause": "_c"})
+    asked = asked.join(needed, (F.col("query_id") == F.col("_q")) & (F.col("clause") == F.col("_c"))).drop("_q", "_c")
+    found = phrase_hits(chunks, asked.select("phrase").distinct(), english)
     value = TITLE_WEIGHT * F.log1p("in_title") + CONTENT_WEIGHT * F.log1p("in_content")
-    clauses = tf.groupBy("query_id", "clause", "n_phrases", "chunk_id").agg(F.count("*").alias("n"), F.sum(value).alias("r")).filter("n = n_phrases")
+    found = found.select(F.col("phrase").alias("_phrase"), "chunk_id", value.alias("value"))
+    hits = found.join(_few(asked), F.col("phrase") == F.col("_phrase"))
+    clauses = hits.groupBy("query_id", "clause", "n_phrases", "chunk_id").agg(F.count("*").alias("n"), F.sum("value").alias("r")).filter("n = n_phrases")
     r = clauses.groupBy("query_id", "chunk_id").agg(F.sum("r").alias("r"))
     scored = r.select("query_id", "chunk_id", F.round(F.col("r") / (F.col("r") + 1), 12).alias("rank_score"))
     scored = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank_score"), "chunk_id")))

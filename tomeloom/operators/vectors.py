@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Queries that are broadcast at once (64 floats each: 25 MB). More are dealt out in blocks of this size.
 QUERY_BLOCK = 50_000
+#: Queries and vectors that a task compares at once: 2,048 x 1,024 doubles are 16 MB.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE = 2_048, 1_024
 
 
 def _sum(values: Column) -> Column:
@@ -94,24 +96,32 @@ def _best(shared, k: int, metric: str):
         if not len(ids):
             return
         size = np.sqrt((q * q).sum(1))
-        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
+        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
         for batch in batches:
-            for s in range(0, len(batch), 1024):
-                part = batch.iloc[s : s + 1024]
-                v = np.array(part["embedding"].tolist(), float).reshape(len(part), -1)
-                product = q @ v.T
-                if metric == "cosine":
-                    norms = size[:, None] * np.sqrt((v * v).sum(1))[None, :]
-                    d = 1 - np.where(norms > 0, product / np.where(norms > 0, norms, 1), 0.0)
-                elif metric == "l2":
-                    d = np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * product, 0)
-                else:
-                    d = 1 - product
-                best_d = np.concatenate([best_d, np.round(d, 12)], 1)
-                best_i = np.concatenate([best_i, np.broadcast_to(part["id"].to_numpy(np.int64), d.shape)], 1)
-                order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-        if best_d.shape[1]:
-            yield pd.DataFrame({"query_id": np.repeat(ids, best_d.shape[1]), "id": best_i.ravel(), "distance": best_d.ravel()})
+            for s in range(0, len(batch), VECTORS_AT_ONCE):
+                part = batch.iloc[s : s + VECTORS_AT_ONCE]
+                v, own = np.array(part["embedding"].tolist(), float).reshape(len(part), -1), part["id"].to_numpy(np.int64)
+                lengths = (v * v).sum(1)
+                for b in range(0, len(ids), QUERIES_AT_ONCE):
+                    at = slice(b, b + QUERIES_AT_ONCE)
+                    product = q[at] @ v.T
+                    if metric == "cosine":
+                        norms = size[at, None] * np.sqrt(lengths)[None, :]
+                        d = 1 - np.where(norms > 0, product / np.where(norms > 0, norms, 1), 0.0)
+                    elif metric == "l2":
+                        d = np.maximum((size[at] ** 2)[:, None] + lengths[None, :] - 2 * product, 0)
+                    else:
+                        d = 1 - product
+                    d = np.round(d, 12)
+                    # only vectors that are at least as near as a query's k-th best so far need an order
+                    nearer = np.flatnonzero((d <= best_d[at, -1:]).any(0))
+                    if len(nearer):
+                        both_d = np.concatenate([best_d[at], d[:, nearer]], 1)
+                        both_i = np.concatenate([best_i[at], np.broadcast_to(own[nearer], (len(d), len(nearer)))], 1)
+                        order = np.lexsort((both_i, both_d), axis=1)[:, :k]
+                        best_d[at], best_i[at] = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
+        found = np.isfinite(best_d.ravel())
+        if found.any():
+            yield pd.DataFrame({"query_id": np.repeat(ids, k)[found], "id": best_i.ravel()[found], "distance": best_d.ravel()[found]})
 
     return run

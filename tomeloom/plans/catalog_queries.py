@@ -37,11 +37,12 @@ def known_hashes(t):
 
 
 @query("c5_category_paths", """
-WITH RECURSIVE c AS (SELECT 'r' || r_regionkey AS id, r_name AS name, CAST(NULL AS VARCHAR) AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation),
+WITH RECURSIVE c AS (SELECT 'r' || r_regionkey AS id, r_name AS name, CAST(NULL AS VARCHAR) AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, c_name, 'n' || c_nationkey FROM customer),
 p(category_id, path, depth) AS (SELECT id, name, 0 FROM c WHERE parent IS NULL UNION ALL SELECT c.id, p.path || '/' || c.name, p.depth + 1 FROM c JOIN p ON c.parent = p.category_id)
 SELECT category_id, path, depth FROM p""")
 def category_paths(t):
-    return catalog.category_paths(_categories(t))
+    customers = t.customer.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("category_id"), F.col("c_name").alias("name"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("parent_id"))
+    return catalog.category_paths(_categories(t).unionByName(customers))
 
 
 @query("c6_neighbour_turns", "SELECT conv_id, turn, lag(text) OVER w AS before, lead(text) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -89,10 +90,12 @@ def tags_of_documents(t):
     return t.documents.select("doc_id").join(sure, F.col("doc_id") == F.col("document_id"), "left").select("doc_id", F.coalesce("categories", F.array().cast("array<int>")).alias("categories"))
 
 
-@query("c15_category_delete", "SELECT 'n' || n_nationkey AS category_id FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 'r' || r_regionkey FROM region WHERE r_regionkey <> 2")
+@query("c15_category_delete", "SELECT 'category' AS kind, 'n' || n_nationkey AS id FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 'category', 'r' || r_regionkey FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 'tag', CAST(c_custkey AS VARCHAR) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2")
 def category_delete(t):
-    tags = t.supplier.select(F.col("s_suppkey").alias("document_id"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("category_id"))
-    return catalog.delete_category(_categories(t), tags, "r2", force=True)[0].select("category_id")
+    """The categories that are left, and the tags."""
+    tags = t.customer.select(F.col("c_custkey").alias("document_id"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("category_id"))
+    categories, tags = catalog.delete_category(_categories(t), tags, "r2", force=True)
+    return categories.select(F.lit("category").alias("kind"), F.col("category_id").alias("id")).unionByName(tags.select(F.lit("tag").alias("kind"), F.col("document_id").cast("string").alias("id")))
 
 
 @query("d1_totals", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'log', count(*) FROM events")
@@ -158,13 +161,6 @@ def latency(t):
     return rows.select("metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")])
 
 
-@query("d14_ioc_ratio", "SELECT doc_id FROM documents WHERE false")
-def ioc_lists(t):
-    from ..functions.security import ioc_ratio
-
-    return t.documents.filter(ioc_ratio(F.col("text")) >= 0.8).select("doc_id")
-
-
 @query("e7_latest_per_key", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def latest(t):
     return dedup.latest(t.orders, ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")

@@ -47,6 +47,22 @@ def embedded(chunks: DataFrame, known: DataFrame | None = None, model: Callable[
     return keyed.select("chunk_id", "key").join(vectors, "key")
 
 
+def step_log(results: DataFrame, at: Column) -> DataFrame:
+    """results(path, status, decision, n_chunks) -> (document, step, status, details, created_at): a row for each step that a document took."""
+    step = lambda name, status, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(name).alias("step"), F.lit(status).alias("status")))
+    took = F.col("status")
+    steps = F.array_compact(F.array(step("discovered", "success"), step("extracted", "success", took != "failed"), step("chunked", "success", took == "success"), step("skipped", "skipped", took == "skipped"), step("failed", "failed", took == "failed")))
+    rows = results.select(F.col("path").alias("document"), F.explode(steps).alias("s"), F.to_json(F.struct("decision", "n_chunks")).alias("details"))
+    return rows.select("document", "s.*", "details", at.alias("created_at"))
+
+
+def wiki_pending(results: DataFrame, jobs: DataFrame) -> DataFrame:
+    """A pending compile job for each ingested document that has none yet."""
+    from ..operators.curation import compile_jobs
+
+    return compile_jobs(results.filter("status = 'success'").select(F.col("path").alias("document_id")), jobs)
+
+
 def ingest(files: DataFrame, stored: DataFrame, at: Column, chunk_tokens: int = chunking.CHUNK_TOKENS, resolution: str = "auto") -> tuple[DataFrame, DataFrame, DataFrame]:
     """files(path, text, file_hash, modified_at), stored(path, file_hash, updated_at) -> (results, chunks, log).
 
@@ -60,5 +76,4 @@ def ingest(files: DataFrame, stored: DataFrame, at: Column, chunk_tokens: int =
     chunks = chunking.recursive_chunks(taken, chunk_tokens)
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
     results = results.join(counts, F.col("path") == F.col("document_id"), "left").select("path", "file_hash", "decision", "status", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
-    log = results.select(F.col("path").alias("document"), F.lit("ingest").alias("action"), "status", F.to_json(F.struct("decision", "n_chunks")).alias("details"), at.alias("created_at"))
-    return results, chunks, log
+    return results, chunks, step_log(results, at)

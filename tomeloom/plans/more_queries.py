@@ -4,8 +4,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.security import iso_timestamp, metadata_problems, severity_weight
+from ..functions.security import metadata_problems, severity_weight
 from ..operators import catalog
+from ..operators.vectors import norm
 from . import ingest as job
 from .registry import query
 
@@ -15,10 +16,10 @@ def document_list(t):
     return t.documents.filter((F.col("lang") == "en") & (F.col("source") == "src0") & (F.col("n_chars") > 500)).select("doc_id")
 
 
-@query("b7_category_filter", "SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE lower(n_name) = 'france' OR trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') = 'united-states'")
+@query("b7_category_filter", "SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE lower(n_name) = 'nation_3' OR trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') = 'nation-7'")
 def category_filter(t):
     slug = text.slugify(F.col("n_name"))
-    nations = t.nation.filter((F.lower("n_name") == "france") | (slug == "united-states"))
+    nations = t.nation.filter((F.lower("n_name") == "nation_3") | (slug == "nation-7"))
     return t.customer.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey")
 
 
@@ -95,11 +96,6 @@ def union_distinct(t):
     return t.labels.select("doc_id").union(t.embeddings.select("vec_id")).distinct()
 
 
-@query("h20_iso_dates", "SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y-%m-%d') AS DATE) = CAST(o_orderdate AS DATE) AS same FROM orders")
-def iso_dates(t):
-    return t.orders.select("o_orderkey", (iso_timestamp(F.date_format("o_orderdate", "yyyy-MM-dd")).cast("date") == F.col("o_orderdate").cast("date")).alias("same"))
-
-
 @query("h31_metadata_problems", "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN ['cve_id'] ELSE [] END || CASE WHEN value > 10 THEN ['cvss_score'] ELSE [] END AS problems FROM events")
 def problems(t):
     cve = F.when(F.col("event_type").isin("view", "click"), "x").otherwise("CVE-2024-1")
@@ -113,10 +109,13 @@ def ingested(t):
     return job.ingest(files, stored, F.current_timestamp(), 250)[0]
 
 
-@query("k5_embeddings", "SELECT conv_id * 1000 + turn AS chunk_id, sha256('hashed:' || text) AS key, 64 AS size FROM conversations")
+@query("k5_embeddings", "SELECT conv_id * 1000 + turn AS chunk_id, sha256('hashed:' || text) AS key, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END AS length, CAST(row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) = 1 AS INT) AS first FROM conversations")
 def embeddings(t):
     chunks = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("text").alias("content"))
-    return job.embedded(chunks).select("chunk_id", "key", F.size("embedding").alias("size"))
+    found = job.embedded(chunks)
+    # equal texts have one vector, of unit length unless a text has no words
+    first = F.row_number().over(W.partitionBy("key", "embedding").orderBy("chunk_id")) == 1
+    return found.select("chunk_id", "key", F.round(norm(F.col("embedding")), 3).alias("length"), first.cast("int").alias("first"))
 
 
 @query("l6_watch_registry", "SELECT DISTINCT event_type AS path, 'gdrive' AS backend, 300 AS interval_seconds FROM events")

@@ -176,10 +176,14 @@ def recursive_chunks(t):
     return chunking.recursive_chunks(_as_docs(t), 250).drop("content")
 
 
-@query("i3_markdown_sections", "SELECT CAST(doc_id AS VARCHAR) AS document_id, 0 AS chunk_index, '' AS header_path, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS content FROM documents WHERE trim(text, chr(10) || chr(9) || chr(13) || ' ') <> '' AND NOT regexp_matches(text, '(?m)^#{1,3} +')")
+@query("i3_markdown_sections", """
+SELECT CAST(conv_id AS VARCHAR) AS document_id, CASE turn % 3 WHEN 0 THEN 'T' || turn WHEN 1 THEN 'T' || (turn - 1) || ' > T' || turn ELSE 'T' || (turn - 2) || ' > T' || (turn - 1) || ' > T' || turn END AS header_path,
+       role || ' ' || trim(regexp_replace(regexp_replace(text, '[#\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS content FROM conversations""")
 def markdown_sections(t):
-    plain = t.documents.filter(~F.rlike("text", F.lit(r"(?m)^#{1,3} +")))
-    return chunking.markdown_sections(plain.select(F.col("doc_id").alias("document_id"), F.col("text").alias("content")))
+    """A markdown text of each conversation: turns below headers of three levels in turn, and an empty section at its end."""
+    line = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" T"), F.col("turn"), F.lit("\n\n"), "role", F.lit(" "), F.btrim(F.regexp_replace("text", r"[#\s]+", " ")), F.lit("\n"))
+    texts = t.conversations.groupBy(F.col("conv_id").alias("document_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
+    return chunking.markdown_sections(texts.select("document_id", F.concat("content", F.lit("# Empty\n \n")).alias("content"))).drop("chunk_index")
 
 
 @query("i4_markdown_chunks")

@@ -158,10 +158,10 @@ def ingestable(t):
     return t.pages.filter(~hidden & (text.suffix(F.col("url")) == "html")).select("page_id")
 
 
-@query("b13_read_only_sql", "SELECT * FROM (SELECT n_regionkey, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY n_regionkey) LIMIT 200")
+@query("b13_read_only_sql", "SELECT * FROM (SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderpriority) LIMIT 200")
 def read_only(t):
-    t.nation.createOrReplaceTempView("nation")
-    return filters.read_only_sql(t.spark, "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+    t.orders.createOrReplaceTempView("orders")
+    return filters.read_only_sql(t.spark, "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority")
 
 
 @query("b14_unique_slugs", """

@@ -1,6 +1,6 @@
 """Security feeds as tables: NVD, STIX, ATT&CK markdown and Sigma, from columns of whole file texts.
 
-Malformed files give no rows.
+Malformed files give no rows. A document_id beside the text is kept, and so is the place of a record in its file.
 """
 
 from __future__ import annotations
@@ -31,6 +31,10 @@ def _first(values: Column) -> Column:
     return F.try_element_at(values, F.lit(1))
 
 
+def _ids(texts: DataFrame) -> list[str]:
+    return [c for c in ("document_id",) if c in texts.columns]
+
+
 def _english(texts: Column) -> Column:
     return F.coalesce(_first(F.filter(texts, lambda d: d["lang"] == "en")), _first(texts))["value"]
 
@@ -48,11 +52,14 @@ def nvd_records(texts: DataFrame) -> DataFrame:
     wrapped = F.from_json(text, f"struct<cve:{CVE}>")["cve"]
     legacy = F.when(F.rlike(text, F.lit(r'^\s*\{\s*"CVE-')), F.map_values(F.from_json(text, f"map<string,{CVE}>")))
     shapes = F.concat(F.coalesce(F.transform(bulk, lambda v: v["cve"]), F.array().cast(f"array<{CVE}>")), F.array(wrapped, single), F.coalesce(legacy, F.array().cast(f"array<{CVE}>")))
-    rows = texts.select(F.explode(shapes).alias("c")).filter(F.rlike("c.id", F.lit(CVE_ID)))
+    ids = _ids(texts)
+    rows = texts.select(*ids, F.posexplode(shapes).alias("position", "c")).filter(F.rlike("c.id", F.lit(CVE_ID)))
     pick = lambda name: F.coalesce(_first(F.filter(F.col(f"c.metrics.{name}"), lambda m: m["type"] == "Primary")), _first(F.col(f"c.metrics.{name}")))["cvssData"]
     score = F.coalesce(pick("cvssMetricV31"), pick("cvssMetricV30"), pick("cvssMetricV2"))
     cpes = F.flatten(F.transform("c.configurations", lambda x: F.flatten(F.transform(x["nodes"], lambda n: F.transform(n["cpeMatch"], lambda m: m["criteria"])))))
     two = rows.select(
+        *ids,
+        "position",
         F.col("c.id").alias("cve_id"),
         _english(F.col("c.descriptions")).alias("description"),
         score["baseScore"].alias("cvss_score"),
@@ -62,10 +69,12 @@ def nvd_records(texts: DataFrame) -> DataFrame:
         F.transform("c.references", lambda r: r["url"]).alias("references"),
         iso_timestamp(F.col("c.published")).alias("content_date"),
     )
-    five = texts.select(F.from_json(text, CVE_5).alias("r")).filter(F.rlike("r.cveMetadata.cveId", F.lit(CVE_ID)))
+    five = texts.select(*ids, F.lit(0).alias("position"), F.from_json(text, CVE_5).alias("r")).filter(F.rlike("r.cveMetadata.cveId", F.lit(CVE_ID)))
     cna = "r.containers.cna"
     score = _first(F.array_compact(F.transform(f"{cna}.metrics", lambda m: F.coalesce(m["cvssV3_1"], m["cvssV3_0"]))))
     newer = five.select(
+        *ids,
+        "position",
         F.col("r.cveMetadata.cveId").alias("cve_id"),
         _english(F.col(f"{cna}.descriptions")).alias("description"),
         score["baseScore"].alias("cvss_score"),
@@ -78,36 +87,31 @@ def nvd_records(texts: DataFrame) -> DataFrame:
     return two.unionByName(newer)
 
 
-def nvd_chunks(records: DataFrame, chunk_tokens: int = 1000) -> DataFrame:
-    """One description chunk of each record, and one of its references where the text is long."""
-    text = F.concat_ws("\n", "cve_id", "description", F.concat(F.lit("Products: "), F.nullif(F.array_join("products", ", "), F.lit(""))))
-    more = F.when(F.char_length(text) > 8 * chunk_tokens, F.array_join("references", "\n"))
-    return records.select(F.col("cve_id").alias("document_id"), F.posexplode(F.array_compact(F.array(text, more))).alias("chunk_index", "content"))
-
-
 _STIX = "struct<type:string,objects:array<struct<type:string,name:string,description:string,kill_chain_phases:array<struct<phase_name:string>>,external_references:array<struct<source_name:string,url:string,external_id:string>>,x_mitre_platforms:array<string>,x_mitre_detection:string,x_mitre_mitigations:array<string>>>>"
 
 
 def stix_sections(texts: DataFrame) -> DataFrame:
     """texts(text) of STIX bundles -> (name, technique_id, tactic, platforms, section, content) of their attack patterns."""
     bundle = F.from_json("text", _STIX)
-    rows = texts.select(F.explode(F.when(bundle["type"] == "bundle", bundle["objects"])).alias("o")).filter("o.type = 'attack-pattern'")
+    kept = _ids(texts)
+    rows = texts.select(*kept, F.posexplode(F.when(bundle["type"] == "bundle", bundle["objects"])).alias("object", "o")).filter("o.type = 'attack-pattern'")
     ids = F.filter(F.transform("o.external_references", lambda r: F.coalesce(F.when(F.rlike(r["external_id"], F.lit(TECHNIQUE_ID)), r["external_id"]), F.nullif(F.replace(F.regexp_extract(r["url"], r"/techniques/(T\d{4}(?:/\d{3})?)", 1), F.lit("/"), F.lit(".")), F.lit("")))), lambda x: x.isNotNull())
     section = lambda name, value: F.struct(F.lit(name).alias("section"), value.alias("content"))
     parts = F.array(section("description", F.col("o.description")), section("detection", F.col("o.x_mitre_detection")), section("mitigations", F.nullif(F.array_join("o.x_mitre_mitigations", "\n"), F.lit(""))))
-    rows = rows.select(F.col("o.name").alias("name"), _first(ids).alias("technique_id"), _first(F.col("o.kill_chain_phases"))["phase_name"].alias("tactic"), F.col("o.x_mitre_platforms").alias("platforms"), F.explode(parts).alias("p"))
-    return rows.select("name", "technique_id", "tactic", "platforms", "p.*").filter(F.btrim("content") != "")
+    rows = rows.select(*kept, "object", F.col("o.name").alias("name"), _first(ids).alias("technique_id"), _first(F.col("o.kill_chain_phases"))["phase_name"].alias("tactic"), F.col("o.x_mitre_platforms").alias("platforms"), F.posexplode(parts).alias("at", "p"))
+    return rows.select(*kept, (F.col("object") * 3 + F.col("at")).alias("position"), "name", "technique_id", "tactic", "platforms", "p.*").filter(F.btrim("content") != "")
 
 
 def attack_markdown(texts: DataFrame) -> DataFrame:
     """texts(text) of technique pages with front matter -> one row for the lead and for each section with text."""
     field = lambda name: F.nullif(F.btrim(F.regexp_extract("front", rf"(?m)^{name}\s*:\s*\"?([^\"\n]*)\"?\s*$", 1)), F.lit(""))
-    rows = texts.select(F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---", 1).alias("front"), F.regexp_replace("text", r"(?s)\A---\n.*?\n---[^\n]*\n?", "").alias("body")).filter("front <> ''")
-    rows = rows.select(field("name").alias("name"), field("attack_id").alias("technique_id"), field("tactic").alias("tactic"), F.split(field("platforms"), r"\s*,\s*").alias("platforms"), F.posexplode(F.split(F.concat(F.lit("\n"), "body"), r"\n## ")).alias("at", "part"))
+    ids = _ids(texts)
+    rows = texts.select(*ids, F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---", 1).alias("front"), F.regexp_replace("text", r"(?s)\A---\n.*?\n---[^\n]*\n?", "").alias("body")).filter("front <> ''")
+    rows = rows.select(*ids, field("name").alias("name"), field("attack_id").alias("technique_id"), field("tactic").alias("tactic"), F.split(field("platforms"), r"\s*,\s*").alias("platforms"), F.posexplode(F.split(F.concat(F.lit("\n"), "body"), r"\n## ")).alias("at", "part"))
     section = F.when(F.col("at") == 0, "description").otherwise(F.lower(F.btrim(F.substring_index("part", "\n", 1))))
     content = F.when(F.col("at") == 0, F.col("part")).otherwise(F.regexp_replace("part", r"\A[^\n]*\n?", ""))
-    rows = rows.select("name", "technique_id", "tactic", "platforms", "at", section.alias("section"), F.regexp_replace(content, r"\A\s+|\s+\z", "").alias("content"))
-    return rows.filter("technique_id is not null and content <> ''").drop("at")
+    rows = rows.select(*ids, F.col("at").alias("position"), "name", "technique_id", "tactic", "platforms", section.alias("section"), F.regexp_replace(content, r"\A\s+|\s+\z", "").alias("content"))
+    return rows.filter("technique_id is not null and content <> ''")
 
 
 def attack_sections(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,28 +127,30 @@ def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         rows = []
-        for text in batch["text"]:
+        for document_id, text in zip(batch["document_id"], batch["text"], strict=True):
             try:
                 found = [r for r in yaml.safe_load_all(text or "") if isinstance(r, dict) and (r.get("title") or r.get("id"))]
             except yaml.YAMLError:
                 continue
-            for r in found:
+            for i, r in enumerate(found):
                 source = r.get("logsource") if isinstance(r.get("logsource"), dict) else {}
                 detection = r.get("detection") if isinstance(r.get("detection"), dict) else {}
                 listed = lambda v: [str(x) for x in v] if isinstance(v, list) else [str(v)] if v else []
                 text_or_none = lambda v: None if v is None else str(v)
-                rows.append([text_or_none(r.get(k)) for k in ("title", "id", "status", "description", "level")] + [text_or_none(source.get(k)) for k in ("product", "service", "category")] + [text_or_none(detection.get("condition")), listed(r.get("tags")), listed(r.get("falsepositives")), listed(r.get("references"))])
-        yield pd.DataFrame(rows, columns=["title", "rule_id", "status", "description", "level", "product", "service", "category", "condition", "tags", "false_positives", "references"])
+                rows.append([document_id, i] + [text_or_none(r.get(k)) for k in ("title", "id", "status", "description", "level")] + [text_or_none(source.get(k)) for k in ("product", "service", "category")] + [text_or_none(detection.get("condition")), listed(r.get("tags")), listed(r.get("falsepositives")), listed(r.get("references"))])
+        yield pd.DataFrame(rows, columns=["document_id", "position", "title", "rule_id", "status", "description", "level", "product", "service", "category", "condition", "tags", "false_positives", "references"])
 
 
 def sigma_rules(texts: DataFrame) -> DataFrame:
     """texts(text) of Sigma files of one or more rules -> one row for each rule with a title or id; broken files give none."""
-    schema = "title string, rule_id string, status string, description string, level string, product string, service string, category string, condition string, tags array<string>, false_positives array<string>, references array<string>"
-    rows = texts.select("text").mapInPandas(_rules, schema)
-    return rows.withColumns({
+    named = "document_id" in texts.columns
+    schema = "document_id string, position int, title string, rule_id string, status string, description string, level string, product string, service string, category string, condition string, tags array<string>, false_positives array<string>, references array<string>"
+    rows = texts.select((F.col("document_id").cast("string") if named else F.lit(None).cast("string")).alias("document_id"), "text").mapInPandas(_rules, schema)
+    return rows.drop(*([] if named else ["document_id"])).withColumns({
         "severity": F.coalesce(sigma_severity(F.col("level")), F.lit("unknown")),
         "technique_ids": technique_ids(F.col("tags")),
         "tactics": tactics(F.col("tags")),
         "platforms": F.array_compact(F.array(F.lower("product"))),
+        "log_sources": F.array_compact(F.array("service", "category")),
         "summary": F.concat_ws("\n", "title", "description", F.concat(F.lit("Condition: "), "condition"), F.concat(F.lit("Tags: "), F.nullif(F.array_join("tags", ", "), F.lit("")))),
     })

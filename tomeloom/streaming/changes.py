@@ -27,9 +27,14 @@ def ingestable(change_type: Column, path: Column) -> Column:
 
 
 def routed(changes: DataFrame, watches: DataFrame) -> DataFrame:
-    """Changes with the watch(watch_id, prefix) whose folder holds their path. Watches are a registry of bounded size."""
-    at = F.startswith(F.col("path"), F.concat(F.rtrim("prefix", F.lit("/")), F.lit("/")))
-    return changes.join(F.broadcast(watches), at)
+    """Changes with the watch(watch_id, prefix) whose folder holds their path.
+
+    Joined by the folders that hold a path, so the registry may be of any size.
+    """
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    held = changes.withColumn("_folder", F.explode(folders))
+    return held.join(watches.withColumn("_prefix", F.rtrim("prefix", F.lit("/"))), F.col("_folder") == F.col("_prefix")).drop("_folder", "_prefix")
 
 
 def without_storms(changes: DataFrame, late: str = "10 minutes") -> DataFrame:
