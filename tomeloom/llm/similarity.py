@@ -39,7 +39,9 @@ HASHES = BANDS * ROWS
 STEP = 8
 TOLERANCE = 1e-9
 #: Members of a block: a task compares BLOCK x BLOCK pairs at most at a time.
-BLOCK = 1024
+BLOCK = 512
+#: Ids whose texts are read again that are broadcast at most; beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(0, 1 << 64, HASHES, np.uint64) | np.uint64(1)
@@ -242,8 +244,8 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
-        large = stored(both.filter("v > u").join(least, F.col("u") == F.col("n")).select("v", "m").filter("v <> m").select(F.col("m").alias("u"), "v").distinct())
-        down = stored(large.groupBy("v").agg(F.min("u").alias("m")))
+        large = both.filter("v > u").join(least, F.col("u") == F.col("n")).select("v", "m").filter("v <> m").select(F.col("m").alias("u"), "v").distinct()
+        down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down.withColumnRenamed("v", "x"), F.col("v") == F.col("x"))
         small = small.select(F.col("m").alias("u"), F.col("v")).union(small.filter("u <> m").select(F.least("m", "u"), F.greatest("m", "u"))).distinct()
         edges = stored(small)
@@ -301,7 +303,9 @@ def similar_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     members = groups.join(sizes, F.col("root") == F.col("key")).select("key", F.col("node").alias("rep"), "members")
     # the texts of the kinds in groups: of the ids that stand for them; other texts of these ids meet no kind
     wanted = kinds.join(groups.select(F.col("node").alias("w")), F.col("rep") == F.col("w")).select("kind", "rep", "least")
-    texts = rows.join(wanted.select(F.col("least").alias("w")).distinct(), F.col("d").eqNullSafe(F.col("w"))).select("text")
+    ids = stored(wanted.select(F.col("least").alias("w")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = rows.join(ids, F.col("d").eqNullSafe(F.col("w"))).select("text")
     sets = texts.mapInPandas(_sets, "kind binary, shingles binary").join(wanted.select(F.col("kind").alias("k"), "rep"), F.col("kind") == F.col("k"))
     sets = stored(sets.dropDuplicates(["rep"]).select("rep", "shingles").join(reps, "rep"))
     near = _dealt(_placed(members, block).join(sets, "rep"))
