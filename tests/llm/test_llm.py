@@ -230,6 +230,75 @@ def test_automaton_equals_greedy_matching():
             assert automaton.count(word) == n, (word, sorted(pieces))
 
 
+def test_token_counts_query_equals_greedy_matching(spark, sf):
+    pieces = token_counts.pieces_of(token_counts.default_path())
+    known, longest = set(pieces), max(map(len, pieces))
+    memory = {}
+
+    def greedy(word):
+        if word not in memory:
+            text, at, n = "▁" + word, 0, 0
+            while at < len(text):
+                end = next((e for e in range(min(len(text), at + longest), at, -1) if text[at:e] in known), None)
+                if end is None:
+                    n = 0
+                    break
+                n, at = n + 1, end
+            memory[word] = n
+        return memory[word]
+
+    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in token_counts.op7_token_counts(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        found = [greedy(w) for w in re.findall(SPACE_WORD, r.text or "")]
+        assert got[r.doc_id] == (len(found), sum(n or 1 for n in found), found.count(0))
+
+
+def test_token_counts_keep_clashing_columns(spark):
+    df = spark.createDataFrame([("a b", 1, "x"), (None, 2, "y"), ("", 3, None)], "text string, _counts int, n_words string")
+    got = token_counts.token_counts(df, ["▁a"]).collect()
+    assert [(r._counts, r.n_words, r.n_tokens, r.n_unknown) for r in got] == [(1, 2, 2, 1), (2, 0, 0, 0), (3, 0, 0, 0)]
+
+
+def test_very_long_texts(spark):
+    """Texts of 20,000 words and more through the operators that cut, window or score them."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    long = [rng.choice(words) for _ in range(20_000)]
+    texts = [" ".join(long), "before " + " ".join(long[5_000:9_000]) + " after", " ".join(rng.choice(words) for _ in range(25_000)), "z" * 100_000, " ".join(["same"] * 20_000)]
+    df = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(df).collect()}
+    assert got == {0: (20_000, 0), 1: (4_002, 4_000), 2: (25_000, 0), 3: (1, 0), 4: (20_000, 0)}
+    scored = {r.doc_id: r for r in lm.lm_scores(df).collect()}
+    assert [scored[i].n_tokens for i in range(5)] == [20_001, 4_003, 25_001, 2, 20_001] and all(math.isfinite(r.score) for r in scored.values())
+    assert {r.doc_id: r.class_id for r in similarity.similar(df).collect()} == {i: i for i in range(5)}
+    assert {r.doc_id: r.n_chars for r in fingerprints.fingerprint(df).collect()} == {i: len(t) for i, t in enumerate(texts)}
+
+
+def test_fingerprints_of_repeated_ids_and_hot_ranges(spark):
+    """One id and no id for a third of all rows each: ranges are split by hash, and every row still has its next one."""
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} " * (i % 5), "s") for i in range(120)]
+    got = fingerprints.with_next(spark.createDataFrame([(i, t) for i, t, _ in rows], "k long, text string"), "k", ["text"]).collect()
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest((t or "").encode(), 42))
+    ordered = sorted(((i, t) for i, t, _ in rows), key=lambda r: (r[0] is None, r[0] or 0, signed(r[1]), r[1]))
+    expected = Counter((*a, b[1]) for a, b in zip(ordered, ordered[1:] + ordered[:1], strict=True))
+    assert Counter((r.k, r.text, r.next_text) for r in got) == expected
+
+
+def test_work_folders_are_cleared(spark, tmp_path):
+    from tomeloom.llm import common
+
+    old = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    common._made.clear()
+    try:
+        substrings.remove_repeats(frame(spark, [(1, "a " * 60, "s"), (2, "a " * 60, "s")])).collect()
+        assert list(tmp_path.iterdir()) and common.clear_work(spark) > 3
+        assert not [p for p in tmp_path.iterdir() if p.is_dir()]
+    finally:
+        if old:
+            spark.conf.set("spark.checkpoint.dir", old)
+
+
 PAGE = """<html><head><title>t</title><script>x="<p>no</p>"</script></head><body><nav><ul><li>menu</li></ul></nav>
 <div class="teaser">See {same}</div><article><h1>Title &amp; more {n}</h1><p>One <b>bold</b>\n text {n}<br>end<p>Two {n}</p>
 <div class="comments"><p>reader</p></div><form><p>ask</p></form></article><aside>side</aside><footer>&copy; x</footer></body></html>"""

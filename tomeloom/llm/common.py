@@ -14,6 +14,10 @@ SPACES = r"[\x20\x09-\x0D]+"
 LETTER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_LETTERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Folders that this driver has named, and what its tables' names begin with.
+_made: list[str] = []
+TABLE_PREFIX = "tomeloom_"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -31,7 +35,24 @@ def work_dir(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="spark-work-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tomeloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tomeloom-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete what this driver's operators have written below the shared folder, and its tables; the number of folders.
+
+    For use when the results are stored elsewhere: DataFrames that the operators returned read these folders.
+    """
+    for t in spark.catalog.listTables():
+        if t.name.startswith(TABLE_PREFIX):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def stored(df: DataFrame) -> DataFrame:

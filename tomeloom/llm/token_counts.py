@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, table
+from .common import SPACE_WORD, fresh, table
 
 #: Fixed value: the mark of pieces that begin a word.
 MARK = "▁"
@@ -116,7 +116,9 @@ def token_counts(documents: DataFrame, pieces: list[str], text_col: str = "text"
     """documents with n_words, n_tokens and n_unknown (words that are one unknown token) added or replaced.
 
     Words are runs without white space, unchanged. The vocabulary's size is fixed by its file, so its
-    automaton is broadcast. Null and empty texts have no tokens; texts are read whole.
+    automaton is broadcast. Null and empty texts have no tokens; texts are read whole, of any length. Rows are
+    counted one by one: repeated rows stay repeated, equal texts count alike, and an empty table gives an empty
+    result. Other columns are kept, whatever their names.
     """
     shared = documents.sparkSession.sparkContext.broadcast(Automaton(pieces))
 
@@ -135,8 +137,9 @@ def token_counts(documents: DataFrame, pieces: list[str], text_col: str = "text"
                 rows[i] = len(found), sum(found) + unknown, unknown
             yield pd.DataFrame(rows, columns=["n_words", "n_tokens", "n_unknown"])
 
-    out = documents.withColumn("_counts", counts(F.coalesce(F.col(text_col), F.lit(""))))
-    return out.withColumns({c: F.col(f"_counts.{c}") for c in ("n_words", "n_tokens", "n_unknown")}).drop("_counts")
+    held = fresh(documents, "_counts")
+    out = documents.withColumn(held, counts(F.coalesce(F.col(text_col), F.lit(""))))
+    return out.withColumns({c: F.col(f"{held}.{c}") for c in ("n_words", "n_tokens", "n_unknown")}).drop(held)
 
 
 def op7_token_counts(spark, sf_dir):
