@@ -125,11 +125,12 @@ def attack_sections(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
 
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)  # the C parser where it is built in
     for batch in batches:
         rows = []
         for document_id, text in zip(batch["document_id"], batch["text"], strict=True):
             try:
-                found = [r for r in yaml.safe_load_all(text or "") if isinstance(r, dict) and (r.get("title") or r.get("id"))]
+                found = [r for r in yaml.load_all(text or "", Loader=loader) if isinstance(r, dict) and (r.get("title") or r.get("id"))]
             except yaml.YAMLError:
                 continue
             for i, r in enumerate(found):
