@@ -284,19 +284,25 @@ def test_fingerprints_of_repeated_ids_and_hot_ranges(spark):
     assert Counter((r.k, r.text, r.next_text) for r in got) == expected
 
 
-def test_work_folders_are_cleared(spark, tmp_path):
+def test_work_folders_are_cleared(spark, tmp_path, monkeypatch):
     from tomeloom.llm import common
 
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    common._made.clear()
-    try:
-        substrings.remove_repeats(frame(spark, [(1, "a " * 60, "s"), (2, "a " * 60, "s")])).collect()
-        assert list(tmp_path.iterdir()) and common.clear_work(spark) > 3
-        assert not [p for p in tmp_path.iterdir() if p.is_dir()]
-    finally:
-        if old:
-            spark.conf.set("spark.checkpoint.dir", old)
+    monkeypatch.setattr(common, "_base", lambda spark: str(tmp_path))
+    monkeypatch.setattr(common, "_made", [])
+    out = substrings.remove_repeats(frame(spark, [(1, "a " * 60, "s"), (2, "a " * 60, "s")]))
+    assert sorted(r.n_removed for r in out.collect()) == [0, 60] and list(tmp_path.iterdir())
+    assert common.clear_work(spark) > 3 and not [p for p in tmp_path.iterdir() if p.is_dir()]
+
+
+def test_own_work_folder_where_none_is_set(monkeypatch):
+    from tomeloom.llm import common
+
+    class Unset:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    monkeypatch.setattr(common, "_own", [])
+    assert common._base(Unset) == common._base(Unset) and "spark-work-" in common._base(Unset)
 
 
 PAGE = """<html><head><title>t</title><script>x="<p>no</p>"</script></head><body><nav><ul><li>menu</li></ul></nav>

@@ -14,9 +14,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 LETTER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_LETTERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: Folders that this driver has named, and what its tables' names begin with.
+#: Folders that this driver has named, and the one that it has made where none is set.
 _made: list[str] = []
-TABLE_PREFIX = "tomeloom_"
+_own: list[str] = []
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -26,31 +26,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all machines share.
-
-    Only where that setting is missing (local tests) a temporary folder stands in for it.
-    """
+def _base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where that is unset (local runs) a temporary folder of this driver stands in for it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-work-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tomeloom-{uuid.uuid4().hex}"
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="spark-work-"))
+        base = _own[0]
+    return base
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all machines share."""
+    path = f"{_base(spark).rstrip('/')}/tomeloom-{uuid.uuid4().hex}"
     _made.append(path)
     return path
 
 
+def table_name(path: str) -> str:
+    """Name of the table that lies in a work folder."""
+    return "tomeloom_" + path.rpartition("-")[2]
+
+
 def clear_work(spark: SparkSession) -> int:
     """Delete what this driver's operators have written below the shared folder, and its tables; the number of folders.
 
     For use when the results are stored elsewhere: DataFrames that the operators returned read these folders.
     """
-    for t in spark.catalog.listTables():
-        if t.name.startswith(TABLE_PREFIX):
-            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     gone = 0
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        name = _made.pop()
+        spark.sql(f"DROP TABLE IF EXISTS {table_name(name)}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return gone
 

@@ -92,7 +92,7 @@ def _ranges(df: DataFrame, key: str, hash_col: str, size: Column) -> Column:
     within = F.lit(0).cast("long")
     if hot:
         many = F.try_element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in hot.items() for x in pair]), F.col(key))
-        last = F.array_contains(ints(sorted(hot)), F.try_element_at(ints(bounds), number))
+        last = F.array_contains(ints(sorted(hot)), F.get(ints(bounds), number - 1))
         within = F.when(many.isNotNull(), part(many)).when(last, F.lit(inner - 1)).otherwise(0)
     return F.when(F.col(key).isNotNull(), number.cast("long") * inner + within).otherwise(nulls)
 

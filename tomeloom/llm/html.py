@@ -292,7 +292,8 @@ def removed(parsed: DataFrame, threshold: float) -> DataFrame:
     nodes = pages.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
     counts = stored(nodes.groupBy("host", "path", "value", "style").agg(F.count("*").alias("n"), F.count_if("first").alias("firsts"), F.max("kind").alias("kind")))
     own = _spread(counts, ["host", "path"])
-    everywhere = counts.groupBy(F.col("path").alias("_path")).agg(F.sum("firsts").alias("all_pages"))
+    # written first: a path that most hosts have meets its one row in a join that is split where they are many
+    everywhere = stored(counts.groupBy(F.col("path").alias("_path")).agg(F.sum("firsts").alias("all_pages")))
     rated = own.join(everywhere, F.col("path") == F.col("_path")).drop("_path")
     prior, weight = F.lit(None), F.lit(None)
     for kind, (value, size) in PRIORS.items():

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, TABLE_PREFIX, stored, table, work_dir
+from .common import SPACE_WORD, stored, table, table_name, work_dir
 from .hashing import HASHER, Rolling, mixed, signed, sliding_min
 
 WINDOW = 50
@@ -131,7 +131,7 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
     """Write df bucketed by key in the shared folder, so that later joins by key move only their other side."""
     spark = df.sparkSession
     path = work_dir(spark)
-    name = TABLE_PREFIX + path.rpartition("-")[2]
+    name = table_name(path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(name)
     return spark.table(name)
