@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER_WORD, table
+from .common import LETTER_WORD, stored, table
 from .hashing import BASE, mixed
 
 #: Characters of an n-gram at most.
@@ -193,6 +193,13 @@ def _model(counts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": counts["id"].iloc[:1], "model": [pickle.dumps(model)]})
 
 
+def _held_out(texts: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+    """Features of one part of the sample by the model of the others; 0 where these have no words."""
+    memory = Remembered(pickle.loads(models["model"].iloc[0]) if len(models) else KneserNey([], np.zeros(0), np.zeros(0)))
+    values = [memory.of_texts([words_of(t)])[0].tolist() for t in texts["text"]]
+    return pd.DataFrame({"toxic": texts["toxic"], "values": pd.Series(values, index=texts.index, dtype=object)})
+
+
 class Detector:
     """Models and logistic scale; holds no more than the sample's n-grams."""
 
@@ -227,33 +234,24 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     several rows of one id is learned from. Rows of the least hash are taken, of equal hashes the least ids. With
     one class missing every text scores that of the known class; with no labels at all, or none of a document, 0.
     """
-    spark = documents.sparkSession
     picked, sizes = _sample(labels, id_col, label_col, max_rows)
     if not all(sizes):
         return Detector(KneserNey([], np.zeros(0), np.zeros(0)), 10.0 if sizes[0] else -50.0, np.zeros(1 + len(PEAKS)))
     rows = documents.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("text", "toxic", "fold")
     counts = texts.mapInPandas(_word_counts, "w string, toxic int, fold long, n long").groupBy("w").agg(*[F.sum(F.when((F.col("toxic") == c) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{c}{f}") for c in (1, 0) for f in range(FOLDS)])
-    # the models are made in tasks, one without each part and one of all; only they reach the driver
+    # the models are made in tasks, one without each part and one of all; the parts are scored where their models are, and
+    # only the last model and the sample's features reach the driver
     without = lambda c, left_out: sum(F.col(f"n{c}{f}") for f in range(FOLDS) if f != left_out)
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("id"), without(1, i).alias("toxic"), without(0, i).alias("ordinary")) for i in range(FOLDS + 1)]))
     rows = counts.select("w", each.alias("x")).select("w", "x.*").filter("toxic + ordinary > 0")
-    made = rows.groupBy("id").applyInPandas(_model, "id long, model binary").toPandas()
-    models = dict(zip(made["id"], made["model"], strict=True))
-    if FOLDS not in models:
+    made = stored(rows.groupBy("id").applyInPandas(_model, "id long, model binary"))
+    last = made.filter(F.col("id") == FOLDS).select("model").head()
+    if last is None:
         return Detector(KneserNey([], np.zeros(0), np.zeros(0)), -50.0, np.zeros(1 + len(PEAKS)))
-    model = pickle.loads(models[FOLDS])
-    shared = spark.sparkContext.broadcast([models.get(f) or models[FOLDS] for f in range(FOLDS)])
-    del made, models
-
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memories = [Remembered(pickle.loads(m)) for m in shared.value]
-        for batch in batches:
-            values = [memories[f].of_texts([words_of(t)])[0] for t, f in zip(batch["text"], batch["fold"], strict=True)]
-            yield pd.DataFrame({"toxic": batch["toxic"], "values": [v.tolist() for v in values]})
-
-    seen = texts.mapInPandas(held, "toxic int, values array<double>").toPandas()
-    shared.destroy()
+    model = pickle.loads(last.model)
+    parts = made.filter(F.col("id") < FOLDS).withColumnRenamed("id", "fold").groupBy("fold")
+    seen = texts.groupBy("fold").cogroup(parts).applyInPandas(_held_out, "toxic int, values array<double>").toPandas()
     y, x = seen["toxic"].to_numpy(float), np.array(seen["values"].tolist(), float).reshape(len(seen), -1)
     kept = [max(1, (y == c).sum()) for c in (1, 0)]
     weight = np.where(y == 1, sizes[0] / kept[0], sizes[1] / kept[1])
