@@ -158,7 +158,8 @@ def repeated_spans(rows: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> tuple[D
     path = ["a", "n", "s"]
     seen = stored(texts.mapInPandas(_occurrences(k, m), "a long, n long, s long, d long, t long, start long"))
     paths = stored(seen.groupBy(*path).agg(F.min(F.struct("d", "t", "start")).alias("src")).select(*path, "src.*"))
-    branches = paths.groupBy("a").agg(F.count("*").alias("paths"), F.min("d").alias("lo"), F.max("d").alias("hi"))
+    # written too, for anchors of many paths
+    branches = stored(paths.groupBy("a").agg(F.count("*").alias("paths"), F.min("d").alias("lo"), F.max("d").alias("hi")))
     marked = stored(paths.join(branches, "a"))
     straight = marked.filter("paths = 1").select(*path, F.lit(0).cast("long").alias("off"), F.col("n").alias("edges"), F.col("d").alias("src_d"), F.col("t").alias("src_t"), F.col("start").alias("src_pos"))
     asked = _asking(texts, marked.filter("paths > 1"), ["start", *path])
