@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import decontamination, fingerprints, html, lm, mixing, sharding, similarity, substrings, token_counts, toxicity
+from . import decontamination, fingerprints, html, lm, mixing, periodic, phrases, quality, sharding, similarity, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_remove_repeats": substrings.op8_remove_repeats,
     "op9_fingerprint": fingerprints.op9_fingerprint,
     "op10_similar": similarity.op10_similar,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_collocations": phrases.op12_collocations,
+    "op13_quality": quality.op13_quality,
 }
-SQL = {"op3_decontaminate": decontamination.SQL, "op5_mix": mixing.SQL, "op8_remove_repeats": substrings.SQL, "op10_similar": similarity.SQL}
+SQL = {"op3_decontaminate": decontamination.SQL, "op5_mix": mixing.SQL, "op8_remove_repeats": substrings.SQL, "op10_similar": similarity.SQL, "op11_periodic_runs": periodic.SQL, "op12_collocations": phrases.SQL}
