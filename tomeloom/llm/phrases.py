@@ -9,6 +9,7 @@ words so far is a phrase, its weight the count, and parts lighter than the least
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, stored, table
@@ -114,31 +115,50 @@ def _word_bits(words: DataFrame) -> np.ndarray:
     return out
 
 
-def _suffixes(bits, hot):
-    """Per task (lang, phrase, depth, n): suffixes with the number of leading words to route by, and at depth 0 counts of hot phrases."""
+def _packed(lines: list[bytes]) -> tuple[bytes, int]:
+    raw = b"\n".join(lines)
+    return pa.compress(raw, codec="zstd", asbytes=True), len(raw)
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filters: dict[str, _Filter] = {}
-        counts: dict[str, Counter] = {}
 
-        def out() -> pd.DataFrame:
-            rows, heads = [], Counter()
-            for lang, c in counts.items():
-                beginnings = hot.value.get(lang, frozenset())
-                for suffix, n in c.items():
-                    depth, end = 2, suffix.find(b" ", suffix.find(b" ") + 1)
-                    while (head := suffix if end < 0 else suffix[:end]) in beginnings:
-                        heads[lang, head] += n
-                        if end < 0:
-                            break
-                        depth, end = depth + 1, suffix.find(b" ", end + 1)
-                    else:
-                        rows.append((lang, suffix.decode("utf-8", "surrogatepass"), depth, n))
-            rows += [(lang, head.decode("utf-8", "surrogatepass"), 0, n) for (lang, head), n in heads.items()]
-            return pd.DataFrame(rows, columns=["lang", "phrase", "depth", "n"])
+def _suffixes(bits, hot, keys):
+    """Per task rows of (key, lang, plain, plain_size, special, special_size): suffixes packed by the task that they are routed to.
 
+    plain has a suffix in each line; special has suffix, number of leading words to route by, and weight, parted by tabs,
+    where they are not 2 and 1. At depth 0 stands a count of a hot phrase.
+    """
+    schema = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("plain", pa.binary()), ("plain_size", pa.int64()), ("special", pa.binary()), ("special_size", pa.int64())])
+
+    def packed(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        to = keys.value
+        for lang, c in counts.items():
+            beginnings, tongue = hot.value.get(lang, frozenset()), zlib.crc32(lang.encode("utf-8", "surrogatepass"))
+            plain: list[list[bytes]] = [[] for _ in to]
+            special: list[list[bytes]] = [[] for _ in to]
+            heads: Counter = Counter()
+            for suffix, n in c.items():
+                depth, end = 2, suffix.find(b" ", suffix.find(b" ") + 1)
+                while (head := suffix if end < 0 else suffix[:end]) in beginnings:
+                    heads[head] += n
+                    if end < 0:
+                        break
+                    depth, end = depth + 1, suffix.find(b" ", end + 1)
+                else:
+                    at = zlib.crc32(head, tongue) % len(to)
+                    if depth == 2 and n == 1:
+                        plain[at].append(suffix)
+                    else:
+                        special[at].append(b"%b\t%d\t%d" % (suffix, depth, n))
+            for head, n in heads.items():
+                special[zlib.crc32(head, tongue) % len(to)].append(b"%b\t0\t%d" % (head, n))
+            rows = [(to[i], lang, *_packed(p), *_packed(s)) for i, (p, s) in enumerate(zip(plain, special, strict=True)) if p or s]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters: dict[str, _Filter] = {}
+        counts: dict[str, Counter] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if lang not in counts:
                     filters[lang], counts[lang] = _Filter(lang, bits.value), Counter()
                 known, c = filters[lang], counts[lang]
@@ -152,9 +172,9 @@ def _suffixes(bits, hot):
                                 c.update([b" ".join(run[i : i + DEPTH]) for i in range(len(run) - 1)])
                             run = []
                 if len(c) > HELD // 4 and sum(map(len, counts.values())) > HELD:
-                    yield out()
+                    yield from packed(counts)
                     counts = {k: Counter() for k in counts}
-        yield out()
+        yield from packed(counts)
 
     return emit
 
@@ -187,41 +207,70 @@ def three_way(codes: np.ndarray, weights: np.ndarray, depths: np.ndarray, least:
                 todo.append((at, depth + 1))
 
 
-def _sorted_block(block: pa.Table, least: int) -> pa.Table:
-    """(lang, phrase, n) of the frequent beginnings of a block of suffixes."""
-    langs, depths = block["lang"].combine_chunks().dictionary_encode(), block["depth"].to_numpy()
-    lists = pc.split_pattern(block["phrase"].combine_chunks(), " ")
-    words, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
-    sizes = np.diff(offsets)
-    codes = np.zeros((len(sizes), DEPTH + 1), np.int32)
-    codes[:, 0] = langs.indices.to_numpy() + 1
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    codes[rows, 1 + np.arange(len(rows)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = words.indices.to_numpy() + 1
-    names, tongues = words.dictionary.to_pylist(), langs.dictionary.to_pylist()
-    found = [(tongues[c[0] - 1], " ".join([names[x - 1] for x in c[1:]]), n) for c, n in three_way(codes, block["n"].to_numpy(), depths, least)] if len(sizes) else []
-    return pa.table({"lang": pa.array([x[0] for x in found], pa.string()), "phrase": pa.array([x[1] for x in found], pa.string()), "n": pa.array([x[2] for x in found], pa.int64())})
+_Block = list[tuple[str, bytes, bytes]]
+
+
+def _sorted_block(block: _Block, least: int) -> pa.RecordBatch:
+    """(lang, phrase, n) of the frequent beginnings of a block of suffixes: (lang, plain lines, special lines)."""
+    langs, texts, depths, weights, counted = [], [], [], [], []
+    for lang, plain, special in block:
+        if plain:
+            n = plain.count(b"\n") + 1
+            texts.append(plain)
+            langs.append((lang, n))
+            depths.append(np.full(n, 2, np.int64))
+            weights.append(np.ones(n, np.int64))
+        if special:
+            rows = [line.split(b"\t") for line in special.split(b"\n")]
+            counted += [(lang, r[0].decode("utf-8", "surrogatepass"), int(r[2])) for r in rows if r[1] == b"0"]
+            rows = [r for r in rows if r[1] != b"0"]
+            if rows:
+                texts.append(b"\n".join([r[0] for r in rows]))
+                langs.append((lang, len(rows)))
+                depths.append(np.array([int(r[1]) for r in rows], np.int64))
+                weights.append(np.array([int(r[2]) for r in rows], np.int64))
+    if texts:
+        tongues = sorted({lang for lang, _ in langs})
+        lists = pc.split_pattern(pc.split_pattern(pa.array([b"\n".join(texts).decode("utf-8", "surrogatepass")]), "\n").flatten(), " ")
+        words, offsets = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+        sizes = np.diff(offsets)
+        codes = np.zeros((len(sizes), DEPTH + 1), np.int32)
+        codes[:, 0] = np.repeat([tongues.index(lang) + 1 for lang, _ in langs], [n for _, n in langs])
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        codes[rows, 1 + np.arange(len(rows)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = words.indices.to_numpy() + 1
+        names = words.dictionary.to_pylist()
+        counted += [(tongues[c[0] - 1], " ".join([names[x - 1] for x in c[1:]]), n) for c, n in three_way(codes, np.concatenate(weights), np.concatenate(depths), least)]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in counted], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "n"])
 
 
 def _count_suffixes(least: int, most: int):
     """Sorts the suffixes of a task. If there are more than `most`, block by block, with parts of counts of all phrases."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, parts = [], 0, False
+        held: _Block = []
+        rows, parts = 0, False
         for batch in batches:
-            counted = pc.equal(batch["depth"], 0)
-            yield batch.filter(counted).select(["lang", "phrase", "n"])
-            if rows and rows + len(batch) > most:
-                parts = True
-                yield from _sorted_block(pa.Table.from_batches(held), 1).to_batches()
-                held, rows = [], 0
-            held.append(batch.filter(pc.invert(counted)))
-            rows += len(held[-1])
+            for lang, plain, n, special, m in zip(*(batch[c].to_pylist() for c in ("lang", "plain", "plain_size", "special", "special_size")), strict=True):
+                one = (lang, *(pa.decompress(x, size, codec="zstd", asbytes=True) if size else b"" for x, size in ((plain, n), (special, m))))
+                more = one[1].count(b"\n") + one[2].count(b"\n") + 2
+                if held and rows + more > most:
+                    parts = True
+                    yield _sorted_block(held, 1)
+                    held, rows = [], 0
+                held.append(one)
+                rows += more
         if held:
-            yield from _sorted_block(pa.Table.from_batches(held), 1 if parts else least).to_batches()
+            yield _sorted_block(held, 1 if parts else least)
 
     return count
 
 
+def _keys(spark: SparkSession, partitions: int) -> list[int]:
+    """For each partition a number that repartition(partitions, ...) sends there, so that tasks get equal shares."""
+    numbers = spark.range(20 * partitions + 1000).groupBy(F.expr(f"pmod(hash(id), {partitions})").alias("p")).agg(F.min("id").alias("id"))
+    return [r.id for r in numbers.orderBy("p").collect()]  # one for each partition
+
+
 def phrase_counts(documents: DataFrame, least: int = LEAST, block: int = BLOCK, hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(totals, counts): lang and n, all words; lang, phrase, size and n of the phrases of 1 to 5 words with n >= least. Both written.
 
@@ -242,10 +291,10 @@ def phrase_counts(documents: DataFrame, least: int = LEAST, block: int = BLOCK,
     for lang, phrase in words.where((F.col("size") > 1) & (F.col("n") > share)).select("lang", "phrase").toLocalIterator():
         hot.setdefault(lang, set()).add(phrase.encode("utf-8", "surrogatepass"))
     send = spark.sparkContext.broadcast
-    suffixes = texts.mapInPandas(_suffixes(send(_word_bits(frequent)), send(hot)), "lang string, phrase string, depth int, n long")
-    route = F.when(F.col("depth") > 0, F.expr("substring_index(phrase, ' ', depth)")).otherwise(F.col("phrase"))
-    routed = suffixes.repartition(total // ROWS + int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", route)
-    longer = routed.mapInArrow(_count_suffixes(least, block), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    partitions = total // ROWS + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    suffixes = texts.mapInArrow(_suffixes(send(_word_bits(frequent)), send(hot), send(_keys(spark, partitions))), "key long, lang string, plain binary, plain_size long, special binary, special_size long")
+    counted = suffixes.repartition(partitions, "key").mapInArrow(_count_suffixes(least, block), "lang string, phrase string, n long")
+    longer = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     counts = frequent.unionByName(longer.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "n"))
     return totals, stored(counts)
 
