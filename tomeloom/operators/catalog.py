@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import closure
+
 
 def totals(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, n) of each table; counts only, so scans read no columns."""
@@ -32,30 +34,24 @@ def tally(results: DataFrame) -> DataFrame:
 
 
 def category_paths(categories: DataFrame) -> DataFrame:
-    """categories(category_id, name, parent_id) -> (category_id, path, depth), roots first; cycles end where they close.
+    """categories(category_id, name, parent_id) -> (category_id, path, depth) of what hangs below a root. Members of cycles, what
+    hangs below them and children of unknown parents have no path.
 
-    One join for each level of the tree, which stops at the first level without rows.
+    A tree of depth d takes log2(d) + 1 joins; see operators.closure.
     """
-    level = categories.filter(F.col("parent_id").isNull()).select("category_id", F.col("name").alias("path"), F.lit(0).alias("depth"), F.array("category_id").alias("_seen"))
-    out = level
-    while True:
-        up = level.select(F.col("category_id").alias("_up"), F.col("path").alias("_path"), "depth", "_seen")
-        level = categories.join(up, F.col("parent_id") == F.col("_up")).filter(~F.array_contains("_seen", F.col("category_id")))
-        level = level.select("category_id", F.concat_ws("/", "_path", "name").alias("path"), (F.col("depth") + 1).alias("depth"), F.concat("_seen", F.array("category_id")).alias("_seen"))
-        if level.isEmpty():
-            return out.drop("_seen")
-        out = out.unionByName(level)
+    rooted = closure.depths(categories)
+    named = categories.join(rooted.select("category_id", "depth"), "category_id")
+    return closure.paths(named).select("category_id", "path", "depth")
 
 
 def subtree(categories: DataFrame, root) -> DataFrame:
-    """Ids of a category and all below it."""
-    paths = category_paths(categories)
-    top = paths.filter(F.col("category_id") == root).select(F.col("path").alias("_top"))
-    return paths.join(F.broadcast(top), (F.col("path") == F.col("_top")) | F.startswith("path", F.concat("_top", F.lit("/")))).select("category_id")
+    """Ids of a category and all below it, found by ids: names may repeat or hold slashes."""
+    return closure.below(categories, root)
 
 
 def delete_category(categories: DataFrame, tags: DataFrame, root, force: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Categories and tags without a subtree; refused if documents are tagged with its root, unless forced."""
+    """Categories and tags without a subtree; refused if documents are tagged with its root, unless forced. Tags of
+    categories below the root do not refuse: they go with it."""
     if not force and not tags.filter(F.col("category_id") == root).isEmpty():
         raise ValueError("category has tagged documents")
     gone = subtree(categories, root)

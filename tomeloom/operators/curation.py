@@ -163,12 +163,13 @@ def applied_updates(decided: DataFrame, sections: DataFrame) -> DataFrame:
 
     replace puts the last text in place; append and supersede add sections after the page's own, in the order of
     `ordinal`; a superseded section stays, marked; flag marks the conflict. Of several updates of one heading the
-    last replaces; rejected and kept ones change nothing.
+    last replaces; rejected and kept ones change nothing. Only live sections change: one superseded earlier stays.
     """
     by_heading = decided.groupBy(F.col("slug").alias("_s"), F.col("heading").alias("_h")).agg(
         F.max_by(F.when(F.col("outcome") == "replace", F.struct("content", "source", "priority")), F.when(F.col("outcome") == "replace", F.col("ordinal"))).alias("_new"), F.max(F.col("outcome") == "supersede").alias("_gone"), F.max(F.col("outcome") == "flag").alias("_flag")
     )
-    old = sections.join(by_heading, (F.col("slug") == F.col("_s")) & (F.col("heading") == F.col("_h")), "left")
+    # what has been superseded is history and stays as it is
+    old = sections.join(by_heading, (F.col("slug") == F.col("_s")) & (F.col("heading") == F.col("_h")) & ~F.col("superseded"), "left")
     pick = lambda c: F.coalesce(F.col(f"_new.{c}"), F.col(c)).alias(c)
     old = old.select("slug", "heading", pick("content"), "position", pick("source"), pick("priority"), (F.col("superseded") | F.coalesce("_gone", F.lit(False))).alias("superseded"), F.when(F.coalesce("_flag", F.lit(False)), F.lit("conflict")).otherwise(F.col("flag")).alias("flag"))
     counts = sections.groupBy(F.col("slug").alias("_s")).agg(F.max("position").alias("_last"))

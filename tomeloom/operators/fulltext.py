@@ -122,18 +122,27 @@ def search(queries: DataFrame, chunks: DataFrame, k: int | None = 20, document_i
     """
     if document_ids is not None:
         chunks = chunks.join(document_ids.select("document_id").distinct(), "document_id", "left_semi")
+    asked = asked_phrases(queries, english)
+    return scored(asked, phrase_hits(chunks, asked.select("phrase").distinct(), english), k)
+
+
+def asked_phrases(queries: DataFrame, english: bool = False) -> DataFrame:
+    """queries(query_id, query) -> (query_id, clause, n_phrases, phrase: array of words)."""
     terms = query_terms(queries)
     if english:
         terms = terms.filter(~F.col("term").isin(*sorted(STOP_WORDS))).withColumn("term", stem(F.col("term")))
     asked = terms.groupBy("query_id", "clause", "phrase").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("words")).select("query_id", "clause", F.col("words").alias("phrase")).distinct()
     needed = asked.groupBy("query_id", "clause").agg(F.count("*").alias("n_phrases")).withColumnsRenamed({"query_id": "_q", "clause": "_c"})
-    asked = asked.join(needed, (F.col("query_id") == F.col("_q")) & (F.col("clause") == F.col("_c"))).drop("_q", "_c")
-    found = phrase_hits(chunks, asked.select("phrase").distinct(), english)
+    return asked.join(needed, (F.col("query_id") == F.col("_q")) & (F.col("clause") == F.col("_c"))).drop("_q", "_c")
+
+
+def scored(asked: DataFrame, found: DataFrame, k: int | None) -> DataFrame:
+    """asked_phrases() and their hits(phrase, chunk_id, in_title, in_content) -> (query_id, chunk_id, rank_score, rank)."""
     value = TITLE_WEIGHT * F.log1p("in_title") + CONTENT_WEIGHT * F.log1p("in_content")
     found = found.select(F.col("phrase").alias("_phrase"), "chunk_id", value.alias("value"))
     hits = found.join(_few(asked), F.col("phrase") == F.col("_phrase"))
     clauses = hits.groupBy("query_id", "clause", "n_phrases", "chunk_id").agg(F.count("*").alias("n"), F.sum("value").alias("r")).filter("n = n_phrases")
     r = clauses.groupBy("query_id", "chunk_id").agg(F.sum("r").alias("r"))
-    scored = r.select("query_id", "chunk_id", F.round(F.col("r") / (F.col("r") + 1), 12).alias("rank_score"))
-    scored = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank_score"), "chunk_id")))
-    return scored if k is None else scored.filter(F.col("rank") <= k)
+    rows = r.select("query_id", "chunk_id", F.round(F.col("r") / (F.col("r") + 1), 12).alias("rank_score"))
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank_score"), "chunk_id")))
+    return rows if k is None else rows.filter(F.col("rank") <= k)

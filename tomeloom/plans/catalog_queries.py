@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import catalog, dedup
+from ..operators import catalog, closure, dedup
 from .registry import query
 
 
@@ -51,6 +51,16 @@ def neighbour_turns(t):
     return t.conversations.select("conv_id", "turn", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
 
 
+@query("c5_deep_depths", """
+WITH RECURSIVE c AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders),
+p(category_id, root_id, depth) AS (SELECT id, id, 0 FROM c WHERE parent IS NULL UNION ALL SELECT c.id, p.root_id, p.depth + 1 FROM c JOIN p ON c.parent = p.category_id)
+SELECT category_id, root_id, depth FROM p""")
+def deep_depths(t):
+    """Each customer's orders as one chain, every order below the one before."""
+    before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return closure.depths(t.orders.select(F.col("o_orderkey").alias("category_id"), before.alias("parent_id")))
+
+
 @query("c7_matched_categories", """
 WITH s AS (SELECT c_custkey AS document_id, n_name AS path, c_acctbal AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT s_suppkey + 1000000, r_name || '/' || n_name, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT document_id, 'n' || n_nationkey AS category_id, confidence FROM s JOIN nation ON n_name = split_part(path, '/', -1)""")
@@ -92,9 +102,9 @@ def tags_of_documents(t):
 
 @query("c15_category_delete", "SELECT 'category' AS kind, 'n' || n_nationkey AS id FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT 'category', 'r' || r_regionkey FROM region WHERE r_regionkey <> 2 UNION ALL SELECT 'tag', CAST(c_custkey AS VARCHAR) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2")
 def category_delete(t):
-    """The categories that are left, and the tags."""
+    """The categories that are left, and the tags. All roots have one name, and all nations one with a slash that reads as a path."""
     tags = t.customer.select(F.col("c_custkey").alias("document_id"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("category_id"))
-    categories, tags = catalog.delete_category(_categories(t), tags, "r2", force=True)
+    categories, tags = catalog.delete_category(_categories(t).withColumn("name", F.when(F.col("parent_id").isNull(), "X").otherwise("X/X")), tags, "r2", force=True)
     return categories.select(F.lit("category").alias("kind"), F.col("category_id").alias("id")).unionByName(tags.select(F.lit("tag").alias("kind"), F.col("document_id").cast("string").alias("id")))
 
 

@@ -220,13 +220,16 @@ WITH s AS (SELECT l_orderkey AS slug, l_linenumber AS position, 'h' || l_linenum
 u AS (SELECT s.*, CASE o_orderkey % 5 WHEN 0 THEN 'append' WHEN 1 THEN 'replace' WHEN 2 THEN 'supersede' WHEN 3 THEN 'flag' ELSE 'keep' END AS outcome FROM s JOIN orders ON o_orderkey = slug WHERE position = 1),
 m AS (SELECT slug, max(position) AS last FROM s GROUP BY slug)
 SELECT s.slug, s.heading, CASE WHEN outcome = 'replace' THEN 'new' ELSE CAST(s.content AS VARCHAR) END AS content, s.position, coalesce(outcome = 'supersede', false) AS superseded, CASE WHEN outcome = 'flag' THEN 'conflict' END AS flag FROM s LEFT JOIN u ON u.slug = s.slug AND u.heading = s.heading
-UNION ALL SELECT u.slug, u.heading, 'new', last + 1, false, NULL FROM u JOIN m USING (slug) WHERE outcome IN ('append', 'supersede')""")
+UNION ALL SELECT u.slug, u.heading, 'new', last + 1, false, NULL FROM u JOIN m USING (slug) WHERE outcome IN ('append', 'supersede')
+UNION ALL SELECT slug, 'h1', 'history', 0, true, NULL FROM m""")
 def applied_updates(t):
+    """Each order's lines as sections, and a section of the first one's heading that was superseded before: it never changes."""
     rows = t.lineitem.groupBy(F.col("l_orderkey").alias("slug"), F.col("l_linenumber").cast("long").alias("position")).agg(F.min("l_quantity").cast("string").alias("content"))
     sections = rows.select("slug", F.concat(F.lit("h"), "position").alias("heading"), "content", "position", F.lit("old").alias("source"), F.lit(1).alias("priority"), F.lit(False).alias("superseded"), F.lit(None).cast("string").alias("flag"))
+    history = sections.select("slug").distinct().select("slug", F.lit("h1").alias("heading"), F.lit("history").alias("content"), F.lit(0).cast("long").alias("position"), F.lit("old").alias("source"), F.lit(1).alias("priority"), F.lit(True).alias("superseded"), F.lit(None).cast("string").alias("flag"))
     outcome = F.element_at(F.array(*map(F.lit, ("append", "replace", "supersede", "flag", "keep"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     decided = sections.filter("position = 1").join(t.orders, F.col("slug") == F.col("o_orderkey")).select("slug", "heading", F.lit("new").alias("content"), outcome.alias("outcome"), F.lit("doc").alias("source"), F.lit(2).alias("priority"), F.lit(0).alias("ordinal"))
-    return curation.applied_updates(decided, sections).select("slug", "heading", "content", "position", "superseded", "flag")
+    return curation.applied_updates(decided, sections.unionByName(history)).select("slug", "heading", "content", "position", "superseded", "flag")
 
 
 @query("k15_finished_jobs", "SELECT o_orderkey AS document_id, CASE WHEN o_orderstatus <> 'P' THEN 'completed' WHEN o_custkey % 3 = 0 THEN 'pending' WHEN o_custkey % 3 = 1 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN o_orderstatus = 'P' AND o_custkey % 3 = 1 THEN 'no reply' END AS error FROM orders")
