@@ -45,6 +45,10 @@ MOST = 20_000
 ROWS = 500_000
 
 
+#: Stands between pieces and for words that are left out: a byte that no text has.
+BREAK = b" \xff "
+
+
 def _pieces(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(PREPARED).split(b"\n")
 
@@ -65,9 +69,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             if lang not in counts:
                 counts[lang], sampled[lang] = Counter(), Counter()
-            pieces, c, some = _pieces(text), counts[lang], sampled[lang]
-            for piece in pieces:
-                c.update(piece.split())
+            pieces, some = _pieces(text), sampled[lang]
+            counts[lang].update(b"\n".join(pieces).split())
             for piece in pieces[-seen % EVERY :: EVERY]:
                 ws = piece.split()
                 taken += len(ws)
@@ -92,10 +95,12 @@ class _Filter(dict):
 
     def __init__(self, lang: str, bits: np.ndarray):
         self.lang, self.bits = lang, bits
+        self[b"\xff"] = False
 
     def __missing__(self, word: bytes) -> bool:
         if len(self) >= HELD:
             self.clear()
+            self[b"\xff"] = False
         at = _bit(self.lang, word)
         found = self[word] = bool(self.bits[at >> 3] >> (at & 7) & 1)
         return found
@@ -162,15 +167,9 @@ def _suffixes(bits, hot, keys):
                 if lang not in counts:
                     filters[lang], counts[lang] = _Filter(lang, bits.value), Counter()
                 known, c = filters[lang], counts[lang]
-                for piece in _pieces(text):
-                    run = []
-                    for w in [*piece.split(), None]:
-                        if w is not None and known[w]:
-                            run.append(w)
-                        elif run:
-                            if len(run) > 1:
-                                c.update([b" ".join(run[i : i + DEPTH]) for i in range(len(run) - 1)])
-                            run = []
+                words = BREAK.join(_pieces(text)).split()
+                runs = [run.split() for run in b" ".join([w if known[w] else b"\xff" for w in words]).split(b"\xff") if b" " in run[1:-1]]
+                c.update([b" ".join(run[i : i + DEPTH]) for run in runs for i in range(len(run) - 1)])
                 if len(c) > HELD // 4 and sum(map(len, counts.values())) > HELD:
                     yield from packed(counts)
                     counts = {k: Counter() for k in counts}
@@ -191,7 +190,7 @@ def three_way(codes: np.ndarray, weights: np.ndarray, depths: np.ndarray, least:
         if weights[at].sum() < least:
             continue
         column = codes[at, depth]
-        pivot = np.median(column[[0, len(at) // 2, -1]]).astype(column.dtype)
+        pivot = sorted((int(column[0]), int(column[len(at) // 2]), int(column[-1])))[1]
         equal = column == pivot
         if len(at) > (same := int(equal.sum())):
             less = column < pivot
