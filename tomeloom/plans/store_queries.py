@@ -10,6 +10,7 @@ from ..operators.tables import Table
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..sources import pages
+from ..streaming import changes, tokens
 from ..work import new_folder
 from .registry import query
 from .retrieval_queries import _TEXT_HITS, _docs, _text_queries, _top, _vector_queries, _vectors
@@ -106,3 +107,23 @@ def claimed_jobs(t):
     jobs.claim(queue, "c", late)
     jobs.claim(queue, "b", late)
     return queue.read().select("document_id", "status", "worker")
+
+
+@query("l4_polled_changes", """
+SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'deleted' ELSE 'modified' END AS change_type, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars END AS size_bytes FROM documents WHERE doc_id >= 0""")
+def polled_changes(t):
+    """Pages of changes that name their successor, polled by tokens in two runs: the second begins where the first ended."""
+    folder, size = new_folder(t.spark), 250
+    name, gone = F.concat(F.lit("f"), F.col("doc_id")), F.col("doc_id") % 7 == 0
+    file = F.when(~gone, F.struct(name.alias("name"), F.col("n_chars").cast("string").alias("size")))
+    rows = t.documents.filter("doc_id >= 0").select(F.expr(f"doc_id DIV {size}").alias("token"), F.struct(name.alias("fileId"), gone.alias("removed"), file.alias("file")).alias("c"))
+    last = (rows.agg(F.max("token")).first()[0] or 0) + 1
+    held = t.spark.range(last).withColumnRenamed("id", "token").join(rows.groupBy("token").agg(F.collect_list("c").alias("changes")), "token", "left")
+    ends = F.col("token") == last // 2
+    answers = held.select("token", F.to_json(F.struct("changes", F.when(ends, F.col("token") + 1).alias("newStartPageToken"), F.when(~ends, F.col("token") + 1).alias("nextPageToken"))).alias("text"))
+    answers.repartition("token").write.partitionBy("token").text(f"{folder}/feed")
+    for _ in range(2):
+        pages_of = tokens.polled(t.spark, tokens.landed_feed(f"{folder}/feed"), f"{folder}/checkpoint/pages")
+        rows = changes.cloud_changes(pages_of).select("path", "change_type", "size_bytes")
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("path string, change_type string, size_bytes long").parquet(f"{folder}/out")
