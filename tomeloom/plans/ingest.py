@@ -63,15 +63,21 @@ def wiki_pending(results: DataFrame, jobs: DataFrame) -> DataFrame:
     return compile_jobs(results.filter("status = 'success'").select(F.col("path").alias("document_id")), jobs)
 
 
+def judged(files: DataFrame, stored: DataFrame, resolution: str = "auto") -> DataFrame:
+    """files with `decision` and `status`: empty texts and conflicts fail, contents seen earlier in the batch or stored unchanged
+    are skipped, the rest succeeds."""
+    blank = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) == ""
+    decided = dedup.decide(dedup.first_of_hash(files), stored, resolution)
+    return decided.withColumn("status", F.when(blank, "failed").when(F.col("seen_before") | (F.col("decision") == "skip"), "skipped").when(F.col("decision") == "conflict", "failed").otherwise("success"))
+
+
 def ingest(files: DataFrame, stored: DataFrame, at: Column, chunk_tokens: int = chunking.CHUNK_TOKENS, resolution: str = "auto") -> tuple[DataFrame, DataFrame, DataFrame]:
     """files(path, text, file_hash, modified_at), stored(path, file_hash, updated_at) -> (results, chunks, log).
 
     Empty texts fail, contents seen earlier in the batch or stored unchanged are skipped, the rest is new or
     an update and is cut. Failures are rows, not errors.
     """
-    decided = dedup.decide(dedup.first_of_hash(files), stored, resolution)
-    status = F.when(F.btrim(F.regexp_replace("text", r"\s+", " ")) == "", "failed").when(F.col("seen_before") | (F.col("decision") == "skip"), "skipped").when(F.col("decision") == "conflict", "failed").otherwise("success")
-    results = decided.withColumn("status", status)
+    results = judged(files, stored, resolution)
     taken = results.filter("status = 'success'").select(F.col("path").alias("document_id"), F.col("text").alias("content"))
     chunks = chunking.recursive_chunks(taken, chunk_tokens)
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))

@@ -12,6 +12,7 @@ from ..operators.vector_index import VectorIndex
 from ..sources import pages
 from ..streaming import changes, tokens
 from ..work import new_folder
+from .library import Library
 from .registry import query
 from .retrieval_queries import _TEXT_HITS, _docs, _text_queries, _top, _vector_queries, _vectors
 
@@ -127,3 +128,56 @@ def polled_changes(t):
         rows = changes.cloud_changes(pages_of).select("path", "change_type", "size_bytes")
         rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema("path string, change_type string, size_bytes long").parquet(f"{folder}/out")
+
+
+_LIBRARY = r"""
+f1 AS (SELECT concat_ws('/', source, doc_id) AS path, doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 2 = 0),
+f2 AS (SELECT concat_ws('/', source, doc_id) AS path, doc_id, CASE WHEN doc_id % 4 = 0 THEN coalesce(text, '') || ' changed' ELSE coalesce(text, '') END AS text FROM documents),
+j1 AS (SELECT *, sha256(text) AS hash, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 'failed' WHEN path > min(path) OVER (PARTITION BY text) THEN 'skipped' ELSE 'success' END AS status FROM f1),
+t1 AS (SELECT path, hash FROM j1 WHERE status = 'success'),
+j2 AS (SELECT f2.*, sha256(text) AS hash, t1.path IS NOT NULL AS known, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 'failed' WHEN f2.path > min(f2.path) OVER (PARTITION BY text) OR coalesce(t1.hash = sha256(text), false) THEN 'skipped' ELSE 'success' END AS status FROM f2 LEFT JOIN t1 ON f2.path = t1.path),
+t2 AS (SELECT path, hash, CASE WHEN known THEN 2 ELSE 1 END AS version FROM j2 WHERE status = 'success'),
+live AS (SELECT path, hash, version, 'second' AS batch FROM t2 UNION ALL SELECT path, hash, 1, 'first' FROM t1 WHERE path NOT IN (SELECT path FROM t2)),
+gone AS (SELECT concat_ws('/', source, doc_id) AS path FROM documents WHERE doc_id % 10 = 3)"""
+
+
+def _library(t) -> Library:
+    """Every second document, then all of them, some changed, then a tenth taken out; each batch comes twice."""
+    library = Library(t.spark, new_folder(t.spark))
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    path, content = F.concat_ws("/", "source", F.col("doc_id").cast("string")), F.coalesce("text", F.lit(""))
+
+    def files(rows, content, hours):
+        rows = rows.select(path.alias("path"), content.alias("text"), F.lit(at + dt.timedelta(hours=hours)).alias("modified_at"))
+        return rows.withColumn("file_hash", F.sha2("text", 256))
+
+    def tagger(documents):
+        return documents.filter(F.char_length("text") > 500).select("path", F.lit("long").alias("category_id"), F.lit(1.0).alias("confidence"), F.lit("length").alias("tagged_by"))
+
+    changed = F.when(F.col("doc_id") % 4 == 0, F.concat(content, F.lit(" changed"))).otherwise(content)
+    for _ in range(2):
+        library.ingest("first", files(t.documents.filter("doc_id % 2 = 0"), content, 0), F.lit(at), tagger)
+    for _ in range(2):
+        library.ingest("second", files(t.documents, changed, 1), F.lit(at))
+    for _ in range(2):
+        library.delete("third", t.documents.filter("doc_id % 10 = 3").select(path.alias("path")), F.lit(at))
+    return library
+
+
+@query("k4_library", f"WITH {_LIBRARY} SELECT path, hash AS file_hash, version, batch, true AS whole FROM live WHERE path NOT IN (SELECT path FROM gone)")
+def library_documents(t):
+    """The documents of a library; `whole`: as many live chunks as counted, each with a vector."""
+    library = _library(t)
+    chunks = library.read("chunks").join(library.read("vectors").select("path", "chunk_id"), ["path", "chunk_id"])
+    found = chunks.groupBy("path").agg(F.count("*").alias("found"))
+    rows = library.read("documents").join(found, "path", "left")
+    return rows.select("path", "file_hash", "version", "batch", F.coalesce((F.col("found") == F.col("n_chunks")) & (F.col("found") > 0), F.lit(False)).alias("whole"))
+
+
+@query("k9_library_steps", f"""
+WITH {_LIBRARY}, j AS (SELECT 'first' AS batch, path, status, length(text) > 500 AS tagged FROM j1 UNION ALL SELECT 'second', path, status, false FROM j2)
+SELECT batch, s.step, s.status, count(*) AS n FROM j, (VALUES ('discovered', 'success', 'sxf'), ('extracted', 'success', 'sx'), ('chunked', 'success', 's'), ('embedded', 'success', 's'), ('tagged', 'success', 't'), ('skipped', 'skipped', 'x'), ('failed', 'failed', 'f')) s(step, status, w)
+WHERE contains(s.w, CASE j.status WHEN 'success' THEN 's' WHEN 'skipped' THEN 'x' ELSE 'f' END) OR (s.w = 't' AND j.status = 'success' AND j.tagged) GROUP BY ALL
+UNION ALL SELECT 'third', 'deleted', 'success', count(*) FROM live WHERE path IN (SELECT path FROM gone) HAVING count(*) > 0""")
+def library_steps(t):
+    return _library(t).read("steps").groupBy("batch", "step", "status").agg(F.count("*").alias("n"))
