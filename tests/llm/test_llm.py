@@ -379,6 +379,28 @@ def test_html_broken_and_very_long_pages():
     assert text("<article>" + "word " * 200_000)[0].count("word") == 200_000
 
 
+def test_html_evidence_outvotes_names(spark):
+    """A block named as a sidebar whose texts are new on every page stays; one of few wordings goes; readers' words always go."""
+    page = "<body><div class=sidebar>Story {n} of {r}</div><div class=comments>Reader {n} says {r}</div><aside>Pick {few}</aside><footer>By {host}, {few}</footer></body>"
+    rng = random.Random(4)
+    pages = []
+    for i in range(240):
+        host = f"www.h{i % 3}.example"
+        pages.append((i, f"https://{host}/{i}", page.format(n=i, r=rng.random(), few=rng.randint(0, 9), host=host)))
+    by = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(re.fullmatch(rf"Story {i} of [0-9.e-]+", text) for i, text in by.items()), by[0]
+
+
+def test_html_containers_of_content():
+    text = lambda h: [b[2] for b in html.Page(h).blocks if b[1] != html.NAMED]
+    assert text("<form action=x><h1>Title</h1><p>Body</p><input value=v><label>l</label></form>") == ["Title", "Body"]
+    assert text("<p>Body</p><form><p>ask</p></form>") == ["Body"]
+    assert text("<form><article><p>Body</p></article><p>ask</p></form>") == ["Body"]
+    assert text("<article><header><h1>Title</h1></header><p>Body</p><footer>end</footer></article><header>top</header>") == ["Title", "Body"]
+    assert html.Page("<article><header><h1>Title</h1></header></article>").blocks[0][1] == html.HEADING
+    assert html.masked("(c) www.a.b and a.b", "www.a.b") == html.masked("(c) c.d and c.d", "c.d")
+
+
 def test_html_copies_count_once(spark):
     page = "<body><div class=menu2>Always</div><div class=text>Story {n}</div></body>"
     pages = [(i, f"https://h.example/{i}", page.format(n=max(0, i - 180))) for i in range(200)]

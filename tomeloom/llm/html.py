@@ -3,14 +3,16 @@
 The different pages of a host are merged into one tree: an element node is the path of tags and classes that
 leads to it, a style node one of the child sequences seen there. A node's content importance is one less the
 mean entropy of its texts over the pages, so 1 if every page words it anew and 0 if all agree; where a node has
-children too, the entropy of its styles is mixed in. A text that many of the pages share counts by its own entropy,
-and so does its spread over the pages of all hosts outside articles, which speaks for hosts of few pages. What is of
-low importance goes.
-
-HTML's own names are a prior with the weight of PRIORS pages: against no evidence they decide alone. What
-they mark as no content (menus, footers, forms and so on) may be worded anew on every page, where entropy
-would keep it, so that prior outweighs any entropy; so does that of an article's headings, which many pages may
-share. Other text of an article starts as important.
+children too, the entropy of its styles is mixed in. Outside articles the texts that a host shows at a node are
+weighed a second time by how they spread over the pages of all hosts, whose own names are masked: adverts that vary
+within a host come from one pool, and that pool's entropy is low. Such a node goes if either the trees together or
+that of all hosts find it of low importance. A text that many of the pages share is weighed by its own entropies.
+
+HTML's own names are a prior with the weight of PRIORS pages: against no evidence they decide alone, against much
+they lose, both ways: a block named as a menu whose texts are new on every page stays, a nameless one of a few
+wordings goes. The prior of an article's headings, which many pages may share, outweighs any entropy. Two things
+are no matter of importance and are never read: what no browser shows as text (scripts, drawings, controls, hidden
+elements), and what readers write, which is new on every page and can only be known by its name.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ DECAY = 0.9
 MOST_PAGES = 64
 #: Kinds of a block by its names, and the importance and weight, in pages, of each as a prior.
 NAMED, OTHER, PLAIN, HEADING = range(4)
-PRIORS = {NAMED: (0.0, 64), OTHER: (1.0, 1e-3), PLAIN: (1.0, 32), HEADING: (1.0, 400)}
+PRIORS = {NAMED: (0.0, 24), OTHER: (1.0, 1e-3), PLAIN: (1.0, 32), HEADING: (1.0, 400)}
 #: Removed nodes and texts of all hosts that are broadcast at most; beyond it the join shuffles.
 BROADCAST_PATHS = 100_000
 
@@ -46,12 +48,14 @@ BLOCKS = frozenset(
 )
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote table thead tbody tfoot tr td th figure figcaption b i em strong a span br code sub sup small u q cite".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NO_CONTENT = frozenset("head nav header footer aside form menu dialog script style noscript template iframe object embed svg math canvas audio video button select option textarea input label title".split())
+NO_CONTENT = frozenset("nav header footer aside form menu dialog".split())
+NO_TEXT = frozenset("head script style noscript template iframe object embed svg math canvas audio video button select option textarea input label title".split())
 #: Words that as a class, id or role name what is no content, and words that may stand beside them.
 NO_CONTENT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead cookie cookies consent notice alert popup modal "
     "comment comments replies reply respond disqus share sharing social related recommended recommendations newsletter subscribe subscription login signup search pagination pager toolbar widget widgets complementary contentinfo dialog".split()
 )
+READERS = frozenset("comment comments replies reply respond disqus".split())
 NAME_PARTS = frozenset("a b c box block bar bars list lists item items slot section area unit container wrapper wrap inner outer content main site page top bottom left right center link links button buttons form posts panel group row col primary secondary global local fixed sticky new thread js".split())
 #: Start tags that end an open element of these kinds.
 CLOSES = {
@@ -159,27 +163,36 @@ def _names(attributes: str) -> tuple[str, bool]:
     return " ".join(found[k] for k in ("class", "id", "role") if found.get(k)), hidden
 
 
-def names_no_content(label: str) -> bool:
-    """Whether a class, id or role says so: all its parts are known, and one of them names what is no content."""
+def names_no_content(label: str, words: frozenset[str] = NO_CONTENT_NAMES) -> bool:
+    """Whether a class, id or role says so: all its parts are known, and one of them is among the words, which name what is no content."""
     for name in label.split():
         parts = [p.lower() for p in _parts.findall(name)]
-        if any(p in NO_CONTENT_NAMES for p in parts) and all(p in NO_CONTENT_NAMES or p in NAME_PARTS or p.isdigit() for p in parts):
+        if any(p in words for p in parts) and all(p in NO_CONTENT_NAMES or p in NAME_PARTS or p.isdigit() for p in parts):
             return True
     return False
 
 
+#: Why an element's text is no content: a form holds it, a name says so, or it is never read.
+FORM, CALLED, UNREAD = 1, 2, 3
+
+
 def _hash(*parts) -> int:
     return xxhash.xxh64_intdigest("\0".join(map(str, parts))) - (1 << 63)
 
 
 class Page:
-    """Blocks (path, kind, text) of a page in page order, and the style of each node: the sequence of its children."""
+    """Blocks (path, kind, text) of a page in page order, and the style of each node: the sequence of its children.
+
+    A form is no content unless nothing else is: then it stands around the whole page. An article or main element is
+    content wherever it stands.
+    """
 
     def __init__(self, html: str, names: bool = True):
         self.blocks: list[tuple[int, int, str]] = []
         self.styles: dict[int, list[int]] = {}
-        # name, path, whether it is no content, whether in an article, whether plain text of one
-        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        # name, path, why it is no content, whether in an article, whether plain text of one
+        stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+        forms = []
         # open elements by name: those that bound others, and the rest since the last bound
         bounds, inner, held = {}, [{}], []
 
@@ -187,8 +200,10 @@ class Page:
             if held:
                 text = _spaces.sub(" ", unescape("".join(held)).replace("\xa0", " ")).strip()
                 held.clear()
-                if text:
-                    name, path, noise, article, plain = stack[-1]
+                name, path, noise, article, plain = stack[-1]
+                if text and noise < UNREAD:
+                    if noise == FORM:
+                        forms.append(len(self.blocks))
                     kind = NAMED if noise else OTHER if not (article and plain) else HEADING if name in HEADINGS else PLAIN
                     self.blocks.append((path, kind if names else OTHER, text))
 
@@ -208,7 +223,7 @@ class Page:
             if kind == "open" and name == "br":
                 held.append(" ")
                 continue
-            if name not in BLOCKS and name not in NO_CONTENT:
+            if name not in BLOCKS and name not in NO_CONTENT and name not in NO_TEXT:
                 continue  # inline tags neither part texts nor make branches
             block()
             if kind == "close":
@@ -227,28 +242,47 @@ class Page:
             label, hidden = _names(attributes)
             _, up, noise, article, plain = stack[-1]
             inside = name in ("article", "main")
-            noise = noise or hidden or name in NO_CONTENT or bool(label and not inside and names_no_content(label))
+            if hidden or name in NO_TEXT or names and label and names_no_content(label, READERS):
+                noise = UNREAD
+            elif noise < UNREAD:
+                if inside:
+                    noise = 0
+                elif name in NO_CONTENT - {"form"} and not (article and name == "header") or label and names_no_content(label):
+                    noise = CALLED
+                elif name == "form":
+                    noise = max(noise, FORM)
             path = _hash(up, name, _digits.sub("0", label))
             below = self.styles.setdefault(up, [])
             if not below or below[-1] != path:
                 below.append(path)
-            stack.append((name, path, noise, article or inside, inside or plain and name in TEXT_BLOCKS and not label))
+            stack.append((name, path, noise, article or inside, inside or plain and (name in TEXT_BLOCKS or name == "header") and not label))
             if name in SCOPES:
                 bounds[name] = bounds.get(name, 0) + 1
                 inner.append({})
             else:
                 inner[-1][name] = inner[-1].get(name, 0) + 1
         block()
+        if all(kind == NAMED for _, kind, _ in self.blocks):
+            for i in forms:
+                path, _, text = self.blocks[i]
+                self.blocks[i] = (path, OTHER, text)
+
+
+def masked(text: str, host: str) -> str:
+    """The text with its host's name as a mark, so that what hosts word alike is equal."""
+    for name in (host, host.removeprefix("www.")):
+        text = text.replace(name, "\0") if name else text
+    return text
 
 
 def _parsed(names: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The blocks of each page, and its nodes' texts and styles as hashes. Named blocks keep no text: they never stay."""
+        """The blocks of each page, and its nodes' texts and styles as hashes."""
         for batch in batches:
             rows = []
-            for html in batch["html"]:
+            for html, host in zip(batch["html"], batch["host"], strict=True):
                 page = Page(html, names)
-                leaves = [_hash(path, text) for path, _, text in page.blocks]
+                leaves = [_hash(path, masked(text, host)) for path, _, text in page.blocks]
                 kinds: dict[int, int] = {}
                 for path, kind, _ in page.blocks:
                     kinds[path] = max(kinds.get(path, NAMED), kind)
@@ -258,21 +292,21 @@ def _parsed(names: bool):
                         own.append((path, leaf, False, path not in seen, kinds[path]))
                         seen |= {leaf, path}
                 own += [(path, _hash(*page.styles[path]), True, False, kind) for path, kind in kinds.items() if path in page.styles]
-                rows.append((_hash(*leaves), [b[0] for b in page.blocks], [b[1] for b in page.blocks], leaves, ["" if b[1] == NAMED else b[2] for b in page.blocks], own))
+                rows.append((_hash(*leaves), [b[0] for b in page.blocks], leaves, [b[2] for b in page.blocks], own))
             out = batch[["page_id", "url", "host"]].copy()
-            for i, name in enumerate(("page", "paths", "kinds", "leaves", "texts")):
+            for i, name in enumerate(("page", "paths", "leaves", "texts")):
                 out[name] = [r[i] for r in rows]
-            out["nodes"] = [[dict(zip(("path", "value", "style", "first", "kind"), x, strict=True)) for x in r[5]] for r in rows]
+            out["nodes"] = [[dict(zip(("path", "value", "style", "first", "kind"), x, strict=True)) for x in r[4]] for r in rows]
             yield out
 
     return run
 
 
-PARSED = "page_id long, url string, host string, page long, paths array<long>, kinds array<int>, leaves array<long>, texts array<string>, nodes array<struct<path:long,value:long,style:boolean,first:boolean,kind:int>>"
+PARSED = "page_id long, url string, host string, page long, paths array<long>, leaves array<long>, texts array<string>, nodes array<struct<path:long,value:long,style:boolean,first:boolean,kind:int>>"
 
 
 def _spread(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """counts(*keys, value, style, n, firsts, kind) -> (*keys, pages, kind, tree): what the tree says of each node."""
+    """counts(*keys, value, style, n, firsts, kind) -> (*keys, pages, kind, texts, tree): what the tree says of each node."""
     n, styles = F.col("n"), F.col("style")
     sums = counts.groupBy(*keys).agg(
         F.sum("firsts").alias("pages"), F.max("kind").alias("kind"), *[F.sum(F.when(styles == s, x)).alias(f"{name}{int(s)}") for s in (False, True) for name, x in (("n", n), ("log", n * F.log(n)))], F.count_if(styles).alias("styles")
@@ -282,7 +316,7 @@ def _spread(counts: DataFrame, keys: list[str]) -> DataFrame:
     leaf = F.least(F.lit(1.0), 1 - F.col("log0") / F.col("n0") / log)
     style = F.least(F.lit(1.0), 1 - F.coalesce(F.col("log1") / F.col("n1"), F.lit(0.0)) / log)
     keep = F.pow(F.lit(DECAY), F.greatest(F.col("styles") - 1, F.lit(0)))
-    return sums.select(*keys, "pages", "kind", (keep * leaf + (1 - keep) * style).alias("tree"))
+    return sums.select(*keys, "pages", "kind", F.col("n0").alias("texts"), (keep * leaf + (1 - keep) * style).alias("tree"))
 
 
 def removed(parsed: DataFrame, threshold: float) -> DataFrame:
@@ -300,16 +334,23 @@ def removed(parsed: DataFrame, threshold: float) -> DataFrame:
         prior, weight = F.when(F.col("kind") == kind, F.lit(value)).otherwise(prior), F.when(F.col("kind") == kind, F.lit(float(size))).otherwise(weight)
     evidence = lambda pages: F.least(F.col(pages) - 1, F.lit(MOST_PAGES)).cast("double")
     # what articles of several hosts say alike, quoted or copied, is theirs
-    here, all_ = evidence("pages"), F.when(F.col("kind").isin(PLAIN, HEADING), F.lit(0.0)).otherwise(evidence("all_pages"))
-    importance = lambda tree, all_tree: (here * tree + all_ * all_tree + weight * prior) / (here + all_ + weight)
-    # a node falls whole if it does whatever its texts are on other hosts
-    rated = stored(rated.withColumn("low", importance(F.col("tree"), F.lit(1.0)) < threshold))
-    # of the others, texts that several pages have may fall, each by its own entropies
-    alike = counts.filter("not style").groupBy(F.col("path").alias("_path"), F.col("value").alias("_value")).agg(F.sum("n").alias("all_n")).filter("all_n > 1")
-    texts = counts.filter("not style").drop("kind").join(alike, (F.col("path") == F.col("_path")) & (F.col("value") == F.col("_value"))).join(rated.filter("not low"), ["host", "path"])
+    own_word = F.col("kind").isin(PLAIN, HEADING)
+    here, all_ = evidence("pages"), F.when(own_word, F.lit(0.0)).otherwise(evidence("all_pages"))
+    together = lambda tree, all_tree: (here * tree + all_ * all_tree + weight * prior) / (here + all_ + weight)
     spread = lambda n, pages: F.greatest(F.lit(0.0), 1 - F.log(n) / F.log(F.greatest(F.col(pages), F.lit(2))))
+    # texts that several pages have: their spread over all hosts, that of the others being 1
+    alike = counts.filter("not style").groupBy(F.col("path").alias("_path"), F.col("value").alias("_value")).agg(F.sum("n").alias("all_n")).filter("all_n > 1")
+    shared = stored(counts.filter("not style").join(alike, (F.col("path") == F.col("_path")) & (F.col("value") == F.col("_value"))).select("host", "path", "value", "n", "all_n"))
+    logs = shared.groupBy("host", "path").agg(F.sum(F.col("n") * F.log("all_n")).alias("logs"))
+    mean_log = F.coalesce(F.col("logs"), F.lit(0.0)) / F.col("texts")
+    all_tree = F.greatest(F.lit(0.0), 1 - mean_log / F.log(F.greatest(F.col("all_pages"), F.lit(2))))
+    alone = F.when(own_word, F.lit(1.0)).otherwise((all_ * all_tree + weight * prior) / (all_ + weight))
+    rated = rated.join(logs, ["host", "path"], "left")
+    rated = stored(rated.withColumn("low", F.least(together(F.col("tree"), all_tree), alone) < threshold))
+    # of the nodes that stay, single texts may fall
+    texts = shared.join(rated.filter("not low"), ["host", "path"])
     share = F.col("n") / F.col("pages")
-    low = importance((1 - share) * F.col("tree") + share * spread("n", "pages"), spread("all_n", "all_pages")) < threshold
+    low = together((1 - share) * F.col("tree") + share * spread("n", "pages"), spread("all_n", "all_pages")) < threshold
     gone = rated.filter("low").select("host", F.col("path").alias("x")).unionByName(texts.filter(low).select("host", F.col("value").alias("x")))
     return gone.groupBy("host").agg(F.sort_array(F.collect_set("x")).alias("gone"))
 
@@ -324,7 +365,7 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD, names: bool = True
 
     Null html is empty and gives an empty text; pages with a null url or none share the empty host. White
     space in a block becomes one space, blocks are joined by one newline in page order. Broken markup
-    is read as far as it goes, in time linear in its length. Repeated rows give repeated rows and count
+    is read as far as it goes, in time linear in its length; a form around a whole page is no bar to its text. Repeated rows give repeated rows and count
     once; of equal importance nothing is chosen. An empty table gives an empty result.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
@@ -333,10 +374,10 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD, names: bool = True
     # templates are few: their nodes are broadcast if a count says so
     if gone.agg(F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()[0] <= BROADCAST_PATHS:
         gone = F.broadcast(gone)
-    found = F.arrays_zip(F.col("paths").alias("path"), F.col("kinds").alias("kind"), F.col("leaves").alias("leaf"), F.col("texts").alias("text"))
+    found = F.arrays_zip(F.col("paths").alias("path"), F.col("leaves").alias("leaf"), F.col("texts").alias("text"))
     kept = parsed.join(gone, F.col("host") == F.col("_host"), "left").withColumn("found", found)
     falls = lambda x: F.array_contains("gone", x["path"]) | F.array_contains("gone", x["leaf"])
-    stays = lambda x: (x["kind"] != NAMED) & ~F.coalesce(falls(x), F.lit(False))
+    stays = lambda x: ~F.coalesce(falls(x), F.lit(False))
     text = F.array_join(F.transform(F.filter("found", stays), lambda x: x["text"]), "\n")
     return kept.select("page_id", "url", text.alias("text"))
 
