@@ -626,6 +626,21 @@ def test_nulls_ties_and_repeated_rows(spark):
     assert sharding.shard(df)[1].count() == 7
 
 
+def test_many_rows_without_an_id(spark):
+    """They are told apart by their texts: each loses what an id's row says too, none what only its like say, and the mix draws each for itself."""
+    shared = [" ".join(f"s{g}x{i}" for i in range(70)) for g in range(3)]
+    rows = [(1, shared[0], "a")] + [(None, " ".join([f"n{j}"] * 5) + " " + shared[j % 3], "a") for j in range(60)]
+    df = frame(spark, rows)
+    got = sorted((r.doc_id or -1, r.n_removed, r.kept.split()[0]) for r in substrings.remove_repeats(df).collect())
+    assert got == sorted([(1, 0, "s0x0")] + [(-1, 70 if j % 3 == 0 else 0, f"n{j}") for j in range(60)])
+    anchors = [r for r in df.select(F.coalesce("doc_id", F.lit(substrings.LAST)).alias("d"), "text").withColumn("t", F.xxhash64("text")).mapInPandas(substrings._anchors(50, 16), "a long, d long, t long").collect()]
+    assert len({(r.d, r.t) for r in anchors}) == 61
+    nulls = frame(spark, [(None, f"w{j} " * 4, "a") for j in range(400)] + [(7, "w " * 4000, "b")])
+    drawn = [r.taken for r in mixing.mix(nulls, weights=(1.0, 6.0), share=1.0).collect() if r.doc_id is None]
+    target = mixing.mix(nulls, weights=(1.0, 6.0), share=1.0).filter("doc_id is null").first().target
+    assert 0 < sum(drawn) < 1600 and abs(sum(drawn) - target) <= 4 and set(drawn) == {0, 4}
+
+
 CLASHING = "doc_id long, text string, lang string, source string, n_chars long, toxicity string, _turn string, _repeats string, _key_a string, hit string, class_id string, a string, key string"
 
 

@@ -45,11 +45,11 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     Sources in code point order, null last, get `weights` in turn. A source's target over its size is
     its epochs: every document is taken the whole number of times, and the fraction is a seeded draw
     of documents whose sizes come as near to the rest as one document allows. Null texts have size 0;
-    a null source is a source; null or repeated ids are drawn like others; equal rows are told apart
-    by nothing, so any of them may be the one drawn. An empty table gives an empty result.
+    a null source is a source; null or repeated ids are drawn by their texts, so they spread over all slots; equal rows are
+    told apart by nothing, so any of them may be the one drawn. An empty table gives an empty result.
     """
     size = count_space_words(F.col(text_col))
-    order_hash = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+    order_hash = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
     rows = stored(documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), order_hash.alias("_h"), F.struct(F.lit(0).alias("none"), *carry).alias("_carried")))
     slot = F.substring("_h", 1, SLOT_DIGITS)
     slots = stored(rows.groupBy("source", slot.alias("_slot")).agg(F.sum("size").alias("_slot_size")))
@@ -84,7 +84,7 @@ def op5_mix(spark, sf_dir):
 SQL = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{SPACE_WORD}')), 0) AS BIGINT) AS size,
-         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight FROM s),

@@ -53,13 +53,14 @@ def _frame(columns: dict[str, list[np.ndarray]]) -> pd.DataFrame:
 def _anchors(k: int, m: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = {"a": [], "d": []}
-            for d, text in zip(batch["d"], batch["text"], strict=True):
+            out = {"a": [], "d": [], "t": []}
+            for d, t, text in zip(batch["d"], batch["t"], batch["text"], strict=True):
                 words = split_words(text)
                 if len(words) >= k:
                     anchors = np.unique(_Segments(words, k, m).anchor)
                     out["a"].append(anchors)
                     out["d"].append(np.full(len(anchors), d, np.int64))
+                    out["t"].append(np.full(len(anchors), t, np.int64))
             if out["a"]:
                 yield _frame(out)
 
@@ -127,13 +128,13 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["d", "t", "n_removed", "kept"])
 
 
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Write df bucketed by key in the shared folder, so that later joins by key move only their other side."""
+def _bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """Write df bucketed by the keys in the shared folder, so that later joins by them move only their other side."""
     spark = df.sparkSession
     path = work_dir(spark)
     name = table_name(path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(name)
+    df.write.bucketBy(parts, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
@@ -150,10 +151,11 @@ def repeated_spans(rows: DataFrame, k: int = WINDOW, m: int = ANCHOR) -> tuple[D
     least such row; coordinates are word positions. Every span has been compared with its source.
     """
     m = min(m, k)
-    anchors = stored(rows.select("d", "text").mapInPandas(_anchors(k, m), "a long, d long"))
+    # a row is told by id and text, so that the many rows without an id don't meet
+    anchors = stored(rows.select("d", "t", "text").mapInPandas(_anchors(k, m), "a long, d long, t long"))
     repeated = anchors.groupBy("a").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo < hi").select("a")
-    lists = anchors.join(repeated, "a").groupBy("d").agg(F.collect_set("a").alias("anchors")).withColumnRenamed("d", "_d")
-    texts = _bucketed(rows.join(lists, F.col("d") == F.col("_d")).select("d", "t", "text", "anchors"), "d")
+    lists = anchors.join(repeated, "a").groupBy("d", "t").agg(F.collect_set("a").alias("anchors")).withColumnsRenamed({"d": "_d", "t": "_t"})
+    texts = _bucketed(rows.join(lists, (F.col("d") == F.col("_d")) & (F.col("t") == F.col("_t"))).select("d", "t", "text", "anchors"), "d", "t")
 
     path = ["a", "n", "s"]
     seen = stored(texts.mapInPandas(_occurrences(k, m), "a long, n long, s long, d long, t long, start long"))
