@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import bpe
+
 CHUNK_TOKENS, CHARS_PER_TOKEN = 1000, 4
 # Separators from coarse to fine, for prose and for some languages' code.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -25,11 +27,12 @@ CHUNK_SCHEMA = "chunk_id string, document_id string, chunk_index int, content st
 HEADER = r"^(#{1,3}) +(.*)$"
 
 
-def recursive_split(text: str, limit: int, separators=SEPARATORS, overlap: int = 0) -> list[str]:
+def recursive_split(text: str, limit: int, separators=SEPARATORS, overlap: int = 0, measure: Callable[[str], int] = len) -> list[str]:
     """Pieces of at most `limit` characters whose concatenation is the text (with no overlap).
 
     Parts cut after the coarsest separator are packed greedily; a part too long by itself is cut by the
     next one. With an overlap each piece also repeats whole trailing parts of the one before, up to so many characters.
+    Another measure than characters may be given; then `limit` and `overlap` are in its units.
     """
     out: list[str] = []
     held: list[str] = []
@@ -43,30 +46,32 @@ def recursive_split(text: str, limit: int, separators=SEPARATORS, overlap: int =
         if overlap:
             room = overlap
             for part in reversed(held):
-                if len(part) > room:
+                if measure(part) > room:
                     break
                 back.insert(0, part)
-                room -= len(part)
-        held, size = back, sum(map(len, back))
+                room -= measure(part)
+        held, size = back, sum(map(measure, back))
 
     todo = [(text, 0)]
     while todo:
         part, level = todo.pop()
-        if len(part) <= limit:
-            if size + len(part) > limit and size:
+        length = measure(part)
+        if length <= limit:
+            if size + length > limit and size:
                 flush()
-                if size + len(part) > limit:
+                if size + length > limit:
                     held, size = [], 0
             if part:
                 held.append(part)
-                size += len(part)
+                size += length
             continue
         mark = separators[level] if level < len(separators) else ""
         if mark:
             cuts = part.split(mark)
             parts = [x + mark for x in cuts[:-1]] + [cuts[-1]]
         else:
-            parts = [part[i : i + limit] for i in range(0, len(part), limit)]
+            step = limit if len(part) > limit else (len(part) + 1) // 2
+            parts = [part[i : i + step] for i in range(0, len(part), step)]
         todo.extend((x, level + 1) for x in reversed(parts) if x)
     if size:
         out.append("".join(held))
@@ -97,6 +102,41 @@ def recursive_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, overlap_
     return _cut(docs, lambda t: recursive_split(t, limit, separators, overlap), "recursive")
 
 
+def token_split(text: str, limit: int, count: Callable[[str], int], separators=SEPARATORS) -> list[str]:
+    """Pieces of at most `limit` tokens whose concatenation is the text.
+
+    Cut as recursive_split does, in tokens; a part that no separator cuts, and the rare piece that has more tokens than
+    its parts together, is halved. A single character stays whole whatever it takes.
+    """
+    out: list[str] = []
+    todo = list(reversed(recursive_split(text, limit, separators[:-1], measure=lambda part: count(part) if len(part) > 1 else 1)))
+    while todo:
+        piece = todo.pop()
+        if len(piece) < 2 or count(piece) <= limit:
+            out.append(piece)
+        else:
+            half = len(piece) // 2
+            todo += [piece[half:], piece[:half]]
+    return out
+
+
+def token_chunks(docs: DataFrame, vocabulary: str, chunk_tokens: int = CHUNK_TOKENS, language: str | None = None) -> DataFrame:
+    """docs(document_id, content) -> linked chunks of at most chunk_tokens tokens of a byte-pair vocabulary, whose number is token_count."""
+    counter = bpe.vocabulary(docs.sparkSession, vocabulary)
+    separators = CODE_SEPARATORS.get(language, SEPARATORS) if language else SEPARATORS
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = counter()
+        at = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
+        for batch in batches:
+            rows = [row for d, text in zip(batch["document_id"], batch["content"], strict=True) for row in _links(d, [p for p in token_split(text or "", chunk_tokens, count, separators) if p.strip()], "token")]
+            chunks = pd.DataFrame(rows, columns=at)
+            chunks["token_count"] = chunks["content"].map(count).astype("int32")
+            yield chunks
+
+    return docs.select(F.col("document_id").cast("string"), "content").mapInPandas(run, CHUNK_SCHEMA)
+
+
 def markdown_sections(docs: DataFrame) -> DataFrame:
     """docs(document_id, content) -> (document_id, chunk_index, header_path, content): one row for each section with text."""
     rows = docs.select(F.col("document_id").cast("string").alias("document_id"), F.posexplode(_sections(F.col("content"))).alias("chunk_index", "s"))

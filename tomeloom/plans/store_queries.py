@@ -5,7 +5,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import jobs, vectors
+from ..functions import bpe
+from ..operators import chunking, jobs, vectors
 from ..operators.tables import Table
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
@@ -181,3 +182,21 @@ WHERE contains(s.w, CASE j.status WHEN 'success' THEN 's' WHEN 'skipped' THEN 'x
 UNION ALL SELECT 'third', 'deleted', 'success', count(*) FROM live WHERE path IN (SELECT path FROM gone) HAVING count(*) > 0""")
 def library_steps(t):
     return _library(t).read("steps").groupBy("batch", "step", "status").agg(F.count("*").alias("n"))
+
+
+#: A public byte-level vocabulary, one token and its rank on a line.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("h9_byte_pair_counts")
+def byte_pair_counts(t):
+    """Tokens of every document; beside it what a quarter of its characters would say."""
+    count = bpe.vocabulary(t.spark, VOCABULARY)
+    return t.documents.select("doc_id", bpe.token_count(F.col("text"), count).alias("n_tokens"), F.floor(F.char_length(F.coalesce("text", F.lit(""))) / 4).alias("n_estimated"))
+
+
+@query("i1_token_chunks")
+def token_chunks(t):
+    """Chunks of at most 250 tokens of every document."""
+    docs = t.documents.select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
+    return chunking.token_chunks(docs, VOCABULARY, 250).drop("content")
