@@ -357,3 +357,15 @@ def test_security_chunks_reference_piece(spark):
     rows = security_chunks(docs, 10).orderBy("chunk_index").collect()
     assert [(r.chunk_type, r.cve_id, r.chunk_index) for r in rows] == [("cve_description", "CVE-2024-1", 0), ("cve_references", "CVE-2024-1", 1), ("cve_description", "CVE-2024-2", 2), ("cve_references", "CVE-2024-2", 3)]
     assert rows[1].content == "CVE: CVE-2024-1\nReferences: u1\nu2" and rows[0].next_chunk_id == rows[1].chunk_id
+
+
+def test_latencies_are_exact_ranks(spark):
+    """More distinct durations than any sketch keeps, a null metric, null durations."""
+    n = 200_001
+    log = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.lit("a")).alias("metric"), F.when(F.col("id") % 5 > 0, F.pmod(F.col("id") * 7_919, F.lit(n)) / 7).alias("ms"))
+    got = {r.metric: r for r in catalog.latencies(log, "metric", "ms").collect()}
+    for metric in ("a", None):
+        ids = [i for i in range(n) if (i % 3 > 0) == (metric == "a")]
+        ms = sorted(i * 7_919 % n / 7 for i in ids if i % 5)
+        want = [ms[-(-len(ms) * p // 100) - 1] for p in (50, 95, 99)]
+        assert [got[metric].n, got[metric].p50, got[metric].p95, got[metric].p99] == [len(ids), *want]

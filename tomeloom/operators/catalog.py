@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..work import stored
 from . import closure
 
 
@@ -144,6 +146,18 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
 
 
 def latencies(log: DataFrame, by: str, duration: str) -> DataFrame:
-    """Count, mean and nearest-rank p50, p95, p99 of durations by metric."""
-    at = lambda p: F.percentile_approx(duration, p, 10_000)
-    return log.groupBy(by).agg(F.count("*").alias("n"), F.avg(duration).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """Count, mean and exact nearest-rank p50, p95, p99 of durations by metric. Durations that are null count in n only.
+
+    Equal durations are one row each, ranked where ranges of them lie, so a metric of any number of durations spreads.
+    """
+    counts = log.filter(F.col(duration).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(duration).alias("_value")).agg(F.count("*").alias("c"))
+    ranged = stored(counts.repartitionByRange("_by", "_value").withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_by", "_part").agg(F.sum("c").alias("c"))
+    metric = W.partitionBy("_by")
+    parts = parts.select(F.col("_by").alias("_b"), F.col("_part").alias("_p"), (F.sum("c").over(metric.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("c")).alias("before"), F.sum("c").over(metric).alias("total"))
+    upto = F.col("before") + F.sum("c").over(W.partitionBy("_by", "_part").orderBy("_value").rowsBetween(W.unboundedPreceding, 0))
+    ranks = ranged.join(parts, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_part") == F.col("_p"))).withColumn("upto", upto)
+    at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("_value")))
+    found = ranks.groupBy("_by").agg(at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99"))
+    means = log.groupBy(by).agg(F.count("*").alias("n"), F.avg(duration).alias("mean"))
+    return means.join(found, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "n", "mean", "p50", "p95", "p99")
