@@ -246,3 +246,27 @@ def test_english_index_equals_english_search(spark):
     index = text_index.TextIndex.create(spark, new_folder(spark), english=True)
     index.add(chunks)
     assert hits(index.search(asked, 5)) == hits(fulltext.search(asked, chunks, 5, english=True)) != []
+
+
+def test_postings_are_found_in_lots(monkeypatch):
+    """A batch of chunks is cut by its words, so that a task's memory does not grow with it; places are those of each chunk."""
+    import pyarrow as pa
+
+    from tomeloom.operators import text_index
+
+    monkeypatch.setattr(text_index, "LOT", 40)
+    titles = [["t"] * (i % 3) for i in range(50)]
+    contents = [[f"w{(i * j) % 5}" for j in range(i % 11)] for i in range(50)] + [["long"] * 100]
+    titles.append([])
+    of = lambda lists: pa.array(lists, pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(51)), of(titles), of(contents)], ["chunk_id", "title", "content"])
+    made = [b.to_pylist() for b in text_index._places(iter([batch, batch.slice(0, 0)]))]
+    for rows in made:
+        assert sum(len(r["at_title"]) + len(r["at_content"]) for r in rows) <= 40 + 12 or {r["chunk_id"] for r in rows} == {50} or len(rows) == 0
+    want = {}
+    for c, fields in enumerate(zip(titles, contents)):
+        for f, ws in enumerate(fields):
+            for at, w in enumerate(ws):
+                want.setdefault((c, w), ([], []))[f].append(at)
+    got = [((r["chunk_id"], r["term"]), (r["at_title"], r["at_content"])) for rows in made for r in rows]
+    assert len(got) == len(want) and dict(got) == want and len(made) > 5

@@ -9,7 +9,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,41 +25,60 @@ BUCKETS = 32
 BLOCK, STEPS = 1024, 8
 #: So many terms at most are named in the scan's filter; more are joined only.
 NAMED_TERMS = 1000
+#: Words of the chunks whose places are found together: bounds a task's memory besides its longest chunk.
+LOT = 262_144
 
 
 def _value(in_title, in_content) -> Column:
     return fulltext.TITLE_WEIGHT * F.log1p(in_title) + fulltext.CONTENT_WEIGHT * F.log1p(in_content)
 
 
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time: LOT words, or one chunk."""
+    for batch in batches:
+        size = sum(pc.fill_null(pc.list_value_length(batch.column(x)), 0).to_numpy() for x in ("title", "content"))
+        lot = (np.cumsum(size) - size) // LOT
+        ends = [*np.flatnonzero(np.diff(lot, append=-1)) + 1]
+        for begin, end in zip([0, *ends], ends):
+            yield batch.slice(begin, end - begin)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk_id, title, content) with lists of terms -> (chunk_id, term, at_title, at_content)."""
+    for batch in _lots(batches):
+        sizes = [pc.list_value_length(batch.column(x)).to_numpy() for x in ("title", "content")]
+        row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes])
+        at = np.concatenate([np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for n in sizes]).astype(np.int32)
+        in_title = np.arange(len(row)) < sizes[0].sum()
+        terms = pa.concat_arrays([batch.column(x).flatten() for x in ("title", "content")]).dictionary_encode()
+        key = row * max(len(terms.dictionary), 1) + terms.indices.to_numpy()
+        order = np.argsort(key, kind="stable")  # of a term in a chunk the title's places come first, then the content's, each in order
+        begins = np.flatnonzero(np.diff(key[order], prepend=-1))
+        posting = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(order)))
+        lists = []
+        for mine in (in_title[order], ~in_title[order]):
+            ends = np.cumsum(np.bincount(posting[mine], minlength=len(begins)))
+            lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(at[order][mine])))
+        head = order[begins]
+        yield pa.RecordBatch.from_arrays([batch.column("chunk_id").take(pa.array(row[head])), terms.dictionary.take(terms.indices.take(pa.array(head))), *lists], ["chunk_id", "term", "at_title", "at_content"])
+
+
 def _postings(chunks: DataFrame, english: bool) -> DataFrame:
     """(chunk_id, term, at_title, at_content): places of each term of each chunk, found where the chunk is read."""
     terms = fulltext.english_terms if english else fulltext.words
     title = terms(F.col("title")) if "title" in chunks.columns else F.array().cast("array<string>")
-
-    @F.pandas_udf("array<struct<term:string,at_title:array<int>,at_content:array<int>>>")
-    def places(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for titles, contents in batches:
-            out = []
-            for fields in zip(titles, contents, strict=True):
-                found: dict[str, tuple[list[int], list[int]]] = {}
-                for i, ws in enumerate(fields):
-                    for at, w in enumerate(ws):
-                        found.setdefault(w, ([], []))[i].append(at)
-                out.append([{"term": w, "at_title": a, "at_content": b} for w, (a, b) in found.items()])
-            yield pd.Series(out, dtype="object")
-
-    return chunks.select("chunk_id", F.explode(places(title, terms(F.col("content")))).alias("p")).select("chunk_id", "p.*")
+    split = chunks.select("chunk_id", title.alias("title"), terms(F.col("content")).alias("content"))
+    return split.mapInArrow(_places, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, term string, at_title array<int>, at_content array<int>")
 
 
 def _blocks(postings: DataFrame) -> DataFrame:
-    """Postings of a term of about one value in blocks of BLOCK; a frequent term is many blocks, dealt by chunk."""
+    """Postings of a term of about one value in blocks of BLOCK; a frequent term is many blocks. Postings are shuffled once, by bucket."""
     rows = postings.withColumn("value", _value(F.size("at_title"), F.size("at_content"))).withColumn("step", F.floor(F.col("value") * STEPS).cast("int"))
-    counts = rows.groupBy(F.col("term").alias("_t"), F.col("step").alias("_s")).agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK)
-    rows = rows.join(counts, (F.col("term") == F.col("_t")) & (F.col("step") == F.col("_s")), "left")
-    salt = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.coalesce("_n", F.lit(1)) / BLOCK)).cast("int")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).repartition(4 * BUCKETS, "bucket")
+    number = F.row_number().over(W.partitionBy("bucket", "term", "step").orderBy("chunk_id"))
     posting = F.struct("chunk_id", "at_title", "at_content")
-    made = rows.withColumn("salt", salt).groupBy("term", "step", "salt").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.min("value").alias("least"), F.collect_list(posting).alias("postings"))
-    return made.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", F.concat_ws("-", "step", "salt").alias("block"), "n", "most", "least", "postings")
+    made = rows.withColumn("salt", F.floor((number - 1) / BLOCK)).groupBy("bucket", "term", "step", "salt").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.min("value").alias("least"), F.collect_list(posting).alias("postings"))
+    return made.select("bucket", "term", F.concat_ws("-", "step", "salt").alias("block"), "n", "most", "least", "postings")
 
 
 class TextIndex:
@@ -85,7 +106,7 @@ class TextIndex:
 
     def _write(self, blocks: DataFrame) -> str:
         at = f"segments/{uuid.uuid4().hex}"
-        blocks.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{at}")
+        blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{at}")
         return at
 
     def add(self, chunks: DataFrame) -> None:
