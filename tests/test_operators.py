@@ -369,3 +369,15 @@ def test_latencies_are_exact_ranks(spark):
         ms = sorted(i * 7_919 % n / 7 for i in ids if i % 5)
         want = [ms[-(-len(ms) * p // 100) - 1] for p in (50, 95, 99)]
         assert [got[metric].n, got[metric].p50, got[metric].p95, got[metric].p99] == [len(ids), *want]
+
+
+def test_a_word_asked_alone_joins_its_best_chunks_only(spark):
+    """Many questions for a word of every chunk: what is joined is k rows of each, and ties, phrases and sums stay right."""
+    chunks = spark.range(500).select(F.col("id").alias("chunk_id"), F.expr("concat(repeat('common ', 1 + int(id % 4)), if(id % 50 = 0, 'rare word', 'x'))").alias("content"))
+    queries = spark.range(300).select(F.col("id").alias("query_id"), F.expr("case when id = 298 then 'rare OR common' when id = 299 then '\"rare word\"' when id % 2 = 0 then 'Common' else 'common AND common' end").alias("query"))
+    whole = {(r.query_id, r.chunk_id, r.rank_score, r["rank"]) for r in fulltext.search(queries, chunks, None).filter("rank <= 3").collect()}
+    best = fulltext.search(queries, chunks, 3)
+    assert {tuple(r) for r in best.select("query_id", "chunk_id", "rank_score", "rank").collect()} == whole and len(whole) == 900
+    # the question's number does not stand beside all 500 chunks: the plan ranks by phrase
+    alone = fulltext.search(queries.filter("query_id < 298"), chunks, 3)
+    assert "query_id" not in next(x for x in alone._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in x)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..work import stored
+
 #: Weights of a title's and a content's terms.
 TITLE_WEIGHT, CONTENT_WEIGHT = 1.0, 0.4
 #: Distinct query terms that are broadcast at most.
@@ -122,7 +124,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int | None = 20, document_i
     """
     if document_ids is not None:
         chunks = chunks.join(document_ids.select("document_id").distinct(), "document_id", "left_semi")
-    asked = asked_phrases(queries, english)
+    asked = stored(asked_phrases(queries, english))
     return scored(asked, phrase_hits(chunks, asked.select("phrase").distinct(), english), k)
 
 
@@ -137,12 +139,37 @@ def asked_phrases(queries: DataFrame, english: bool = False) -> DataFrame:
 
 
 def scored(asked: DataFrame, found: DataFrame, k: int | None) -> DataFrame:
-    """asked_phrases() and their hits(phrase, chunk_id, in_title, in_content) -> (query_id, chunk_id, rank_score, rank)."""
+    """asked_phrases() and their hits(phrase, chunk_id, in_title, in_content) -> (query_id, chunk_id, rank_score, rank).
+
+    With k, the best of a phrase are found once for all questions that ask for it alone, so that only k hits of each of
+    these are joined, however many questions and chunks have the phrase.
+    """
     value = TITLE_WEIGHT * F.log1p("in_title") + CONTENT_WEIGHT * F.log1p("in_content")
     found = found.select(F.col("phrase").alias("_phrase"), "chunk_id", value.alias("value"))
+    if k is None:
+        return _summed(asked, found)
+    sizes = asked.groupBy(F.col("query_id").alias("_q")).agg(F.count("*").alias("_n"))
+    sized = asked.join(sizes, F.col("query_id") == F.col("_q"))
+    alone, others = sized.filter("_n = 1").select(asked.columns), sized.filter("_n > 1").select(asked.columns)
+    ways = []
+    if not alone.isEmpty():
+        wanted = _few(alone.select(F.col("phrase").alias("_p")).distinct())
+        hits = found.join(wanted, F.col("_phrase") == F.col("_p"), "left_semi").select("_phrase", "chunk_id", _score(F.col("value")).alias("rank_score"))
+        hits = hits.withColumn("rank", F.row_number().over(W.partitionBy("_phrase").orderBy(F.desc("rank_score"), "chunk_id"))).filter(F.col("rank") <= k)
+        ways.append(hits.join(_few(alone.select("query_id", "phrase")), F.col("phrase") == F.col("_phrase")).select("query_id", "chunk_id", "rank_score", "rank"))
+    if not ways or not others.isEmpty():
+        ways.append(_summed(others, found).filter(F.col("rank") <= k))
+    return ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+
+
+def _score(r: Column) -> Column:
+    return F.round(r / (r + 1), 12)
+
+
+def _summed(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """All hits of the questions, ranked; the phrases of an alternative must all be there."""
     hits = found.join(_few(asked), F.col("phrase") == F.col("_phrase"))
     clauses = hits.groupBy("query_id", "clause", "n_phrases", "chunk_id").agg(F.count("*").alias("n"), F.sum("value").alias("r")).filter("n = n_phrases")
     r = clauses.groupBy("query_id", "chunk_id").agg(F.sum("r").alias("r"))
-    rows = r.select("query_id", "chunk_id", F.round(F.col("r") / (F.col("r") + 1), 12).alias("rank_score"))
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank_score"), "chunk_id")))
-    return rows if k is None else rows.filter(F.col("rank") <= k)
+    rows = r.select("query_id", "chunk_id", _score(F.col("r")).alias("rank_score"))
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rank_score"), "chunk_id")))
