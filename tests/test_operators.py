@@ -381,3 +381,14 @@ def test_a_word_asked_alone_joins_its_best_chunks_only(spark):
     # the question's number does not stand beside all 500 chunks: the plan ranks by phrase
     alone = fulltext.search(queries.filter("query_id < 298"), chunks, 3)
     assert "query_id" not in next(x for x in alone._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in x)
+
+
+def test_small_files_of_long_work_are_spread(spark):
+    """One small file is read by one task; what parses its texts is dealt to all cores."""
+    rule = "title: a\nid: b\nlevel: high\ndetection:\n  condition: sel\n"
+    texts = spark.range(400).coalesce(1).select(F.col("id").cast("string").alias("document_id"), F.lit(rule).alias("text"))
+    rules = feeds.sigma_rules(texts)
+    seeds = catalog.category_seeds(texts.select(F.lit("categories:\n  - name: Top\n").alias("text")))
+    records = feeds.nvd_records(texts.select(F.lit('{"id": "CVE-2024-1000"}').alias("text")))
+    for df in (rules, seeds, records):
+        assert df.count() == 400 and df.select(F.spark_partition_id().alias("p")).distinct().count() >= 8

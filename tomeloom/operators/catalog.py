@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..work import stored
+from ..work import spread, stored
 from . import closure
 
 
@@ -89,7 +89,7 @@ def category_seeds(texts: DataFrame) -> DataFrame:
     the name, broken files and nodes without a name give none."""
     from ..functions.text import slugify
 
-    rows = texts.select("text").mapInPandas(_seeds, "name string, slug string, description string, color string, up string, up_name string")
+    rows = spread(texts.select("text")).mapInPandas(_seeds, "name string, slug string, description string, color string, up string, up_name string")
     own = lambda slug, name: F.coalesce(F.nullif(slug, F.lit("")), slugify(name))
     return rows.select(own(F.col("slug"), F.col("name")).alias("slug"), "name", "description", "color", own(F.col("up"), F.col("up_name")).alias("parent_slug"))
 

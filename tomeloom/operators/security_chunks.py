@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.security import cvss_severity, source_type
 from ..sources import feeds
+from ..work import spread
 from .chunking import CHARS_PER_TOKEN, CHUNK_TOKENS, linked, recursive_chunks
 
 COLUMNS = ["chunk_id", "document_id", "chunk_index", "content", "token_count", "prev_chunk_id", "next_chunk_id", "chunk_type", "source_type", "cve_id", "technique_id", "severity"]
@@ -50,7 +51,7 @@ def security_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFr
     known kind are cut like any other text. Blank texts give none; files that do not parse give none.
     """
     path = F.col("path") if "path" in docs.columns else None
-    typed = docs.filter(F.btrim(F.regexp_replace("content", r"\s+", " ")) != "").select(F.col("document_id").cast("string").alias("document_id"), "content", source_type(F.col("content"), path).alias("source_type"))
+    typed = spread(docs).filter(F.btrim(F.regexp_replace("content", r"\s+", " ")) != "").select(F.col("document_id").cast("string").alias("document_id"), "content", source_type(F.col("content"), path).alias("source_type"))
     of = lambda kind: typed.filter(F.col("source_type") == kind).select("document_id", F.col("content").alias("text"))
     pieces = sigma_chunks(of("sigma_rule")).unionByName(nvd_chunks(of("nvd_cve"), chunk_tokens)).unionByName(attack_chunks(of("mitre_attack")))
     about = ["source_type", "cve_id", "technique_id", "severity"]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.security import CVE_ID, TECHNIQUE_ID, cvss_severity, iso_timestamp, sigma_severity, tactics, technique_ids, vendor_product
+from ..work import spread
 
 _METRIC = "array<struct<type:string,cvssData:struct<baseScore:double,baseSeverity:string>>>"
 _TEXTS = "array<struct<lang:string,value:string>>"
@@ -46,7 +47,7 @@ def _severity(given: Column, score: Column) -> Column:
 
 def nvd_records(texts: DataFrame) -> DataFrame:
     """texts(text) of CVE files, one record, wrapped or in bulk, of version 2.0 or 5.1 -> one row for each record."""
-    text = F.col("text")
+    texts, text = spread(texts), F.col("text")
     bulk = F.from_json(text, f"struct<vulnerabilities:array<struct<cve:{CVE}>>>")["vulnerabilities"]
     single = F.from_json(text, CVE)
     wrapped = F.from_json(text, f"struct<cve:{CVE}>")["cve"]
@@ -146,7 +147,8 @@ def sigma_rules(texts: DataFrame) -> DataFrame:
     """texts(text) of Sigma files of one or more rules -> one row for each rule with a title or id; broken files give none."""
     named = "document_id" in texts.columns
     schema = "document_id string, position int, title string, rule_id string, status string, description string, level string, product string, service string, category string, condition string, tags array<string>, false_positives array<string>, references array<string>"
-    rows = texts.select((F.col("document_id").cast("string") if named else F.lit(None).cast("string")).alias("document_id"), "text").mapInPandas(_rules, schema)
+    read = texts.select((F.col("document_id").cast("string") if named else F.lit(None).cast("string")).alias("document_id"), "text")
+    rows = spread(read).mapInPandas(_rules, schema)
     return rows.drop(*([] if named else ["document_id"])).withColumns({
         "severity": F.coalesce(sigma_severity(F.col("level")), F.lit("unknown")),
         "technique_ids": technique_ids(F.col("tags")),

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tasks that spread() makes for each core.
+TASKS_PER_CORE = 4
+
 _local: list[str] = []
 
 
@@ -33,6 +36,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores, some tasks each: a table of small files is read by few tasks, too few for long work on each row."""
+    return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of the JVM, for what DataFrames cannot do: renames, listings, small files."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
