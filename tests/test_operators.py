@@ -392,3 +392,15 @@ def test_small_files_of_long_work_are_spread(spark):
     records = feeds.nvd_records(texts.select(F.lit('{"id": "CVE-2024-1000"}').alias("text")))
     for df in (rules, seeds, records):
         assert df.count() == 400 and df.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+
+
+def test_texts_are_cut_in_lots(monkeypatch):
+    """A batch of many texts is not cut all at once, and no text is lost or cut between lots."""
+    import pandas as pd
+
+    monkeypatch.setattr(chunking, "LOT", 100)
+    texts = ["x" * (i % 60) for i in range(200)] + [None, "y" * 500, ""]
+    batch = pd.DataFrame({"document_id": range(203), "content": texts})
+    lots = list(chunking._lots(iter([batch, batch.iloc[:0]])))
+    assert [t for lot in lots for t in lot["content"]] == texts and len(lots) > 20
+    assert all(sum(len(t or "") for t in lot["content"][:-1]) < 100 for lot in lots)

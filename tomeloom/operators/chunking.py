@@ -24,6 +24,8 @@ CODE_SEPARATORS = {
     "rust": ("\nfn ", "\nstruct ", "\n\n", "\n", " ", ""),
 }
 CHUNK_SCHEMA = "chunk_id string, document_id string, chunk_index int, content string, token_count int, prev_chunk_id string, next_chunk_id string, chunk_type string"
+#: Characters of the texts that are cut together: bounds a task's memory besides its longest text.
+LOT = 4_000_000
 HEADER = r"^(#{1,3}) +(.*)$"
 
 
@@ -84,11 +86,22 @@ def _links(document_id: str | None, contents: list[str], kind: str) -> list[tupl
     return [(ids[i], document_id, i, piece, len(piece) // CHARS_PER_TOKEN, ids[i - 1] if i else None, ids[i + 1] if i + 1 < len(ids) else None, kind) for i, piece in enumerate(contents)]
 
 
+def _lots(batches: Iterator[pd.DataFrame], text: str = "content") -> Iterator[pd.DataFrame]:
+    """Some rows at a time: about LOT characters, or one text."""
+    for batch in batches:
+        size = batch[text].map(lambda x: len(x) if isinstance(x, str) else 0).cumsum().to_numpy() if len(batch) else []
+        begin, held = 0, 0
+        for i in range(len(size)):
+            if size[i] - held >= LOT or i + 1 == len(size):
+                yield batch.iloc[begin : i + 1]
+                begin, held = i + 1, size[i]
+
+
 def _cut(docs: DataFrame, cut: Callable[[str], list[str]], kind: str) -> DataFrame:
     """docs(document_id, content) -> linked chunks; blank pieces go. Each document is cut, numbered and linked in the task that reads it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _lots(batches):
             rows = [row for d, text in zip(batch["document_id"], batch["content"], strict=True) for row in _links(d, [p for p in cut(text or "") if p.strip()], kind)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
@@ -128,7 +141,7 @@ def token_chunks(docs: DataFrame, vocabulary: str, chunk_tokens: int = CHUNK_TOK
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter()
         at = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-        for batch in batches:
+        for batch in _lots(batches):
             rows = [row for d, text in zip(batch["document_id"], batch["content"], strict=True) for row in _links(d, [p for p in token_split(text or "", chunk_tokens, count, separators) if p.strip()], "token")]
             chunks = pd.DataFrame(rows, columns=at)
             chunks["token_count"] = chunks["content"].map(count).astype("int32")
