@@ -73,6 +73,30 @@ def test_chunks_hold_their_limit_in_tokens(spark, sf, count):
     assert blank("abc def", 4) == ["abc ", "def"]
 
 
+def test_a_text_over_the_limit_is_not_read_to_its_end(count, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(bpe, "WINDOW", 7)
+    for _ in range(3_000):
+        text = "".join(rng.choice(["a", "b", "é", "1", "'s", " ", "  ", "\n", ".", "中", "longword"]) for _ in range(rng.randint(0, 60)))
+        n, limit = count(text), rng.randint(1, 40)
+        assert count.up_to(text, limit) == n if n <= limit else count.up_to(text, limit) > limit
+    took = []
+    monkeypatch.setattr(bpe.Counter, "_sum", lambda self, words: took.append(sum(map(len, words))) or len(words))
+    chunking.token_split("one two three four. " * 500, 500 * 5, count)
+    assert count.up_to("one two " * 10_000, 20) > 20 and took[-1] < 200 and sum(took[-20:]) < 200
+
+
+def test_words_asked_for_again_are_remembered(count, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    merged, real = [], bpe.merged_length
+    monkeypatch.setattr(bpe, "merged_length", lambda word, ranks: merged.append(word) or real(word, ranks))
+    fresh = bpe.Counter(b"")
+    for i in range(1_000):
+        assert fresh(f"often {'x' * (i % 7 + 1)}{i}") == 5 + 1 + i % 7 + 1 + len(str(i))
+        assert len(fresh.seen) + len(fresh.older) <= 100
+    assert merged.count(b"often") == 1
+
+
 def test_large_vocabularies_are_refused(spark, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_VOCABULARY", 10)
     with pytest.raises(ValueError, match="above 10"):

@@ -6,12 +6,14 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bpe
+from ..work import spread
 
 CHUNK_TOKENS, CHARS_PER_TOKEN = 1000, 4
 # Separators from coarse to fine, for prose and for some languages' code.
@@ -67,6 +69,8 @@ def recursive_split(text: str, limit: int, separators=SEPARATORS, overlap: int =
                 held.append(part)
                 size += length
             continue
+        while level < len(separators) and separators[level] and separators[level] not in part:
+            level += 1  # nothing to cut: measured once
         mark = separators[level] if level < len(separators) else ""
         if mark:
             cuts = part.split(mark)
@@ -115,18 +119,25 @@ def recursive_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, overlap_
     return _cut(docs, lambda t: recursive_split(t, limit, separators, overlap), "recursive")
 
 
-def token_split(text: str, limit: int, count: Callable[[str], int], separators=SEPARATORS) -> list[str]:
-    """Pieces of at most `limit` tokens whose concatenation is the text.
+def token_split(text: str, limit: int, count: bpe.Counter, separators=SEPARATORS) -> list[str]:
+    """Pieces of at most `limit` tokens whose concatenation is the text."""
+    return [piece for piece, _ in _token_pieces(text, limit, count, separators)]
+
+
+def _token_pieces(text: str, limit: int, count: bpe.Counter, separators) -> list[tuple[str, int]]:
+    """The pieces of token_split and their numbers of tokens.
 
     Cut as recursive_split does, in tokens; a part that no separator cuts, and the rare piece that has more tokens than
-    its parts together, is halved. A single character stays whole whatever it takes.
+    its parts together, is halved. A single character stays whole whatever it takes. What is over the limit is counted
+    only until it is.
     """
-    out: list[str] = []
-    todo = list(reversed(recursive_split(text, limit, separators[:-1], measure=lambda part: count(part) if len(part) > 1 else 1)))
+    out: list[tuple[str, int]] = []
+    todo = list(reversed(recursive_split(text, limit, separators[:-1], measure=lambda part: count.up_to(part, limit) if len(part) > 1 else 1)))
     while todo:
         piece = todo.pop()
-        if len(piece) < 2 or count(piece) <= limit:
-            out.append(piece)
+        n = count.up_to(piece, limit)
+        if len(piece) < 2 or n <= limit:
+            out.append((piece, n))
         else:
             half = len(piece) // 2
             todo += [piece[half:], piece[:half]]
@@ -140,14 +151,18 @@ def token_chunks(docs: DataFrame, vocabulary: str, chunk_tokens: int = CHUNK_TOK
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter()
-        at = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
         for batch in _lots(batches):
-            rows = [row for d, text in zip(batch["document_id"], batch["content"], strict=True) for row in _links(d, [p for p in token_split(text or "", chunk_tokens, count, separators) if p.strip()], "token")]
-            chunks = pd.DataFrame(rows, columns=at)
-            chunks["token_count"] = chunks["content"].map(count).astype("int32")
+            rows, lengths = [], []
+            for d, text in zip(batch["document_id"], batch["content"], strict=True):
+                pieces = [(p, n) for p, n in _token_pieces(text or "", chunk_tokens, count, separators) if p.strip()]
+                rows += _links(d, [p for p, _ in pieces], "token")
+                lengths += [n for _, n in pieces]
+            chunks = pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
+            chunks["token_count"] = np.array(lengths, np.int32)
             yield chunks
 
-    return docs.select(F.col("document_id").cast("string"), "content").mapInPandas(run, CHUNK_SCHEMA)
+    # counting takes far longer than dealing the texts out
+    return spread(docs.select(F.col("document_id").cast("string"), "content")).mapInPandas(run, CHUNK_SCHEMA)
 
 
 def markdown_sections(docs: DataFrame) -> DataFrame:
