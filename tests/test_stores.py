@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tomeloom import work
 from tomeloom.operators import catalog, closure, curation, fulltext, jobs, tables, text_index, vector_index, vectors
 from tomeloom.sources import pages
 from tomeloom.work import new_folder, read_text, write_new
@@ -39,6 +40,19 @@ def test_closure_of_cycles_unknown_parents_and_nulls(spark):
     assert closure.depths(df.filter("false")).count() == 0
 
 
+def test_closure_leaves_ended_nodes_where_they_are(spark, monkeypatch):
+    """Their null keys met in one task of each join; a large table is joined in as many tasks as it has rows for."""
+    written, real = [], closure.stored
+    monkeypatch.setattr(closure, "stored", lambda df: written.append(real(df)) or written[-1])
+    monkeypatch.setattr(work, "ROWS_PER_TASK", 50)
+    trees = [(i, None if i < 900 else i - 900) for i in range(1800)] + [(2000 + i, 1999 + i if i else None) for i in range(17)]
+    got = sorted(tuple(r) for r in closure.depths(spark.createDataFrame(trees, "category_id long, parent_id long")).collect())
+    assert got == [(i, i % 900, i // 900) for i in range(1800)] + [(2000 + i, 2000, i) for i in range(17)]
+    counts = [df.count() for df in written]
+    assert counts[:2] == [1817, 916] and max(counts[2:]) < 17
+    assert work.dealt(spark.range(1000), 1000, "id").rdd.getNumPartitions() == 20 and work.dealt(spark.range(9, numPartitions=3), 9, "id").rdd.getNumPartitions() == 3
+
+
 def test_closure_of_a_deep_chain_takes_few_rounds(spark, monkeypatch):
     rounds = []
     real = closure.stored

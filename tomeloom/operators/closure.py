@@ -3,7 +3,7 @@
 Every node points to its parent. In a round each node takes over what its pointer's node knows and then points
 where that one points, so pointers span 1, 2, 4, ... levels and a tree of depth d is done after log2(d) + 1 joins. Nodes are
 told apart by id alone. Rounds are written, so no round is computed twice. Pointers of a cycle never come to an end:
-after as many rounds as the number of nodes allows they are left out.
+after as many rounds as the number of nodes allows they are left out. A round writes only what still moves.
 """
 
 from __future__ import annotations
@@ -11,19 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..work import stored
+from ..work import dealt, stored
 
 
 def _doubled(rows: DataFrame, own: dict[str, Column], combine) -> DataFrame:
     """rows(category_id, parent_id) with `own` states, folded over all ancestors. combine(c) makes the new states of the
     node's own columns and those of its pointer's node, `_of.<state>`, which is null where that node is unknown."""
     rows = stored(rows.filter("category_id is not null").select("category_id", F.col("parent_id").alias("_up"), *(v.alias(k) for k, v in own.items())))
-    for _ in range(max(1, rows.count()).bit_length() + 1):
-        if rows.filter("_up is not null").isEmpty():
+    # nodes whose pointer has come to its end are joined to, but not joined any more: their null keys would meet in one task
+    ended, going = rows.filter("_up is null"), rows.filter("_up is not null")
+    n = rows.count()
+    for _ in range(max(1, n).bit_length() + 1):
+        if going.isEmpty():
             break
-        above = rows.select(F.col("category_id").alias("_id"), F.struct("_up", *own).alias("_of"))
-        rows = stored(rows.join(above, F.col("_up") == F.col("_id"), "left").select("category_id", F.col("_of._up").alias("_up"), *(v.alias(k) for k, v in combine().items())))
-    return rows
+        above = ended.unionByName(going).select(F.col("category_id").alias("_id"), F.struct("_up", *own).alias("_of"))
+        rows = stored(dealt(going, n, "_up").join(dealt(above, n, "_id"), F.col("_up") == F.col("_id"), "left").select("category_id", F.col("_of._up").alias("_up"), *(v.alias(k) for k, v in combine().items())))
+        ended, going = ended.unionByName(rows.filter("_up is null")), rows.filter("_up is not null")
+    return ended.unionByName(going)
 
 
 def depths(categories: DataFrame) -> DataFrame:

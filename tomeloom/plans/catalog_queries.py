@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import catalog, closure, dedup
+from ..work import dealt
 from .registry import query
 
 
@@ -58,7 +59,8 @@ SELECT category_id, root_id, depth FROM p""")
 def deep_depths(t):
     """Each customer's orders as one chain, every order below the one before."""
     before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
-    return closure.depths(t.orders.select(F.col("o_orderkey").alias("category_id"), before.alias("parent_id")))
+    orders = dealt(t.orders.select("o_custkey", "o_orderkey"), t.orders.count(), "o_custkey")
+    return closure.depths(orders.select(F.col("o_orderkey").alias("category_id"), before.alias("parent_id")))
 
 
 @query("c7_matched_categories", """

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Tasks that spread() makes for each core.
 TASKS_PER_CORE = 4
+#: Rows that a task of dealt() gets about, where its table is large.
+ROWS_PER_TASK = 500_000
 
 _local: list[str] = []
 
@@ -41,6 +43,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
 
 
+def dealt(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """df dealt out by a key to a number of tasks that follows its rows, if the session's shuffles have fewer."""
+    tasks = rows // ROWS_PER_TASK
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of the JVM, for what DataFrames cannot do: renames, listings, small files."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
