@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tomeloom.plans import ingest
 from tomeloom.plans.library import SCHEMAS, Library
 from tomeloom.work import new_folder
 
@@ -104,3 +105,21 @@ def test_empty_batch_and_empty_library(spark):
     library = Library(spark, new_folder(spark))
     assert all(library.read(s).count() == 0 for s in SCHEMAS)
     assert library.ingest("0", files(spark, []), F.lit(AT)) and library.batches() == ["0"] and library.read("documents").count() == 0
+
+
+def test_embedder_hashes_a_word_once(monkeypatch):
+    import pandas as pd
+
+    hashed, real = [], ingest.xxhash.xxh32_intdigest
+    monkeypatch.setattr(ingest.xxhash, "xxh32_intdigest", lambda w: hashed.append(w) or real(w))
+    monkeypatch.setattr(ingest, "_places", {})
+    a, b, c = ingest.hashed_words(pd.Series(["Ein Wort, ein Wort", None, "wort 中"]), 16)
+    assert sorted(hashed) == sorted(["ein", "wort", "中"]) and not b.any()
+    for got, words in ((a, ["ein", "wort"] * 2), (c, ["wort", "中"])):
+        want = [0.0] * 16
+        for w in words:
+            want[real(w) % 16] += 1 if real(w) & 0x80000000 else -1
+        assert all(abs(x - y / max(1e-9, sum(v * v for v in want) ** 0.5)) < 1e-6 for x, y in zip(got.tolist(), want, strict=True))
+    monkeypatch.setattr(ingest, "REMEMBERED", 2)
+    ingest.hashed_words(pd.Series(["a b c d e"]), 16)
+    assert len(ingest._places[16]) <= 2

@@ -14,16 +14,37 @@ from pyspark.sql import functions as F
 from ..operators import chunking, dedup
 
 DIMENSION = 64
+#: Words whose hashes a worker remembers at most.
+REMEMBERED = 200_000
 _word = re.compile(r"\w+")
 
 
+class _Places(dict):
+    """Where a word counts: its place, or the dimension more for a positive sign; begins anew when full."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = xxhash.xxh32_intdigest(word)
+        self[word] = place = h % self.dimension + (self.dimension if h & 0x80000000 else 0)
+        return place
+
+
+_places: dict[int, _Places] = {}
+
+
 def hashed_words(texts: pd.Series, dimension: int = DIMENSION) -> pd.Series:
     """Default embedder: signed hashed word counts of unit length; a text without words is a zero vector."""
     out = np.zeros((len(texts), dimension), np.float32)
+    places = _places.setdefault(dimension, _Places(dimension))
     for i, text in enumerate(texts):
-        for w in _word.findall((text or "").lower()):
-            h = xxhash.xxh32_intdigest(w)
-            out[i, h % dimension] += 1 if h & 0x80000000 else -1
+        found = _word.findall((text or "").lower())
+        counts = np.bincount(np.fromiter(map(places.__getitem__, found), np.int64, len(found)), minlength=2 * dimension)
+        out[i] = counts[dimension:] - counts[:dimension]
     norms = np.sqrt((out * out).sum(1, keepdims=True))
     return pd.Series(list(out / np.where(norms > 0, norms, 1)))
 
