@@ -303,3 +303,21 @@ def test_all_lists_are_scanned_without_a_row_for_each_list(spark, sf, monkeypatc
     monkeypatch.undo()
     whole = {(r.query_id, r.id) for r in index.search(q, 5, refine=1000).collect()}
     assert whole == {(r.query_id, r.id) for r in vectors.top_k(q, v, 5).collect()} and len(whole & narrow) >= 0.9 * len(whole)
+
+
+def test_top_k_compares_small_blocks():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    q, v = rng.normal(size=(2_048, 8)), rng.normal(size=(1_024, 8))
+    shared, rows = SimpleNamespace(value=(np.arange(len(q)), q)), pd.DataFrame({"id": np.arange(len(v)), "embedding": list(v)})
+    tracemalloc.start()
+    got = pd.concat(vectors._best(shared, 3, "ip")(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+    want = np.sort(np.argsort(1 - q @ v.T, axis=1)[:, :3], axis=1)
+    assert (np.sort(got["id"].to_numpy().reshape(-1, 3), axis=1) == want).all()

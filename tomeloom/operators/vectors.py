@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Queries that are broadcast at once (64 floats each: 25 MB). More are dealt out in blocks of this size.
 QUERY_BLOCK = 50_000
-#: Queries and vectors that a task compares at once: 2,048 x 1,024 doubles are 16 MB.
-QUERIES_AT_ONCE, VECTORS_AT_ONCE = 2_048, 1_024
+#: Queries and vectors that a task compares at once: 512 x 1,024 doubles are 4 MB, and several such arrays are held.
+QUERIES_AT_ONCE, VECTORS_AT_ONCE = 512, 1_024
 
 
 def _sum(values: Column) -> Column:
