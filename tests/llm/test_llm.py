@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -589,6 +590,30 @@ def test_lm_learns_what_goes_together(spark):
     assert len(held) > 20 and sum(r.score > r.base_score for r in held) > 0.9 * len(held)
 
 
+def test_lm_lots_are_split_as_words_of_does():
+    texts = [b"", None, b"  \t ", b" One\x0btwo\x0c THREE\n", "É é Übung\u00a0x".encode(), b"a\xff\xfeB c", b"z" * 50, b"one two"]
+    lots = list(lm._lots(iter([pd.DataFrame({"text": texts[:5]}), pd.DataFrame({"text": texts[5:]}), pd.DataFrame({"text": []})])))
+    got = [[lot.words[c] for c in part] for lot in lots for part in np.split(lot.code, np.cumsum(lot.counts)[:-1])]
+    assert got == [lm.words_of(t) for t in texts]
+
+
+def test_lm_remembers_the_words_seen_most(monkeypatch):
+    """When a worker's words are too many, frequent ones are not put into subword ids again."""
+    monkeypatch.setattr(lm, "MEMORY", 60)
+    monkeypatch.setattr(lm, "KEPT", 30)
+    words, asked, often = lm.Words(open(lm.default_path(), "rb").read()), Counter(), [b"often%d" % i for i in range(20)]
+    encode = words.model.encode
+    words.model = type("Counting", (), {"encode": staticmethod(lambda new, **how: asked.update(new) or encode(new, **how))})
+    for k in range(30):
+        new = often + [b"new%dx%d" % (k, i) for i in range(20)]
+        at = words.of(new)
+        for w, e in zip(new, at.tolist(), strict=True):
+            begin = words.start.all()[e]
+            assert words.ids.all()[begin : begin + words.length.all()[e]].tolist() == encode(w.decode())
+        assert len(words.at) <= 60
+    assert {asked[w.decode()] for w in often} == {1}
+
+
 def test_lm_steps_take_every_target_once():
     rng = random.Random(4)
     texts = [np.array([rng.randint(2, 9) for _ in range(k)], np.int32) for k in (0, 3, 9000, 15, 16, 700)]

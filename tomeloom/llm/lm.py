@@ -20,11 +20,14 @@ number of steps grow with the corpus; what is sent around has the size of the mo
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,8 +41,8 @@ WIDTH, COMPONENTS = 8, 8
 BLOCK = 16
 #: Blocks of a training step, and blocks scored at once.
 STEP = 256
-#: Words of the texts that are looked up together: bounds a task's memory besides its longest text.
-LOT = 65_536
+#: Bytes of the texts that are looked up together: bounds a task's memory besides its longest text.
+LOT = 1 << 20
 #: Passes over all training texts.
 ROUNDS = 1
 RATE = 0.1
@@ -49,8 +52,8 @@ SEED_WEIGHT, SEED_SLOPE = 4000.0, 4.0
 HEAD_WORDS = 400_000
 #: Followers of subword ids that are told apart: the most frequent ones. All others share what is left by their own counts.
 PAIRS = 500_000
-#: Words that a Python worker remembers.
-MEMORY = 400_000
+#: Words that a Python worker remembers; when they are more, those seen in most lots stay, KEPT of them.
+MEMORY, KEPT = 400_000, 250_000
 #: Groups that tasks' parameters are summed in before they meet, and rows of a message.
 LOTS, PART = 32, 128
 BEGIN, END = 1, 2
@@ -68,6 +71,11 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def laid_end_to_end(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[i], ..., start[i] + length[i] - 1 for each i."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
 class Rows:
     """An array that grows at its end."""
 
@@ -98,30 +106,45 @@ class Words:
     def _clear(self) -> None:
         self.at: dict[bytes, int] = {}
         self.ids, self.start, self.length = Rows(np.array([BEGIN, END], np.int32)), Rows(np.array([0, 1])), Rows(np.array([1, 1]))
+        self.seen = Rows(np.zeros(2, np.int32))
 
-    def _add(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the new words, end to end, and their numbers."""
+    def _encoded(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, end to end, and their numbers."""
         found = [x or [0] for x in self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)]
         length = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(length.sum()))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(length.sum())), length
+
+    def _add(self, new: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
         self.at.update(zip(new, range(self.start.n, self.start.n + len(new)), strict=True))
         self.start.add(self.ids.n + np.cumsum(length) - length)
         self.length.add(length)
         self.ids.add(ids)
-        return ids, length
+        self.seen.add(np.zeros(len(new), np.int32))
+
+    def _forget(self, n: int) -> None:
+        """All but the n words that most calls asked for."""
+        words, seen = list(self.at), self.seen.all()[2:]
+        stay = np.sort(np.argsort(-seen, kind="stable")[:n])
+        length, seen = self.length.all()[stay + 2], seen[stay] // 2
+        ids = self.ids.all()[laid_end_to_end(self.start.all()[stay + 2], length)]
+        self._clear()
+        self._add(list(map(words.__getitem__, stay.tolist())), ids, length)
+        self.seen.all()[2:] = seen
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """Entry of each word; entries hold until the next call."""
         at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int32, len(words))
         missing = np.flatnonzero(at < 0)
-        if not len(missing):
-            return at
-        new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
-        if len(self.at) and len(self.at) + len(new) > MEMORY:
-            self._clear()
-            return self.of(words)
-        self._add(new)
-        at[missing] = np.fromiter(map(self.at.__getitem__, map(words.__getitem__, missing.tolist())), np.int32, len(missing))
+        if len(missing):
+            new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
+            if len(self.at) and len(self.at) + len(new) > MEMORY:
+                self._forget(min(KEPT, len(self.at), max(0, MEMORY - len(words))))
+                at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int32, len(words))
+                missing = np.flatnonzero(at < 0)
+                new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
+            self._add(new, *self._encoded(new))
+            at[missing] = np.fromiter(map(self.at.__getitem__, map(words.__getitem__, missing.tolist())), np.int32, len(missing))
+        self.seen.all()[at] += 1
         return at
 
 
@@ -136,11 +159,10 @@ class Trained(Words):
         super()._clear()
         self.rows, self.firsts = Rows(self.row_of[[BEGIN, END]]), Rows(self.first_of[[BEGIN, END]])
 
-    def _add(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids, length = super()._add(new)
+    def _add(self, new: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+        super()._add(new, ids, length)
         self.rows.add(self.row_of[ids])
         self.firsts.add(self.first_of[ids[np.cumsum(length) - length]])
-        return ids, length
 
 
 def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,21 +249,32 @@ def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(at, values.ravel(), n * width).reshape(n, width).astype(np.float32)
 
 
+def _told_apart(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, and for each number its place among them: np.unique() without a sort, for numbers below a few thousands."""
+    distinct = np.flatnonzero(np.bincount(at))
+    place = np.empty(int(distinct[-1]) + 1, np.int64)
+    place[distinct] = np.arange(len(distinct))
+    return distinct, place[at]
+
+
 def train_step(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], expected: np.ndarray, rows: np.ndarray, start: np.ndarray, length: np.ndarray, firsts: np.ndarray, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray) -> None:
     """One Adagrad step of attention on some blocks, and what they add to the expected counts of theta.
 
-    rows, start and length lay out the table rows of each entry, firsts its row of theta.
+    rows, start and length lay out the table rows of each entry, firsts its row of theta. Each word of the step
+    is put together once, and only rows that it has are changed: no others have a gradient.
     """
-    start, length = start[inputs.ravel()], length[inputs.ravel()]
-    x = word_rows(p["e"], rows, start, length).reshape(*inputs.shape, -1)
+    distinct, place = np.unique(inputs.ravel(), return_inverse=True)
+    start, length = start[distinct], length[distinct]
+    x = word_rows(p["e"], rows, start, length).take(place, 0).reshape(*inputs.shape, -1)
     pi, weight, total, q, k, v = attend(p, x, first)
     wanted = firsts[np.maximum(targets, 0).ravel()]
-    mine = (expected / expected.sum(0)).take(wanted, 0).reshape(pi.shape) * pi
+    mine = (expected.take(wanted, 0) / (np.ones(len(expected), np.float32) @ expected)).reshape(pi.shape) * pi
     mine /= _sums(mine)
     real = (targets >= 0)[:, :, None].astype(np.float32)
     back = (mine - pi) * real
-    expected += _by_row(wanted, (mine * real).reshape(-1, COMPONENTS), len(expected))
-    bias = back.sum((0, 1))[:, None]
+    hit, wanted = _told_apart(wanted)
+    expected[hit] += _by_row(wanted, (mine * real).reshape(-1, COMPONENTS), len(hit))
+    bias = (np.ones(targets.size, np.float32) @ back.reshape(-1, COMPONENTS))[:, None]
     back /= total
     slope = np.matmul(back, v.transpose(0, 2, 1))
     slope -= np.einsum("ijk,ijk->ij", weight, slope)[:, :, None] / total
@@ -252,41 +285,56 @@ def train_step(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], expecte
     for columns, y in ((K, np.matmul(slope.transpose(0, 2, 1), q)), (V, np.matmul(weight.transpose(0, 2, 1), back))):
         grad[:, :, columns] = y[:, BLOCK:]
         grad[:-1, :, columns] += y[1:, :BLOCK] * follows
-    grad = grad.reshape(-1, grad.shape[2]) / length[:, None].astype(np.float32)
-    at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    grad = _by_row(place, grad.reshape(-1, grad.shape[2]), len(distinct)) / length[:, None].astype(np.float32)
+    moved, at = _told_apart(rows[laid_end_to_end(start, length)])
     by_distance = np.bincount(_distance.ravel(), slope.sum(0).ravel(), 2 * BLOCK)[:, None].astype(np.float32)
-    for name, change in (("e", _by_row(rows[at], np.repeat(grad, length, 0), len(p["e"]))), ("r", by_distance), ("a", bias)):
-        squares[name] += change**2
-        p[name] += RATE * change / (np.sqrt(squares[name]) + 1e-3)
+    for name, which, change in (("e", moved, _by_row(at, np.repeat(grad, length, 0), len(moved))), ("r", slice(None), by_distance), ("a", slice(None), bias)):
+        squares[name][which] += change**2
+        p[name][which] += RATE * change / (np.sqrt(squares[name][which]) + 1e-3)
+
+
+class Lot(NamedTuple):
+    """Some rows; the words of their texts, in order, are words[code]; counts has how many each text has."""
 
+    rows: pd.DataFrame
+    words: list[bytes]
+    code: np.ndarray
+    counts: np.ndarray
 
-def _lots(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
-    """Some rows at a time with their words, LOT words or one text."""
+
+def _lots(batches: Iterator[pd.DataFrame]) -> Iterator[Lot]:
+    """Some rows at a time, LOT bytes or one text, split into words as words_of does it."""
     for batch in batches:
-        begin, size, held = 0, 0, []
-        for i, text in enumerate(batch["text"]):
-            held.append(words_of(text))
-            size += len(held[-1]) + 1
-            if size >= LOT:
-                yield batch.iloc[begin : i + 1], held
-                begin, size, held = i + 1, 0, []
-        if held:
-            yield batch.iloc[begin:], held
+        begin, size = 0, 0
+        texts = batch["text"].tolist()
+        for i, text in enumerate(texts):
+            size += len(text or b"")
+            if size >= LOT or i + 1 == len(texts):
+                yield _lot(batch.iloc[begin : i + 1], texts[begin : i + 1])
+                begin, size = i + 1, 0
+
 
+def _lot(rows: pd.DataFrame, texts: list[bytes | None]) -> Lot:
+    # bytes seen as a string: these functions look at ASCII only, whatever the other bytes are
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array([t or b"" for t in texts], pa.binary()).view(pa.string())))
+    lists = pc.ascii_split_whitespace(trimmed)
+    some = pc.binary_length(trimmed).to_numpy() > 0  # an empty text is split into one empty word
+    counts = np.where(some, pc.list_value_length(lists).to_numpy(), 0)
+    words = lists.flatten() if some.all() else lists.filter(pa.array(some)).flatten()
+    words = words.view(pa.binary()).dictionary_encode()
+    return Lot(rows, words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), counts)
 
-def _entries(words: Words, texts: list[list[bytes]]) -> list[np.ndarray]:
-    entries = words.of([w for text in texts for w in text])
-    ends = np.cumsum([len(text) for text in texts])
-    return np.split(entries, ends[:-1])
+
+def _entries(words: Words, lot: Lot) -> list[np.ndarray]:
+    return np.split(words.of(lot.words)[lot.code], np.cumsum(lot.counts)[:-1])
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words and their counts; the empty word stands for the ends."""
     counts: Counter = Counter()
-    for batch in batches:
-        for text in batch["text"]:
-            counts.update(words_of(text))
-        counts[b""] += len(batch)
+    for lot in _lots(batches):
+        counts.update(dict(zip(lot.words, np.bincount(lot.code, minlength=len(lot.words)).tolist(), strict=True)))
+        counts[b""] += len(lot.rows)
         if len(counts) > 200_000:
             yield pd.DataFrame(counts.items(), columns=["w", "c"])
             counts.clear()
@@ -310,8 +358,7 @@ def _count_ids(proto: bytes):
                 start, count, every = words.start.all()[at], words.length.all()[at], words.ids.all()
                 first = every[start]
                 begins += np.stack([np.bincount(first, part["c"].to_numpy(), size), np.bincount(first, minlength=size)], 1).astype(np.int64)
-                where = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                ids = every[where].astype(np.int64)
+                ids = every[laid_end_to_end(start, count)].astype(np.int64)
                 following = np.append(ids[1:], END)
                 following[np.cumsum(count) - 1] = END
                 keys, n = np.unique(ids * size + following, return_counts=True)
@@ -426,14 +473,26 @@ def first_parameters(row_of: np.ndarray, firsts: np.ndarray, begins: np.ndarray,
     return {"e": rows, "r": np.zeros((2 * BLOCK, 1), np.float32), "a": np.log(weight)[:, None].astype(np.float32)}, expected
 
 
+_held: dict[str, Words] = {}
+
+
+def _remembered(name: str, make: Callable[[], Words]) -> Words:
+    """What this Python worker holds from its last task of that name."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def _train(shared, proto: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row_of, first_of, start, seeds = shared.value
         p, expected = {x: y.copy() for x, y in start.items()}, seeds.copy()
         squares = {x: np.full(y.shape, 1e-2, np.float32) for x, y in p.items()}
-        words, some = Trained(proto, row_of, first_of), False
-        for _, texts in _lots(batches):
-            blocks = laid_out(_entries(words, texts))
+        name = "train" + xxhash.xxh3_128_hexdigest(proto + row_of.tobytes() + first_of.tobytes())
+        words, some = _remembered(name, lambda: Trained(proto, row_of, first_of)), False
+        for lot in _lots(batches):
+            blocks = laid_out(_entries(words, lot))
             laid = [x.all() for x in (words.rows, words.start, words.length, words.firsts)]
             for inputs, targets, first in steps_of(*blocks):
                 train_step(p, squares, expected, *laid, inputs, targets, first)
@@ -535,9 +594,9 @@ class Scored(Words):
         self.vectors, self.firsts = Rows(m.parameters["e"][m.row_of[[BEGIN, END]]]), Rows(m.first_of[[BEGIN, END]])
         self.count, self.over, self.rest = Rows(np.array([0, m.ends])), Rows(np.ones(2)), Rows(np.ones(2))
 
-    def _add(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _add(self, new: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
         m = self.of_model
-        ids, length = super()._add(new)
+        super()._add(new, ids, length)
         start = np.cumsum(length) - length
         first = ids[start]
         # a word beyond the head is joined to its count; its chance by spelling is needed either way
@@ -550,7 +609,6 @@ class Scored(Words):
         self.count.add(np.fromiter(map(m.head.get, new, repeat(-1)), np.int64, len(new)))
         self.over.add(np.where(seen, begins, 1.0))
         self.rest.add(np.maximum(rest, 1e-300))
-        return ids, length
 
     def chances_of(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log chance of the first id of each token of all texts, ends included, in order."""
@@ -558,20 +616,16 @@ class Scored(Words):
         return np.concatenate(found) if found else np.zeros(0)
 
 
-_held: dict[str, Scored] = {}
 SCORED = "doc_id {id}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<binary>, over array<double>, rest array<double>"
 
 
 def _score(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        if model.name not in _held:
-            _held.clear()
-            _held[model.name] = Scored(model)
-        words, room = _held[model.name], model.total + model.vocabulary + 1.0
+        words, room = _remembered(model.name, lambda: Scored(model)), model.total + model.vocabulary + 1.0
         row = TaskContext.get().partitionId() << 36
-        for rows, texts in _lots(batches):
-            entries = _entries(words, texts)
+        for lot in _lots(batches):
+            rows, entries = lot.rows, _entries(words, lot)
             leads = words.chances_of(entries) / np.log(10)
             flat = np.concatenate([np.append(x, 1) for x in entries])
             n = np.array([len(x) + 1 for x in entries])
@@ -585,8 +639,7 @@ def _score(shared):
             # the words beyond the head, with what their counts are needed for
             rare = np.flatnonzero(~here)
             split = np.searchsorted(of[rare], np.arange(len(n) + 1))
-            begin = np.cumsum(n) - n
-            named = [texts[t][i] for t, i in zip(of[rare].tolist(), (rare - begin[of[rare]]).tolist(), strict=True)]
+            named = list(map(lot.words.__getitem__, lot.code[rare - of[rare]].tolist()))  # a text has one end, after its words
             lists = lambda x: [x[a:b] for a, b in zip(split[:-1], split[1:], strict=True)]  # noqa: B023, E731
             yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(), "row": np.arange(row, row + len(n)), "n_tokens": n, "n_known": known, "base": base, "score": score, "rare": lists(named), "over": lists(over[rare]), "rest": lists(rest[rare])})
             row += len(n)
