@@ -590,6 +590,26 @@ def test_lm_learns_what_goes_together(spark):
     assert len(held) > 20 and sum(r.score > r.base_score for r in held) > 0.9 * len(held)
 
 
+def test_lm_attention_decides_frequent_words_wholly(spark):
+    """Words that begin with the same subword id and stand in different texts: which of them comes is told by the context."""
+    rng = random.Random(5)
+    kinds = [["zlurkanda", "zlurkimo", "house", "garden", "green"], ["zlurkovel", "zlurkessa", "Vögel", "schön", "heute"]]
+    texts = [" ".join(rng.choices(kinds[i % 2], k=60)).lower() for i in range(600)]
+    rows = spark.createDataFrame([(t.encode(),) for t in texts], "text binary").coalesce(1)
+    wanted = spark.createDataFrame([(i, False, t.encode()) for i, t in enumerate([texts[0], texts[1], texts[0] + " never zlurkessan"])], "doc_id long, held_out boolean, text binary")
+    parted, _ = lm.fit(rows, whole=0)
+    encode = lm.Words(parted.proto).model.encode
+    assert len({tuple(encode(w)[:1]) for kind in kinds for w in kind[:2]}) == 1 and all(len(encode(w)) > 1 for kind in kinds for w in kind[:2])
+    model, tail = lm.fit(rows)
+    encode = lm.Words(model.proto).model.encode
+    assert len({encode(w)[0] for kind in kinds for w in map(str.lower, kind)}) == 10 and all(len(encode(w.lower())) == 1 for kind in kinds for w in kind)
+    before = {r.doc_id: r.score for r in lm.score(wanted, parted, tail).collect()}
+    for r in lm.score(wanted, model, tail).collect():
+        text = [texts[0], texts[1], texts[0] + " never zlurkessan"][r.doc_id]
+        assert abs(r.score - lm_by_hand(model, text)) < 1e-2 + 1e-5 * abs(r.score)
+        assert r.doc_id == 2 or r.score > before[r.doc_id] + 2
+
+
 def test_lm_lots_are_split_as_words_of_does():
     texts = [b"", None, b"  \t ", b" One\x0btwo\x0c THREE\n", "É é Übung\u00a0x".encode(), b"a\xff\xfeB c", b"z" * 50, b"one two"]
     lots = list(lm._lots(iter([pd.DataFrame({"text": texts[:5]}), pd.DataFrame({"text": texts[5:]}), pd.DataFrame({"text": []})])))

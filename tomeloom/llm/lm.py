@@ -3,8 +3,9 @@
 A position of the model is a token: a word, which is the mean of the rows of its subword ids, or the end.
 Texts are cut into blocks of BLOCK positions. A block attends to itself, masked causally, and to the block
 before it, so windows overlap and every token is scored once. What attention gathers weighs COMPONENTS
-distributions of the subword id that begins the next token; how that word goes on is left to the counts of
-the whole corpus:
+distributions of the id that begins the next token. The corpus' WHOLE most frequent words have an id of
+their own each, so that attention decides them wholly; of all others it decides the first subword id, and how
+the word goes on is left to the counts of the whole corpus:
 
   P(word | context) = sum over k of pi_k(context) * theta_k(first id)  *  P(word | first id)
 
@@ -39,6 +40,8 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Numbers of a query or key, and distributions that attention weighs.
 WIDTH, COMPONENTS = 8, 8
 BLOCK = 16
+#: Most frequent words that have an id of their own, if they are seen so often in training.
+WHOLE, WHOLE_LEAST = 8192, 50
 #: Blocks of a training step, and blocks scored at once.
 STEP = 256
 #: Bytes of the texts that are looked up together: bounds a task's memory besides its longest text.
@@ -94,13 +97,40 @@ class Rows:
         return self.held[: self.n]
 
 
-class Words:
-    """Distinct words of a worker: their subword ids, laid end to end. Entries 0 and 1 are begin and end."""
+class Vocabulary(NamedTuple):
+    """A public vocabulary of subwords, and words of the corpus that are no longer parted."""
+
+    pieces: bytes
+    whole: tuple[str, ...] = ()
 
-    def __init__(self, proto: bytes):
+
+class Parts:
+    """Subword ids; after them one id for each whole word."""
+
+    def __init__(self, vocabulary: Vocabulary):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=vocabulary.pieces)
+        self.whole = {w: [i] for i, w in enumerate(vocabulary.whole, self.pieces.vocab_size())}
+
+    def vocab_size(self) -> int:
+        return self.pieces.vocab_size() + len(self.whole)
+
+    def encode(self, words: str | list[str], num_threads: int = 1) -> list:
+        if isinstance(words, str):
+            return self.encode([words])[0]
+        found = list(map(self.whole.get, words))
+        parted = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(parted, self.pieces.encode([words[i] for i in parted], num_threads=num_threads), strict=True):
+            found[i] = x
+        return found
+
+
+class Words:
+    """Distinct words of a worker: their subword ids, laid end to end. Entries 0 and 1 are begin and end."""
+
+    def __init__(self, proto: Vocabulary | bytes):
+        self.model = Parts(proto if isinstance(proto, Vocabulary) else Vocabulary(proto))
         self._clear()
 
     def _clear(self) -> None:
@@ -151,7 +181,7 @@ class Words:
 class Trained(Words):
     """Words with the table rows of their ids and their rows of theta."""
 
-    def __init__(self, proto: bytes, row_of: np.ndarray, first_of: np.ndarray):
+    def __init__(self, proto: Vocabulary, row_of: np.ndarray, first_of: np.ndarray):
         self.row_of, self.first_of = row_of, first_of
         super().__init__(proto)
 
@@ -342,7 +372,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(counts.items(), columns=["w", "c"])
 
 
-def _count_ids(proto: bytes):
+def _count_ids(proto: Vocabulary):
     """Of words and counts: (a, b, n, kinds): ids that begin words (b = -1) with their words' counts and number of
     words, and ids that follow others, END for none, with the number of words that have them so."""
 
@@ -484,12 +514,12 @@ def _remembered(name: str, make: Callable[[], Words]) -> Words:
     return _held[name]
 
 
-def _train(shared, proto: bytes):
+def _train(shared, proto: Vocabulary):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row_of, first_of, start, seeds = shared.value
         p, expected = {x: y.copy() for x, y in start.items()}, seeds.copy()
         squares = {x: np.full(y.shape, 1e-2, np.float32) for x, y in p.items()}
-        name = "train" + xxhash.xxh3_128_hexdigest(proto + row_of.tobytes() + first_of.tobytes())
+        name = "train" + xxhash.xxh3_128_hexdigest(repr(proto).encode() + row_of.tobytes() + first_of.tobytes())
         words, some = _remembered(name, lambda: Trained(proto, row_of, first_of)), False
         for lot in _lots(batches):
             blocks = laid_out(_entries(words, lot))
@@ -526,13 +556,12 @@ def _added(group: pd.DataFrame) -> pd.DataFrame:
 MESSAGE = "name string, part int, lot int, change binary, weight binary"
 
 
-def fit(texts: DataFrame, path: str | None = None, head_words: int = HEAD_WORDS, rounds: int = ROUNDS, pairs: int = PAIRS) -> tuple[Model, DataFrame]:
+def fit(texts: DataFrame, path: str | None = None, head_words: int = HEAD_WORDS, rounds: int = ROUNDS, pairs: int = PAIRS, whole: int = WHOLE) -> tuple[Model, DataFrame]:
     """texts(text binary) -> the model, and the counts (w, c) of the words beyond its head, as a written table."""
     import sentencepiece
 
     spark = texts.sparkSession
-    proto = sentencepiece.SentencePieceProcessor(model_file=path or default_path()).serialized_model_proto()
-    size = sentencepiece.SentencePieceProcessor(model_proto=proto).vocab_size()
+    pieces = sentencepiece.SentencePieceProcessor(model_file=path or default_path())
     counts = stored(texts.mapInPandas(_count_words, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")))
     is_end = F.octet_length("w") == 0
     about = counts.agg(
@@ -552,19 +581,31 @@ def fit(texts: DataFrame, path: str | None = None, head_words: int = HEAD_WORDS,
     head = counts.filter((F.col("c") >= least) & ~is_end).toPandas()
     tail = counts.filter((F.col("c") < least) & ~is_end)
 
+    often = counts.filter(~is_end & (F.col("c") >= WHOLE_LEAST)).orderBy(F.desc("c"), "w").limit(whole).select("w").toPandas()["w"]
+    # malformed words have subword ids only, as they are decoded with marks that others may hold
+    proto = Vocabulary(pieces.serialized_model_proto(), tuple(t for t in (bytes(w).decode("utf-8", "replace") for w in often) if "\ufffd" not in t))
+    size = pieces.vocab_size() + len(proto.whole)
     followers = stored(counts.mapInPandas(_count_ids(proto), "a long, b long, n long, kinds long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")))
     by_id = lambda df, key: df.groupBy(F.col(key).alias("id")).agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toPandas()
     inside = followers.filter("b >= 0")
     dense = lambda frame, name: np.bincount(frame["id"].to_numpy(int), frame[name].to_numpy(float), size)
     starts, out, into = by_id(followers.filter("b < 0"), "a"), by_id(inside, "a"), by_id(inside, "b")
     kept = inside.orderBy(F.desc("n"), "a", "b").limit(pairs).select("a", "b", "n").toPandas()
+    # whole words have subword ids too, which tell how words are spelled and which ids stand in the same words
+    parted = [x or [0] for x in pieces.encode(list(proto.whole))]
+    more = pd.DataFrame([(a, b, 1) for ids in parted for a, b in zip(ids, [*ids[1:], END], strict=True)], columns=["a", "b", "n"]).astype("int64")
+    kept = pd.concat([kept, more]).groupby(["a", "b"], as_index=False)["n"].sum()
+    out, into = (np.bincount(more[key], minlength=size) + dense(frame, "n") for key, frame in (("a", out), ("b", into)))
     begins, kinds = dense(starts, "n"), dense(starts, "kinds")
     begins[END] = ends
-    used, firsts = np.unique(np.concatenate([[BEGIN], out["id"].to_numpy(int)])), np.unique(np.append(starts["id"].to_numpy(int), END))
+    used, firsts = np.unique(np.append(np.flatnonzero(out), BEGIN)), np.unique(np.append(starts["id"].to_numpy(int), END))
     row_of, first_of = np.zeros(size, np.int32), np.zeros(size, np.int32)
     row_of[used], first_of[firsts] = np.arange(1, len(used) + 1), np.arange(1, len(firsts) + 1)
 
-    parameters, expected = first_parameters(row_of, firsts, begins, components(size, kept))
+    shares = components(size, kept)
+    for i, ids in enumerate(parted, pieces.vocab_size()):
+        shares[i] = shares[ids].mean(0)
+    parameters, expected = first_parameters(row_of, firsts, begins, shares)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast((row_of, first_of, parameters, expected))
         changes = texts.mapInPandas(_train(shared, proto), MESSAGE)
@@ -575,7 +616,7 @@ def fit(texts: DataFrame, path: str | None = None, head_words: int = HEAD_WORDS,
             change = (change / np.maximum(weight, 1e-12) if len(weight) else change).reshape(-1, rows.shape[1])
             rows[part : part + len(change)] += change
     model = Model(
-        proto, row_of, first_of, parameters, expected, Spelling(size, kept, dense(out, "n"), dense(into, "n")), begins, kinds, discount, dict(zip(head["w"].map(bytes), head["c"].tolist(), strict=True)), ends, total + ends, distinct + bool(ends)
+        proto, row_of, first_of, parameters, expected, Spelling(size, kept, out, into), begins, kinds, discount, dict(zip(head["w"].map(bytes), head["c"].tolist(), strict=True)), ends, total + ends, distinct + bool(ends)
     )
     return model, tail
 
