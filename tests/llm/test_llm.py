@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -634,6 +635,40 @@ def test_lm_remembers_the_words_seen_most(monkeypatch):
     assert {asked[w.decode()] for w in often} == {1}
 
 
+def test_lm_keeps_what_is_known_of_words_that_stay(monkeypatch):
+    """When a worker's words are too many, those that stay are not put together again, and their rows are still theirs."""
+    monkeypatch.setattr(lm, "MEMORY", 60)
+    monkeypatch.setattr(lm, "KEPT", 30)
+    proto, added = lm.Vocabulary(open(lm.default_path(), "rb").read()), []
+    size = lm.Parts(proto).vocab_size()
+
+    class Counting(lm.Trained):
+        def _add(self, new, ids, length):
+            added.extend(new)
+            super()._add(new, ids, length)
+
+    words, often = Counting(proto, np.arange(size) + 7, np.arange(size) + 5), [b"often%d" % i for i in range(20)]
+    for k in range(30):
+        asked = often + [b"new%dx%d" % (k, i) for i in range(20)]
+        for w, e in zip(asked, words.of(asked).tolist(), strict=True):
+            part, ids = slice(words.start.all()[e], words.start.all()[e] + words.length.all()[e]), words.model.encode(w.decode())
+            assert words.rows.all()[part].tolist() == [i + 7 for i in ids] and words.firsts.all()[e] == ids[0] + 5
+    assert max(Counter(added).values()) == 1
+
+
+def test_lm_words_are_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(lm, "LOT", 20)
+    monkeypatch.setattr(lm, "COUNTED", 12)
+    rng = random.Random(2)
+    texts = [None, b"", b" \t", b"a\xff\xfeB", *[" ".join(rng.choices("Ab cd EF gh ij kl mn op qr st uv".split(), k=rng.randint(0, 9))).encode() for _ in range(60)]]
+    out = list(lm._count_words(iter([pa.RecordBatch.from_pydict({"text": pa.array(part, pa.binary())}) for part in (texts[:40], texts[40:], [])])))
+    got = Counter()
+    for batch in out:
+        for w, c in zip(batch["w"].to_pylist(), batch["c"].to_pylist(), strict=True):
+            got[w] += c
+    assert len(out) > 1 and got == Counter([w for t in texts for w in lm.words_of(t)] + [b""] * len(texts))
+
+
 def test_lm_steps_take_every_target_once():
     rng = random.Random(4)
     texts = [np.array([rng.randint(2, 9) for _ in range(k)], np.int32) for k in (0, 3, 9000, 15, 16, 700)]

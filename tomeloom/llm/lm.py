@@ -46,6 +46,8 @@ WHOLE, WHOLE_LEAST = 8192, 50
 STEP = 256
 #: Bytes of the texts that are looked up together: bounds a task's memory besides its longest text.
 LOT = 1 << 20
+#: Words and counts that a task holds before it sums them.
+COUNTED = 1 << 20
 #: Passes over all training texts.
 ROUNDS = 1
 RATE = 0.1
@@ -129,6 +131,9 @@ class Parts:
 class Words:
     """Distinct words of a worker: their subword ids, laid end to end. Entries 0 and 1 are begin and end."""
 
+    #: Of the growing arrays, those that have a row for each id; the others have one for each word.
+    OF_IDS = frozenset(["ids"])
+
     def __init__(self, proto: Vocabulary | bytes):
         self.model = Parts(proto if isinstance(proto, Vocabulary) else Vocabulary(proto))
         self._clear()
@@ -140,7 +145,11 @@ class Words:
 
     def _encoded(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, end to end, and their numbers."""
-        found = [x or [0] for x in self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)]
+        try:
+            named = b"\n".join(new).decode().split("\n") if new else []  # no word has a line end
+        except UnicodeDecodeError:
+            named = [w.decode("utf-8", "replace") for w in new]
+        found = [x or [0] for x in self.model.encode(named, num_threads=1)]
         length = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, int(length.sum())), length
 
@@ -153,13 +162,17 @@ class Words:
 
     def _forget(self, n: int) -> None:
         """All but the n words that most calls asked for."""
-        words, seen = list(self.at), self.seen.all()[2:]
-        stay = np.sort(np.argsort(-seen, kind="stable")[:n])
-        length, seen = self.length.all()[stay + 2], seen[stay] // 2
-        ids = self.ids.all()[laid_end_to_end(self.start.all()[stay + 2], length)]
-        self._clear()
-        self._add(list(map(words.__getitem__, stay.tolist())), ids, length)
-        self.seen.all()[2:] = seen
+        words = list(self.at)
+        stay = np.sort(np.argsort(-self.seen.all()[2:], kind="stable")[:n])
+        self.at = dict(zip(map(words.__getitem__, stay.tolist()), range(2, len(stay) + 2), strict=True))
+        stay = np.append([0, 1], stay + 2)
+        ids = laid_end_to_end(self.start.all()[stay], self.length.all()[stay])
+        # what is known of the words that stay is kept as it is
+        for name, held in [(name, x) for name, x in vars(self).items() if isinstance(x, Rows)]:
+            setattr(self, name, Rows(held.all()[ids if name in self.OF_IDS else stay]))
+        length = self.length.all()
+        self.start.all()[:] = np.cumsum(length) - length
+        self.seen.all()[:] //= 2
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """Entry of each word; entries hold until the next call."""
@@ -172,8 +185,12 @@ class Words:
                 at = np.fromiter(map(self.at.get, words, repeat(-1)), np.int32, len(words))
                 missing = np.flatnonzero(at < 0)
                 new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
+            begin = self.start.n
             self._add(new, *self._encoded(new))
-            at[missing] = np.fromiter(map(self.at.__getitem__, map(words.__getitem__, missing.tolist())), np.int32, len(missing))
+            if len(new) == len(missing):
+                at[missing] = np.arange(begin, begin + len(new))
+            else:
+                at[missing] = np.fromiter(map(self.at.__getitem__, map(words.__getitem__, missing.tolist())), np.int32, len(missing))
         self.seen.all()[at] += 1
         return at
 
@@ -181,6 +198,8 @@ class Words:
 class Trained(Words):
     """Words with the table rows of their ids and their rows of theta."""
 
+    OF_IDS = frozenset(["ids", "rows"])
+
     def __init__(self, proto: Vocabulary, row_of: np.ndarray, first_of: np.ndarray):
         self.row_of, self.first_of = row_of, first_of
         super().__init__(proto)
@@ -227,42 +246,58 @@ _distance = np.clip(_distance, 0, 2 * BLOCK - 1)
 
 
 def word_rows(table: np.ndarray, rows: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Mean of the table's rows of each word; a word's own are rows[start : start + length]."""
+    """Mean of the table's rows of each word; a word's own are rows[start : start + length]. Quickest for words in order of length."""
+    if len(length) and (length[1:] < length[:-1]).any():
+        order = np.argsort(length, kind="stable")
+        out = np.empty((len(length), table.shape[1]), table.dtype)
+        out[order] = word_rows(table, rows, start[order], length[order])
+        return out
     out = table.take(rows[start], 0)
-    at = np.flatnonzero(length > 1)
-    for j in range(1, int(length.max(initial=1))):
-        out[at] += table.take(rows[start[at] + j], 0)
-        at = at[length[at] > j + 1]
+    for j in range(1, int(length[-1]) if len(length) else 0):
+        longer = int(np.searchsorted(length, j, "right"))
+        out[longer:] += table.take(rows[start[longer:] + j], 0)
     out /= length[:, None].astype(np.float32)
     return out
 
 
-def _with_before(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), 2 * BLOCK, x.shape[2]), np.float32)
-    out[:, BLOCK:] = x
-    out[1:, :BLOCK] = x[:-1]
+def _with_before(x: np.ndarray, first: np.ndarray, ones: int = 0) -> np.ndarray:
+    """Each block after the one before it, none where a text begins; ones: columns of ones after the others."""
+    out = np.empty((len(x), 2 * BLOCK, x.shape[2] + ones), np.float32)
+    columns = slice(0, x.shape[2])
+    out[:, BLOCK:, columns] = x
+    out[1:, :BLOCK, columns] = x[:-1]
     out[first, :BLOCK] = 0
+    out[:, :, x.shape[2] :] = 1
     return out
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """The matrices of x transposed, laid out anew: products of small matrices are quicker so."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 def _sums(x: np.ndarray) -> np.ndarray:
     """Sums over the last axis, which stays; quicker than sum() where it is short."""
     return np.matmul(x, np.ones((x.shape[-1], 1), x.dtype))
 
 
 def attend(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray):
-    """Masked attention of blocks x: (weights of components, weights of keys before they are divided, their sums, q, k, v)."""
-    q, k, v = x[:, :, Q], _with_before(x[:, :, K], first), _with_before(x[:, :, V], first)
-    weight = np.matmul(q, k.transpose(0, 2, 1))
+    """Masked attention of blocks x: (weights of components, weights of keys before they are divided, their sums,
+    what they gather, q, k, v and a column of ones)."""
+    q, k, v = np.ascontiguousarray(x[:, :, Q]), _with_before(x[:, :, K], first), _with_before(x[:, :, V], first, 1)
+    weight = np.matmul(q, _turned(k))
     weight += np.where(_causal, p["r"][_distance, 0], np.float32(-1e9))
     weight[first, :, :BLOCK] = -1e9
-    np.exp(np.minimum(weight, np.float32(60), out=weight), out=weight)
-    total = _sums(weight)
-    z = np.matmul(weight, v) / total
-    z += p["a"][:, 0]
+    if weight.max() > 60:
+        np.minimum(weight, np.float32(60), out=weight)
+    np.exp(weight, out=weight)
+    gathered = np.matmul(weight, v)
+    total = np.ascontiguousarray(gathered[:, :, COMPONENTS:])
+    gathered = gathered[:, :, :COMPONENTS] / total
+    z = gathered + p["a"][:, 0]
     np.exp(np.clip(z, -60, 60, out=z), out=z)
     z /= _sums(z)
-    return z, weight, total, q, k, v
+    return z, weight, total, gathered, q, k, v
 
 
 def first_chances(p: dict[str, np.ndarray], theta: np.ndarray, x: np.ndarray, targets: np.ndarray, first: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -272,19 +307,27 @@ def first_chances(p: dict[str, np.ndarray], theta: np.ndarray, x: np.ndarray, ta
     return np.log((pi[real] * theta.take(firsts[targets.ravel()[real]], 0)).sum(1).astype(np.float64))
 
 
-def _by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the values of each row."""
-    width = values.shape[1]
-    at = (rows[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(at, values.ravel(), n * width).reshape(n, width).astype(np.float32)
+def _by_row(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values of each row; columns[j] has the j-th value of each of the rows."""
+    out = np.empty((len(columns), n))
+    for to, values in zip(out, columns, strict=True):
+        to[:] = np.bincount(rows, values, n)
+    return out
+
+
+def _columns(x: np.ndarray) -> np.ndarray:
+    """The last axis of x first, the others as one."""
+    return x.reshape(-1, x.shape[-1]).T
 
 
-def _told_apart(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers, and for each number its place among them: np.unique() without a sort, for numbers below a few thousands."""
-    distinct = np.flatnonzero(np.bincount(at))
-    place = np.empty(int(distinct[-1]) + 1, np.int64)
+def _told_apart(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, and for each number its place among them: np.unique() without a sort, for numbers below a small n."""
+    some = np.zeros(n, bool)
+    some[at] = True
+    distinct = np.flatnonzero(some)
+    place = np.empty(n, np.int64)
     place[distinct] = np.arange(len(distinct))
-    return distinct, place[at]
+    return distinct, place.take(at)
 
 
 def train_step(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], expected: np.ndarray, rows: np.ndarray, start: np.ndarray, length: np.ndarray, firsts: np.ndarray, inputs: np.ndarray, targets: np.ndarray, first: np.ndarray) -> None:
@@ -293,34 +336,43 @@ def train_step(p: dict[str, np.ndarray], squares: dict[str, np.ndarray], expecte
     rows, start and length lay out the table rows of each entry, firsts its row of theta. Each word of the step
     is put together once, and only rows that it has are changed: no others have a gradient.
     """
-    distinct, place = np.unique(inputs.ravel(), return_inverse=True)
+    distinct, place = _told_apart(inputs.ravel(), len(length))
     start, length = start[distinct], length[distinct]
     x = word_rows(p["e"], rows, start, length).take(place, 0).reshape(*inputs.shape, -1)
-    pi, weight, total, q, k, v = attend(p, x, first)
+    pi, weight, total, gathered, q, k, v = attend(p, x, first)
     wanted = firsts[np.maximum(targets, 0).ravel()]
-    mine = (expected.take(wanted, 0) / (np.ones(len(expected), np.float32) @ expected)).reshape(pi.shape) * pi
+    mine = expected.take(wanted, 0).reshape(pi.shape)
+    mine *= pi / (np.ones(len(expected), np.float32) @ expected)
     mine /= _sums(mine)
     real = (targets >= 0)[:, :, None].astype(np.float32)
-    back = (mine - pi) * real
-    hit, wanted = _told_apart(wanted)
-    expected[hit] += _by_row(wanted, (mine * real).reshape(-1, COMPONENTS), len(hit))
+    mine *= real
+    back = mine - pi * real
+    hit, wanted = _told_apart(wanted, len(expected))
+    expected[hit] += _by_row(wanted, _columns(mine), len(hit)).T
     bias = (np.ones(targets.size, np.float32) @ back.reshape(-1, COMPONENTS))[:, None]
     back /= total
-    slope = np.matmul(back, v.transpose(0, 2, 1))
-    slope -= np.einsum("ijk,ijk->ij", weight, slope)[:, :, None] / total
+    # a key's slope is its weight times (what its v would add, less what all v add): the ones beside v carry the latter
+    wide = np.concatenate([back, -_sums(back * gathered)], 2)
+    slope = np.matmul(wide, _turned(v))
     slope *= weight
-    grad = np.empty_like(x)
-    grad[:, :, Q] = np.matmul(slope, k)
+    grad = np.empty((x.shape[2], inputs.size))
+    grad[Q] = _columns(np.matmul(slope, k))
     follows = (~first[1:]).astype(np.float32)[:, None, None]
     for columns, y in ((K, np.matmul(slope.transpose(0, 2, 1), q)), (V, np.matmul(weight.transpose(0, 2, 1), back))):
-        grad[:, :, columns] = y[:, BLOCK:]
-        grad[:-1, :, columns] += y[1:, :BLOCK] * follows
-    grad = _by_row(place, grad.reshape(-1, grad.shape[2]), len(distinct)) / length[:, None].astype(np.float32)
-    moved, at = _told_apart(rows[laid_end_to_end(start, length)])
-    by_distance = np.bincount(_distance.ravel(), slope.sum(0).ravel(), 2 * BLOCK)[:, None].astype(np.float32)
-    for name, which, change in (("e", moved, _by_row(at, np.repeat(grad, length, 0), len(moved))), ("r", slice(None), by_distance), ("a", slice(None), bias)):
-        squares[name][which] += change**2
-        p[name][which] += RATE * change / (np.sqrt(squares[name][which]) + 1e-3)
+        own = y[:, BLOCK:]
+        own[:-1] += y[1:, :BLOCK] * follows
+        grad[columns] = _columns(own)
+    grad = _by_row(place, grad, len(distinct)) / length
+    moved, at = _told_apart(rows[laid_end_to_end(start, length)], len(p["e"]))
+    by_distance = np.bincount(_distance.ravel(), np.ones(len(slope), np.float32) @ slope.reshape(len(slope), -1), 2 * BLOCK)[:, None].astype(np.float32)
+    change = _by_row(at, np.repeat(grad, length, 1), len(moved)).T.astype(np.float32, order="C")
+    for name, which, change in (("e", moved, change), ("r", slice(None), by_distance), ("a", slice(None), bias)):
+        sums = squares[name][which]
+        sums += change * change
+        squares[name][which] = sums
+        change *= RATE
+        change /= np.sqrt(sums) + np.float32(1e-3)
+        p[name][which] += change
 
 
 class Lot(NamedTuple):
@@ -335,41 +387,71 @@ class Lot(NamedTuple):
 def _lots(batches: Iterator[pd.DataFrame]) -> Iterator[Lot]:
     """Some rows at a time, LOT bytes or one text, split into words as words_of does it."""
     for batch in batches:
-        begin, size = 0, 0
-        texts = batch["text"].tolist()
-        for i, text in enumerate(texts):
-            size += len(text or b"")
-            if size >= LOT or i + 1 == len(texts):
-                yield _lot(batch.iloc[begin : i + 1], texts[begin : i + 1])
-                begin, size = i + 1, 0
+        begin, texts = 0, batch["text"].tolist()
+        for end in _ends(np.array([len(t or b"") for t in texts])):
+            yield _lot(batch.iloc[begin:end], texts[begin:end])
+            begin = end
 
 
 def _lot(rows: pd.DataFrame, texts: list[bytes | None]) -> Lot:
+    words, counts = _split(pa.array([t or b"" for t in texts], pa.binary()))
+    return Lot(rows, words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), counts)
+
+
+def _split(texts: pa.BinaryArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of all texts, none of them null, in order, and how many each text has."""
     # bytes seen as a string: these functions look at ASCII only, whatever the other bytes are
-    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array([t or b"" for t in texts], pa.binary()).view(pa.string())))
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.view(pa.string())))
     lists = pc.ascii_split_whitespace(trimmed)
     some = pc.binary_length(trimmed).to_numpy() > 0  # an empty text is split into one empty word
     counts = np.where(some, pc.list_value_length(lists).to_numpy(), 0)
     words = lists.flatten() if some.all() else lists.filter(pa.array(some)).flatten()
-    words = words.view(pa.binary()).dictionary_encode()
-    return Lot(rows, words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy(), counts)
+    return words.view(pa.binary()).dictionary_encode(), counts
 
 
-def _entries(words: Words, lot: Lot) -> list[np.ndarray]:
-    return np.split(words.of(lot.words)[lot.code], np.cumsum(lot.counts)[:-1])
+def _laid_lot(words: Words, lot: Lot) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The lot's own entries, begin and end first, then its words by length, as entries of words; and its texts in them."""
+    at = words.of(lot.words)
+    order = np.argsort(np.minimum(words.length.all()[at], 1 << 15).astype(np.uint16), kind="stable")
+    place = np.empty(len(at), np.int32)
+    place[order] = np.arange(2, len(at) + 2)
+    return np.append(np.array([0, 1], np.int32), at[order]), np.split(place[lot.code], np.cumsum(lot.counts)[:-1])
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and their counts; the empty word stands for the ends."""
-    counts: Counter = Counter()
-    for lot in _lots(batches):
-        counts.update(dict(zip(lot.words, np.bincount(lot.code, minlength=len(lot.words)).tolist(), strict=True)))
-        counts[b""] += len(lot.rows)
-        if len(counts) > 200_000:
-            yield pd.DataFrame(counts.items(), columns=["w", "c"])
-            counts.clear()
-    if counts:
-        yield pd.DataFrame(counts.items(), columns=["w", "c"])
+    held, size = [], 0
+    for batch in batches:
+        texts = pc.fill_null(batch.column("text").cast(pa.binary()), b"")
+        begin = 0
+        for end in _ends(pc.binary_length(texts).to_numpy()):
+            words, _ = _split(texts.slice(begin, end - begin))
+            named = pa.concat_arrays([words.dictionary, pa.array([b""], pa.binary())])
+            held.append(pa.table({"w": named, "c": np.append(np.bincount(words.indices, minlength=len(words.dictionary)), end - begin)}))
+            begin, size = end, size + len(named)
+            if size > COUNTED:
+                held = [_summed(held)]
+                size = len(held[0])
+                if size > COUNTED // 2:
+                    yield from held[0].to_batches()
+                    held, size = [], 0
+    if held:
+        yield from _summed(held).to_batches()
+
+
+def _ends(sizes: np.ndarray) -> Iterator[int]:
+    """Where lots end: LOT bytes or one text each."""
+    size = 0
+    for i, n in enumerate(sizes.tolist(), 1):
+        size += n
+        if size >= LOT or i == len(sizes):
+            yield i
+            size = 0
+
+
+def _summed(counts: list[pa.Table]) -> pa.Table:
+    out = pa.concat_tables(counts).group_by("w", use_threads=False).aggregate([("c", "sum")])
+    return pa.table({"w": out["w"], "c": out["c_sum"]}).combine_chunks()
 
 
 def _count_ids(proto: Vocabulary):
@@ -522,8 +604,9 @@ def _train(shared, proto: Vocabulary):
         name = "train" + xxhash.xxh3_128_hexdigest(repr(proto).encode() + row_of.tobytes() + first_of.tobytes())
         words, some = _remembered(name, lambda: Trained(proto, row_of, first_of)), False
         for lot in _lots(batches):
-            blocks = laid_out(_entries(words, lot))
-            laid = [x.all() for x in (words.rows, words.start, words.length, words.firsts)]
+            at, entries = _laid_lot(words, lot)
+            blocks = laid_out(entries)
+            laid = [words.rows.all(), *(x.all()[at] for x in (words.start, words.length, words.firsts))]
             for inputs, targets, first in steps_of(*blocks):
                 train_step(p, squares, expected, *laid, inputs, targets, first)
                 some = True
@@ -562,7 +645,7 @@ def fit(texts: DataFrame, path: str | None = None, head_words: int = HEAD_WORDS,
 
     spark = texts.sparkSession
     pieces = sentencepiece.SentencePieceProcessor(model_file=path or default_path())
-    counts = stored(texts.mapInPandas(_count_words, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")))
+    counts = stored(texts.mapInArrow(_count_words, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c")))
     is_end = F.octet_length("w") == 0
     about = counts.agg(
         *[F.coalesce(x, F.lit(0)) for x in (F.sum(F.when(is_end, F.col("c"))), F.sum(F.when(~is_end, F.col("c"))), F.count_if(~is_end), F.count_if(~is_end & (F.col("c") == 1)), F.count_if(~is_end & (F.col("c") == 2)))]
@@ -651,11 +734,6 @@ class Scored(Words):
         self.over.add(np.where(seen, begins, 1.0))
         self.rest.add(np.maximum(rest, 1e-300))
 
-    def chances_of(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log chance of the first id of each token of all texts, ends included, in order."""
-        found = [first_chances(self.of_model.parameters, self.chances, self.vectors.all().take(inputs.ravel(), 0).reshape(*inputs.shape, -1), targets, first, self.firsts.all()) for inputs, targets, first in steps_of(*laid_out(texts))]
-        return np.concatenate(found) if found else np.zeros(0)
-
 
 SCORED = "doc_id {id}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<binary>, over array<double>, rest array<double>"
 
@@ -666,23 +744,27 @@ def _score(shared):
         words, room = _remembered(model.name, lambda: Scored(model)), model.total + model.vocabulary + 1.0
         row = TaskContext.get().partitionId() << 36
         for lot in _lots(batches):
-            rows, entries = lot.rows, _entries(words, lot)
-            leads = words.chances_of(entries) / np.log(10)
-            flat = np.concatenate([np.append(x, 1) for x in entries])
-            n = np.array([len(x) + 1 for x in entries])
+            rows, (at, entries) = lot.rows, _laid_lot(words, lot)
+            vectors, firsts, count, over, rest = (x.all().take(at, 0) for x in (words.vectors, words.firsts, words.count, words.over, words.rest))
+            inputs, targets, first = laid_out(entries)
+            steps = steps_of(inputs, targets, first)
+            leads = np.concatenate([first_chances(model.parameters, words.chances, vectors.take(a.ravel(), 0).reshape(*a.shape, -1), b, c, firsts) for a, b, c in steps])
+            flat = targets[targets >= 0]
+            n = lot.counts + 1
             of = np.repeat(np.arange(len(n)), n)
-            count, over, rest = (x.all()[flat] for x in (words.count, words.over, words.rest))
+            # of each distinct word; those beyond the head add nothing here
             here = count >= 0
-            inner = np.where(flat == 1, 0.0, np.log10(np.maximum(count - model.discount, 0) / over + rest))
-            base = np.bincount(of[here], np.log10((count[here] + 1) / room), len(n))
-            score = np.bincount(of, leads, len(n)) + np.bincount(of[here], inner[here], len(n))
-            known = np.bincount(of[here], count[here] > 0, len(n)).astype(int)
+            inner = np.where(here, np.log10(np.maximum(count - model.discount, 0) / over + rest), 0.0)
+            inner[1] = 0
+            base = np.where(here, np.log10((np.maximum(count, 0) + 1) / room), 0.0)
+            base, known = np.bincount(of, base[flat], len(n)), np.bincount(of, (count > 0)[flat], len(n)).astype(int)
+            score = np.bincount(of, leads, len(n)) / np.log(10) + np.bincount(of, inner[flat], len(n))
             # the words beyond the head, with what their counts are needed for
-            rare = np.flatnonzero(~here)
+            rare = np.flatnonzero(~here[flat])
             split = np.searchsorted(of[rare], np.arange(len(n) + 1))
             named = list(map(lot.words.__getitem__, lot.code[rare - of[rare]].tolist()))  # a text has one end, after its words
             lists = lambda x: [x[a:b] for a, b in zip(split[:-1], split[1:], strict=True)]  # noqa: B023, E731
-            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(), "row": np.arange(row, row + len(n)), "n_tokens": n, "n_known": known, "base": base, "score": score, "rare": lists(named), "over": lists(over[rare]), "rest": lists(rest[rare])})
+            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(), "row": np.arange(row, row + len(n)), "n_tokens": n, "n_known": known, "base": base, "score": score, "rare": lists(named), "over": lists(over[flat[rare]]), "rest": lists(rest[flat[rare]])})
             row += len(n)
 
     return run
