@@ -46,8 +46,8 @@ WHOLE, WHOLE_LEAST = 8192, 50
 STEP = 256
 #: Bytes of the texts that are looked up together: bounds a task's memory besides its longest text.
 LOT = 1 << 20
-#: Words and counts that a task holds before it sums them.
-COUNTED = 1 << 20
+#: Words and counts that a task holds before it sums them, and those handed on at once.
+COUNTED, HANDED = 1 << 19, 50_000
 #: Passes over all training texts.
 ROUNDS = 1
 RATE = 0.1
@@ -433,10 +433,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = [_summed(held)]
                 size = len(held[0])
                 if size > COUNTED // 2:
-                    yield from held[0].to_batches()
+                    yield from held[0].to_batches(HANDED)
                     held, size = [], 0
     if held:
-        yield from _summed(held).to_batches()
+        yield from _summed(held).to_batches(HANDED)
 
 
 def _ends(sizes: np.ndarray) -> Iterator[int]:
