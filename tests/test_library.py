@@ -123,3 +123,12 @@ def test_embedder_hashes_a_word_once(monkeypatch):
     monkeypatch.setattr(ingest, "REMEMBERED", 2)
     ingest.hashed_words(pd.Series(["a b c d e"]), 16)
     assert len(ingest._places[16]) <= 2
+
+
+def test_words_whose_signs_cancel_have_a_vector():
+    import pandas as pd
+
+    a, b, c = ingest.hashed_words(pd.Series(["Die berß iegeß keit.", "keit, keit iegeß berß berß die die iegeß", " ,. "]))
+    for got in (a, b):
+        assert abs(float((got * got).sum()) - 1) < 1e-6 and (got >= 0).all()
+    assert not c.any()

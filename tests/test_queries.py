@@ -53,3 +53,19 @@ def test_equals_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(_plain().QUERIES) - set(_plain().SQL)))
 def test_runs(spark, sf, name):
     assert _plain().QUERIES[name](spark, sf).count() > 0
+
+
+def test_embeddings_of_odd_conversations_equal_their_sql(spark, tmp_path):
+    """Words whose signs cancel, no words, no text, and turns beyond the thousand that a chunk's id has room for."""
+    import duckdb
+
+    texts = ["Die berß iegeß keit.", "?!", None, "one two", None, "one two", "", "one two"]
+    rows = [(i % 3, 990 * i, "user", text) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    plans = _plain()
+    want = con.execute(plans.SQL["k5_embeddings"])
+    columns = [c[0] for c in want.description]
+    got = plans.QUERIES["k5_embeddings"](spark, str(tmp_path))
+    assert rows_of([tuple(r) for r in got.select(columns).collect()], columns) == rows_of([(a, b, float(c), d) for a, b, c, d in want.fetchall()], columns)

@@ -38,13 +38,15 @@ _places: dict[int, _Places] = {}
 
 
 def hashed_words(texts: pd.Series, dimension: int = DIMENSION) -> pd.Series:
-    """Default embedder: signed hashed word counts of unit length; a text without words is a zero vector."""
+    """Default embedder: signed hashed word counts of unit length; only a text without words is a zero vector."""
     out = np.zeros((len(texts), dimension), np.float32)
     places = _places.setdefault(dimension, _Places(dimension))
     for i, text in enumerate(texts):
         found = _word.findall((text or "").lower())
         counts = np.bincount(np.fromiter(map(places.__getitem__, found), np.int64, len(found)), minlength=2 * dimension)
-        out[i] = counts[dimension:] - counts[:dimension]
+        minus, plus = counts[:dimension], counts[dimension:]
+        # words whose signs all cancel one another out count without signs
+        out[i] = plus - minus if (plus != minus).any() else plus + minus
     norms = np.sqrt((out * out).sum(1, keepdims=True))
     return pd.Series(list(out / np.where(norms > 0, norms, 1)))
 

@@ -111,11 +111,12 @@ def ingested(t):
 
 @query("k5_embeddings", "SELECT conv_id * 1000 + turn AS chunk_id, sha256('hashed:' || text) AS key, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END AS length, CAST(row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) = 1 AS INT) AS first FROM conversations")
 def embeddings(t):
-    chunks = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("text").alias("content"))
+    chunks = t.conversations.select(F.struct("conv_id", "turn").alias("chunk_id"), F.col("text").alias("content"))
     found = job.embedded(chunks)
-    # equal texts have one vector, of unit length unless a text has no words
+    # equal texts have one vector, of unit length unless a text has no words; what is no text has no key
     first = F.row_number().over(W.partitionBy("key", "embedding").orderBy("chunk_id")) == 1
-    return found.select("chunk_id", "key", F.round(norm(F.col("embedding")), 3).alias("length"), first.cast("int").alias("first"))
+    chunk_id, key = F.col("chunk_id.conv_id") * 1000 + F.col("chunk_id.turn"), F.nullif("key", F.sha2(F.lit("hashed"), 256))
+    return found.select(chunk_id.alias("chunk_id"), key.alias("key"), F.round(norm(F.col("embedding")), 3).alias("length"), first.cast("int").alias("first"))
 
 
 @query("l6_watch_registry", "SELECT DISTINCT event_type AS path, 'gdrive' AS backend, 300 AS interval_seconds FROM events")
