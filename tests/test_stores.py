@@ -286,6 +286,32 @@ def test_postings_are_found_in_lots(monkeypatch):
     assert len(got) == len(want) and dict(got) == want and len(made) > 5
 
 
+def test_index_of_a_frequent_word_is_in_small_blocks_and_row_groups(spark, monkeypatch):
+    """What a task holds of a word does not grow with its places: neither a block nor a row group, before and after compact()."""
+    import pyarrow.parquet as pq
+
+    for name, value in (("BLOCK", 50), ("PLACES", 512), ("HELD", 500), ("GROUP", 1 << 13), ("LOOK", 10)):
+        monkeypatch.setattr(text_index, name, value, raising=False)
+    row = F.concat_ws(" ", F.array_repeat(F.lit("often"), 60), F.concat(F.lit("w"), F.col("id") % 7), F.lit("seldom often"))
+    chunks = spark.range(0, 4000, 1, 2).select(F.col("id").alias("chunk_id"), row.alias("content"), F.when(F.col("id") % 5 == 0, "often w1").alias("title"))
+    asked = spark.createDataFrame([(1, "often"), (2, '"seldom often"'), (3, 'w3 OR "often w1"')], "query_id long, query string")
+    index = text_index.TextIndex.create(spark, new_folder(spark))
+    index.add(chunks.filter("chunk_id % 2 = 0"))
+    index.delete(chunks.filter("chunk_id % 4 = 0"))
+    index.add(chunks.filter("chunk_id % 2 = 1"))
+    for _ in range(2):
+        parts = index.versions.read()["parts"]
+        blocks = index._read(parts)[0]
+        files = [f.removeprefix("file:").replace("///", "/") for f in blocks.inputFiles()]
+        groups = [meta.row_group(i) for f in files for meta in [pq.read_metadata(f)] for i in range(meta.num_row_groups)]
+        assert max(g.column(j).num_values for g in groups for j in range(g.num_columns)) < 30_000
+        assert blocks.select(F.max(F.size("places"))).first()[0] < 512 + 62 and blocks.select(F.max("n")).first()[0] <= 50
+        assert blocks.count() == blocks.select("seq", "term", "block").distinct().count()
+        assert hits(index.search(asked, 5)) == hits(fulltext.search(asked, chunks.filter("chunk_id % 4 <> 0"), 5))
+        index.compact()
+    assert len(parts) == 1
+
+
 def test_all_lists_are_scanned_without_a_row_for_each_list(spark, sf, monkeypatch):
     """Over all lists questions are not dealt to each list; blocks of questions change nothing, and with all candidates it is exact."""
     e = spark.read.parquet(f"{sf}/embeddings.parquet").limit(600)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,18 +21,22 @@ from . import fulltext
 from .versions import Versions
 
 BUCKETS = 32
-#: Postings of a block, and steps of value that a block's postings may differ by.
-BLOCK, STEPS = 1024, 8
+#: Postings of a block and places of their words, about, and steps of value that a block's postings may differ by.
+BLOCK, PLACES, STEPS = 1024, 8_192, 8
+#: Postings that a task holds to put those of a term together.
+HELD = 262_144
+#: Bytes of a row group of a segment, and rows after which its size is looked at: a scan holds whole groups of long lists.
+GROUP, LOOK = 4 << 20, 1_000
+#: Deleted ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
+#: How a segment's columns are laid out.
+FORM = 2
 #: So many terms at most are named in the scan's filter; more are joined only.
 NAMED_TERMS = 1000
 #: Words of the chunks whose places are found together: bounds a task's memory besides its longest chunk.
 LOT = 262_144
 
 
-def _value(in_title, in_content) -> Column:
-    return fulltext.TITLE_WEIGHT * F.log1p(in_title) + fulltext.CONTENT_WEIGHT * F.log1p(in_content)
-
-
 def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Some rows at a time: LOT words, or one chunk."""
     for batch in batches:
@@ -71,14 +75,126 @@ def _postings(chunks: DataFrame, english: bool) -> DataFrame:
     return split.mapInArrow(_places, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, term string, at_title array<int>, at_content array<int>")
 
 
-def _blocks(postings: DataFrame) -> DataFrame:
-    """Postings of a term of about one value in blocks of BLOCK; a frequent term is many blocks. Postings are shuffled once, by bucket."""
-    rows = postings.withColumn("value", _value(F.size("at_title"), F.size("at_content"))).withColumn("step", F.floor(F.col("value") * STEPS).cast("int"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).repartition(4 * BUCKETS, "bucket")
-    number = F.row_number().over(W.partitionBy("bucket", "term", "step").orderBy("chunk_id"))
-    posting = F.struct("chunk_id", "at_title", "at_content")
-    made = rows.withColumn("salt", F.floor((number - 1) / BLOCK)).groupBy("bucket", "term", "step", "salt").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.min("value").alias("least"), F.collect_list(posting).alias("postings"))
-    return made.select("bucket", "term", F.concat_ws("-", "step", "salt").alias("block"), "n", "most", "least", "postings")
+def _held(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches put together until they have so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= most:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _value(in_title: np.ndarray, in_content: np.ndarray) -> np.ndarray:
+    return fulltext.TITLE_WEIGHT * np.log1p(in_title) + fulltext.CONTENT_WEIGHT * np.log1p(in_content)
+
+
+def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)
+
+
+def _grouped(most: int):
+    """Batches of (chunk_id, term, at_title, at_content) -> a row for each term and step of value of `most` postings and more.
+
+    Of a row's postings `ids` has the chunks, `titles` the number of a title's places and `ends` where in `places` their places
+    end, the title's first: flat lists, as a list in a list takes four times the memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches, most):
+            if not len(held):
+                continue
+            ids, term, *places = (held.column(x).combine_chunks() for x in ("chunk_id", "term", "at_title", "at_content"))
+            sizes = [pc.list_value_length(x).to_numpy().astype(np.int64) for x in places]
+            step = np.floor(_value(*sizes) * STEPS).astype(np.int64)
+            terms = term.dictionary_encode()
+            key = terms.indices.to_numpy().astype(np.int64) * (step.max() + 1) + step
+            order = np.argsort(key, kind="stable")
+            begins = np.flatnonzero(np.diff(key[order], prepend=-1))
+            # places of a posting's title, then of its content, posting by posting
+            begin = [np.cumsum(n) - n for n in sizes]
+            begin[1] += sizes[0].sum()
+            both, length = (np.stack([x[order] for x in pair], 1).ravel() for pair in (begin, sizes))
+            at = np.arange(length.sum()) + np.repeat(both - (np.cumsum(length) - length), length)
+            flat = pa.concat_arrays([x.flatten() for x in places]).take(pa.array(at))
+            size = (sizes[0] + sizes[1])[order]
+            ends = np.cumsum(size)
+            first = np.repeat((ends - size)[begins], np.diff(begins, append=len(order)))
+            last = np.append(begins[1:], len(order))
+            head, upto = order[begins], ends[last - 1]
+            yield pa.RecordBatch.from_arrays(
+                [terms.dictionary.take(terms.indices.take(pa.array(head))), pa.array(step[head].astype(np.int32))]
+                + [_lists(last, ids.take(pa.array(order))), _lists(last, pa.array(sizes[0][order].astype(np.int32))), _lists(last, pa.array((ends - first).astype(np.int32))), _lists(upto, flat)],
+                ["term", "step", "ids", "titles", "ends", "places"],
+            )
+
+    return run
+
+
+def _merged(block: int, places: int):
+    """Rows of _grouped(), those of a term and step one after another -> blocks of at most about `block` postings and `places` places.
+
+    The lists of rows that follow one another lie one after another already: only where they begin is made anew.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            term = batch.column("term").dictionary_encode()
+            n, m = (pc.list_value_length(batch.column(x)).to_numpy().astype(np.int64) for x in ("ids", "places"))
+            ids, titles, ends, flat = (batch.column(x).flatten() for x in ("ids", "titles", "ends", "places"))
+            row = np.repeat(np.arange(len(n)), n)
+            ends = ends.to_numpy() + (np.cumsum(m) - m)[row]
+            size = np.diff(ends, prepend=0)
+            key = term.indices.to_numpy().astype(np.int64)[row] * (1 << 32) + batch.column("step").to_numpy()[row]
+            fresh = np.diff(key, prepend=-1) != 0
+            since = np.maximum.accumulate(np.where(fresh, np.arange(len(row)), 0))
+            full = (np.arange(len(row)) - since) // block
+            spent = (ends - size - (ends - size)[since]) // places
+            begins = np.flatnonzero(fresh | (np.diff(full, prepend=0) != 0) | (np.diff(spent, prepend=0) != 0))
+            last = np.append(begins[1:], len(row))
+            first = np.repeat((ends - size)[begins], last - begins)
+            head = pa.array(row[begins])
+            value = _value(titles.to_numpy(), size - titles.to_numpy())
+            bounds = [pa.array(x.reduceat(value, begins)) for x in (np.maximum, np.minimum)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("bucket").take(head), term.dictionary.take(term.indices.take(head)), pa.array(last - begins), *bounds]
+                + [_lists(last, ids), _lists(last, titles), _lists(last, pa.array((ends - first).astype(np.int32))), _lists(ends[last - 1], flat)],
+                ["bucket", "term", "n", "most", "least", "ids", "titles", "ends", "places"],
+            )
+
+    return run
+
+
+def _lots_of(postings: DataFrame) -> DataFrame:
+    """Postings put together by term and step of value where they are."""
+    return postings.mapInArrow(_grouped(HELD), f"term string, step int, {_flat(dict(postings.dtypes)['chunk_id'])}")
+
+
+def _flat(chunk_id: str) -> str:
+    return f"ids array<{chunk_id}>, titles array<int>, ends array<int>, places array<int>"
+
+
+def _blocks(lots: DataFrame) -> DataFrame:
+    """Blocks of the rows of _lots_of() as they lie in tasks: a task sorts its own."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    ids = dict(lots.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+    rows = lots.select(bucket, "*").sortWithinPartitions("bucket", "term", "step")
+    made = rows.mapInArrow(_merged(BLOCK, PLACES), f"bucket int, term string, n long, most double, least double, {_flat(ids)}")
+    return made.withColumn("block", F.monotonically_increasing_id().cast("string"))
+
+
+def _exploded(blocks: DataFrame) -> DataFrame:
+    """(seq, term, chunk_id, at_title, at_content) of blocks."""
+    rows = blocks.select("seq", "term", "titles", "ends", "places", F.posexplode("ids").alias("_i", "chunk_id"))
+    begin = F.when(F.col("_i") == 0, 0).otherwise(F.col("ends")[F.col("_i") - 1])
+    rows = rows.withColumn("_titles", F.col("titles")[F.col("_i")])
+    at_title = F.slice("places", begin + 1, F.col("_titles"))
+    at_content = F.slice("places", begin + F.col("_titles") + 1, F.col("ends")[F.col("_i")] - begin - F.col("_titles"))
+    return rows.select("seq", "term", "chunk_id", at_title.alias("at_title"), at_content.alias("at_content"))
 
 
 class TextIndex:
@@ -88,11 +204,14 @@ class TextIndex:
         self.spark, self.path, self.versions = spark, path.rstrip("/"), Versions(spark, path)
         if not self.versions.latest():
             raise ValueError(f"there is no index at {path}")
-        self.english = self.versions.read(1)["english"]
+        first = self.versions.read(1)
+        if first.get("form") != FORM:
+            raise ValueError(f"the index at {path} was stored in another form: it must be built again")
+        self.english = first["english"]
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, english: bool = False) -> TextIndex:
-        if not Versions(spark, path).commit(1, {"english": english, "parts": []}):
+        if not Versions(spark, path).commit(1, {"english": english, "form": FORM, "parts": []}):
             raise ValueError(f"there is an index at {path}")
         return cls(spark, path)
 
@@ -106,12 +225,12 @@ class TextIndex:
 
     def _write(self, blocks: DataFrame) -> str:
         at = f"segments/{uuid.uuid4().hex}"
-        blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{self.path}/{at}")
+        blocks.write.options(**{"compression": "zstd", "parquet.block.size": GROUP, "parquet.page.size.row.check.min": LOOK, "parquet.page.size.row.check.max": LOOK}).parquet(f"{self.path}/{at}")
         return at
 
     def add(self, chunks: DataFrame) -> None:
-        """Index chunks(chunk_id, content[, title]). A chunk that is indexed already must be deleted first."""
-        self._commit({"segment": self._write(_blocks(_postings(chunks, self.english)))})
+        """Index chunks(chunk_id, content[, title]) where they are read. A chunk that is indexed already must be deleted first."""
+        self._commit({"segment": self._write(_blocks(_lots_of(_postings(chunks, self.english))))})
 
     def delete(self, ids: DataFrame) -> None:
         """Take chunks(chunk_id) out: their postings are passed over from now on, and go with compact()."""
@@ -135,17 +254,21 @@ class TextIndex:
     def _live(postings: DataFrame, deleted: DataFrame | None) -> DataFrame:
         if deleted is None:
             return postings
-        gone = deleted.groupBy(F.col("chunk_id").alias("_c")).agg(F.max("seq").alias("_seq"))
+        gone = fulltext._few(deleted.groupBy(F.col("chunk_id").alias("_c")).agg(F.max("seq").alias("_seq")), BROADCAST_IDS)
         return postings.join(gone, F.col("chunk_id") == F.col("_c"), "left").filter("_seq is null or _seq < seq").drop("_c", "_seq")
 
     def compact(self) -> None:
-        """Merge all segments into one without what was deleted. Parts added meanwhile stay."""
+        """Merge all segments into one without what was deleted, each task the files that it reads. Parts added meanwhile stay."""
         done = self.versions.read()["parts"]
         blocks, deleted = self._read(done)
         if blocks is None:
             return
-        rows = self._live(blocks.select("seq", "term", F.explode("postings").alias("p")).select("seq", "term", "p.*"), deleted)
-        part = {"segment": self._write(_blocks(rows.drop("seq")))}
+        last = max((i for i, part in enumerate(done) if "deleted" in part), default=-1)  # segments before it may have lost chunks
+        step = F.floor(F.col("least") * STEPS).cast("int").alias("step")
+        rows = blocks.filter(F.col("seq") > last).select("term", step, "ids", "titles", "ends", "places")
+        if deleted is not None:
+            rows = rows.unionByName(_lots_of(self._live(_exploded(blocks.filter(F.col("seq") <= last)), deleted).drop("seq")))
+        part = {"segment": self._write(_blocks(rows))}
         while True:
             now = self.versions.latest()
             state = self.versions.read(now)
@@ -174,7 +297,7 @@ class TextIndex:
             blocks = blocks.join(terms, "term", "left_semi")
         if k is not None and skip and deleted is None:
             blocks = blocks.join(self._needed(asked, blocks.select("seq", "term", "block", "n", "most", "least"), k), ["seq", "term", "block"], "left_semi")
-        rows = self._live(blocks.select("seq", "term", F.explode("postings").alias("p")).select("seq", "term", "p.*"), deleted)
+        rows = self._live(_exploded(blocks), deleted)
         return fulltext.scored(asked, self._hits(rows, phrases), k)
 
     def _empty(self, queries: DataFrame) -> DataFrame:
